@@ -1 +1 @@
-"""functions"""
+"""Column expressions: text, dates, money, tax ids, patterns."""
