@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: State codes.
 STATES = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
@@ -29,25 +29,30 @@ def _weighted(digits: Column, weights: tuple[int, ...]) -> Column:
 
 def _digits_of(c: Column, n: int) -> Column:
     """The text where it is n digits, not all equal; else null."""
-    return F.when(c.rlike(rf"^[0-9]{{{n}}}$") & ~c.rlike(r"^(.)\1*$"), c)
+    return let(c, lambda x: F.when(x.rlike(rf"^[0-9]{{{n}}}$") & ~x.rlike(r"^(.)\1*$"), x))
 
 
 def is_valid_cpf(c: Column) -> Column:
     """P1"""
-    d = _digits_of(c, 11)
-    right = [(_weighted(d, w) * 10) % 11 % 10 == F.substring(d, len(w) + 1, 1).cast("int") for w in CPF_WEIGHTS]
-    return F.coalesce(right[0] & right[1], F.lit(False))
+    return F.coalesce(let(_digits_of(c, 11), _cpf_right), F.lit(False))
+
+
+def _cpf_right(d: Column) -> Column:
+    first, second = ((_weighted(d, w) * 10) % 11 % 10 == F.substring(d, len(w) + 1, 1).cast("int") for w in CPF_WEIGHTS)
+    return first & second
 
 
 def is_valid_cnpj(c: Column) -> Column:
     """P2"""
-    d = _digits_of(c, 14)
+    return F.coalesce(let(_digits_of(c, 14), _cnpj_right), F.lit(False))
+
 
+def _cnpj_right(d: Column) -> Column:
     def right(weights: tuple[int, ...]) -> Column:
-        rest = _weighted(d, weights) % 11
-        return F.when(rest < 2, 0).otherwise(11 - rest) == F.substring(d, len(weights) + 1, 1).cast("int")
+        # 11 - rest, and 0 where that is 10 or 11
+        return (11 - _weighted(d, weights) % 11) % 11 % 10 == F.substring(d, len(weights) + 1, 1).cast("int")
 
-    return F.coalesce(right(CNPJ_WEIGHTS[0]) & right(CNPJ_WEIGHTS[1]), F.lit(False))
+    return right(CNPJ_WEIGHTS[0]) & right(CNPJ_WEIGHTS[1])
 
 
 def document_type(c: Column) -> Column:
@@ -63,7 +68,10 @@ def document_problem(c: Column) -> Column:
 
 def mask_document(c: Column) -> Column:
     """P4"""
-    d = F.regexp_replace(c, r"(?U)\D", "")
+    return let(F.regexp_replace(c, r"(?U)\D", ""), _masked)
+
+
+def _masked(d: Column) -> Column:
     n = F.length(d)
     cpf = F.concat(F.substring(d, 1, 3), F.lit(".***.***-"), F.substring(d, 10, 2))
     cnpj = F.concat(F.substring(d, 1, 2), F.lit(".***.***/****-"), F.substring(d, 13, 2))
@@ -92,5 +100,4 @@ def is_valid_uf(c: Column) -> Column:
 
 def invoice_status(c: Column) -> Column:
     """Open, paid, overdue or canceled; null for unknown labels."""
-    label = F.lower(strip(c))
-    return F.coalesce(*(F.when(label.isin(*labels), status) for status, labels in STATUS_LABELS.items()))
+    return let(F.lower(strip(c)), lambda label: F.coalesce(*(F.when(label.isin(*labels), status) for status, labels in STATUS_LABELS.items())))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, strip
+from .text import SPACE, let, strip
 
 
 def decimal_text(c: Column) -> Column:
@@ -13,26 +13,28 @@ def decimal_text(c: Column) -> Column:
 
     "1.234" is one thousand two hundred thirty-four: Brazilian notation goes first.
     """
-    text = strip(c)
-    paren = text.startswith("(") & text.endswith(")") & (F.length(text) >= 2)
-    text = F.when(paren, strip(F.substr(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+    # A leading "~" stands for parentheses or a trailing minus: the amount is negative whatever its sign.
+    text = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", "~$1")
     text = F.regexp_replace(text, rf"(?iU)r\$|brl|{SPACE}", "")
-    suffix = text.rlike(r"^[0-9.,]+-$")
-    text = F.when(suffix, F.regexp_replace(text, "-$", "")).otherwise(text)
-    allowed = text.rlike(r"^-?[0-9.,]+$")
-    brazilian = text.rlike(r"^-?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\d+(,\d+)?$")
-    last_dot, last_comma = (F.length(text) - F.locate(x, F.reverse(text)) for x in (".", ","))
+    text = F.regexp_replace(text, r"^(~?)([0-9.,]+)-$", "~$2")
+    return let(text, lambda t: _signed(t, let(F.regexp_replace(t, "^~", ""), _plain)))
+
+
+def _plain(text: Column) -> Column:
+    """The notation of ``text`` brought to plain digits, null where it is none."""
     commas, dots = (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in (",", "."))
     plain = (
-        F.when(brazilian, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((commas >= 1) & (dots >= 1) & (last_dot > last_comma), F.replace(text, F.lit(","), F.lit("")))
+        F.when(text.rlike(r"^-?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\d+(,\d+)?$"), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .when(text.rlike(r",.*\.[^.,]*$"), F.replace(text, F.lit(","), F.lit("")))
         .when(dots > 1, F.replace(text, F.lit("."), F.lit("")))
-        .when(commas > 1, F.lit(None))
-        .otherwise(F.replace(text, F.lit(","), F.lit(".")))
+        .when(commas <= 1, F.replace(text, F.lit(","), F.lit(".")))
     )
-    number = F.when(allowed & plain.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), plain)
-    bare = F.regexp_replace(number, "^-", "")
-    return F.when(paren | suffix, F.when(bare.rlike("[1-9]"), F.concat(F.lit("-"), bare)).otherwise(bare)).otherwise(number)
+    return let(plain, lambda x: F.when(x.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), x))
+
+
+def _signed(marked: Column, number: Column) -> Column:
+    """``number`` made negative where ``marked`` says so; zero has no sign then."""
+    return let(number, lambda n: F.when(~marked.startswith("~"), n).otherwise(F.regexp_replace(F.regexp_replace(n, "^-", ""), "^(?=.*[1-9])", "-")))
 
 
 def parse_decimal(c: Column) -> Column:

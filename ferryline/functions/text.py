@@ -6,6 +6,7 @@ wider than Spark's ``trim``.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -29,8 +30,13 @@ COMPANY_FORMS = ("s/a", "s.a.", "s.a", "sa", "ltda", "ltda.", "me", "epp", "eire
 PARTICLES = ("da", "de", "do", "das", "dos", "e", "di", "du", "van", "von", "del", "la")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f reads it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def _or_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -93,8 +99,8 @@ def title_case(c: Column) -> Column:
 
 def nullify_markers(c: Column) -> Column:
     """Null for texts that stand for nothing; others unchanged."""
-    bare = strip(c)
-    return F.when(bare.isNull() | F.lower(bare).isin(*NULL_MARKERS), F.lit(None)).otherwise(c)
+    marker = "|".join(re.escape(m) for m in NULL_MARKERS)
+    return _or_null(F.regexp_replace(c, f"(?iU)^{SPACE}*(?:{marker})?{SPACE}*$", ""))
 
 
 def clean_text(c: Column) -> Column:
@@ -102,46 +108,34 @@ def clean_text(c: Column) -> Column:
     return nullify_markers(collapse_whitespace(normalize_unicode(remove_control_characters(c))))
 
 
-def clean_plain(c: Column) -> Column:
-    """``clean_text`` for input known to be in NFC: no Python."""
-    return nullify_markers(collapse_whitespace(remove_control_characters(c)))
-
-
-def _digits(c: Column) -> Column:
+def digits_only(c: Column) -> Column:
+    """Cleaning first would change nothing, for no digit is removed by it and no marker holds one."""
     return _or_null(F.regexp_replace(c, r"(?U)\D", ""))
 
 
-def digits_only(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
-    """T11"""
-    return _digits(clean(c))
-
-
-def brazilian_phone(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
+def brazilian_phone(c: Column) -> Column:
     """Digits without the country code 55 where 10 or 11 remain."""
-    d = digits_only(c, clean)
-    return F.when(d.startswith("55") & F.length(d).isin(12, 13), F.substr(d, F.lit(3))).otherwise(d)
+    return F.regexp_replace(digits_only(c), r"(?U)^55(\d{10,11})$", "$1")
 
 
-def postal_code(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
+def postal_code(c: Column) -> Column:
     """Digits, a lost leading zero restored."""
-    d = digits_only(c, clean)
-    return F.when(F.length(d) == 7, F.lpad(d, 8, "0")).otherwise(d)
+    return F.regexp_replace(digits_only(c), r"(?U)^(\d{7})$", "0$1")
 
 
-def email(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
+def email(c: Column) -> Column:
     """T14"""
-    return F.lower(clean(c))
+    return F.lower(clean_text(c))
 
 
-def uf(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
+def uf(c: Column) -> Column:
     """T15"""
-    return F.upper(clean(c))
+    return F.upper(clean_text(c))
 
 
-def format_postal_code(c: Column, clean: Callable[[Column], Column] = clean_text) -> Column:
+def format_postal_code(c: Column) -> Column:
     """00000-000 for 8 digits, else the digits."""
-    d = postal_code(c, clean)
-    return F.when(F.length(d) == 8, F.concat(F.substring(d, 1, 5), F.lit("-"), F.substring(d, 6, 3))).otherwise(d)
+    return F.regexp_replace(postal_code(c), r"(?U)^(\d{5})(\d{3})$", "$1-$2")
 
 
 #: The closed catalogue of a mapping. The last two only mark a type; conversion belongs to validation.
