@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f]"
 _SPACES = f"(?U){SPACE}+"
@@ -54,12 +55,12 @@ def collapse_whitespace(c: Column) -> Column:
     return _or_null(F.trim(F.regexp_replace(c, _SPACES, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _bare(values: pd.Series) -> pd.Series:
     def bare(x: str) -> str:
         return "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch))

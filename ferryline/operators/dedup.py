@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import remove_accents, strip
 
@@ -43,12 +44,12 @@ def name_similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarity(current: pd.Series, previous: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(a, b) for a, b in zip(current, previous, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _rounded(values: pd.Series) -> pd.Series:
     return values.map(lambda x: round(x, 3))
 

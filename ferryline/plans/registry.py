@@ -39,46 +39,51 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _columns(name: str, source: Query, cte: str, cols: dict[str, tuple[Column, str]]) -> None:
+def _late(name: str) -> Callable[[], Column]:
+    """A column made when a session exists: registering needs none."""
+    return lambda: F.col(name)
+
+
+def _columns(name: str, source: Query, cte: str, cols: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """A query of one expression per output column, over a derived table with _row."""
     sql = f"{cte} SELECT _row, {', '.join(f'{q} AS {c}' for c, (_, q) in cols.items())} FROM legacy"
-    query(name, sql)(lambda spark, d: source(spark, d).select("_row", *(e.alias(c) for c, (e, _) in cols.items())))
+    query(name, sql)(lambda spark, d: source(spark, d).select("_row", *(e().alias(c) for c, (e, _) in cols.items())))
 
 
 def _text_queries() -> None:
-    name, doc, mail, fone, cep, uf = (F.col(c) for c in ("Nome Cliente", "CPF_CNPJ", "Correio Eletrônico", "Fone Principal", "CEP", "UF"))
+    name, doc, mail, fone, cep, uf = (_late(c) for c in ("Nome Cliente", "CPF_CNPJ", "Correio Eletrônico", "Fone Principal", "CEP", "UF"))
     n, d, m, f, p, u = ('"Nome Cliente"', '"CPF_CNPJ"', '"Correio Eletrônico"', '"Fone Principal"', '"CEP"', '"UF"')
     o = oracles
     c = (legacy.customers, _CUST)
-    _columns("text_strip_collapse", *c, {"stripped": (text.strip(name), o.strip(n)), "collapsed": (text.collapse_whitespace(name), o.collapse(n))})
-    _columns("text_control_chars", *c, {"cleaned": (text.remove_control_characters(name), o.control(n))})
-    _columns("text_null_markers", *c, {"name": (text.nullify_markers(name), o.markers(n)), "phone": (text.nullify_markers(fone), o.markers(f))})
-    _columns("text_title_case", *c, {"titled": (text.title_case(name), o.title(n))})
-    _columns("text_case", *c, {"lower_name": (text.lowercase(name), f"lower({n})"), "upper_name": (text.uppercase(name), f"upper({n})")})
-    _columns("text_clean", *c, {"cleaned": (text.clean_text(name), o.clean(n)), "nfc": (text.normalize_unicode(name), f"nfc_normalize({n})")})
-    _columns("text_unaccent", *c, {"plain": (text.remove_accents(name), f"strip_accents({n})")})
-    _columns("digits_only", *c, {"digits": (text.digits_only(doc), o.digits(d))})
-    _columns("phone_normalize", *c, {"phone": (text.brazilian_phone(fone), o.phone(f))})
-    _columns("postal_code_normalize", *c, {"postal_code": (text.postal_code(cep), o.postal(p))})
-    _columns("postal_code_format", *c, {"postal_code": (text.format_postal_code(cep), o.postal_shown(p))})
-    _columns("email_normalize", *c, {"email": (text.email(mail), f"lower({o.clean(m)})")})
-    _columns("uf_normalize", *c, {"uf": (text.uf(uf), f"upper({o.clean(u)})")})
+    _columns("text_strip_collapse", *c, {"stripped": (lambda: text.strip(name()), o.strip(n)), "collapsed": (lambda: text.collapse_whitespace(name()), o.collapse(n))})
+    _columns("text_control_chars", *c, {"cleaned": (lambda: text.remove_control_characters(name()), o.control(n))})
+    _columns("text_null_markers", *c, {"name": (lambda: text.nullify_markers(name()), o.markers(n)), "phone": (lambda: text.nullify_markers(fone()), o.markers(f))})
+    _columns("text_title_case", *c, {"titled": (lambda: text.title_case(name()), o.title(n))})
+    _columns("text_case", *c, {"lower_name": (lambda: text.lowercase(name()), f"lower({n})"), "upper_name": (lambda: text.uppercase(name()), f"upper({n})")})
+    _columns("text_clean", *c, {"cleaned": (lambda: text.clean_text(name()), o.clean(n)), "nfc": (lambda: text.normalize_unicode(name()), f"nfc_normalize({n})")})
+    _columns("text_unaccent", *c, {"plain": (lambda: text.remove_accents(name()), f"strip_accents({n})")})
+    _columns("digits_only", *c, {"digits": (lambda: text.digits_only(doc()), o.digits(d))})
+    _columns("phone_normalize", *c, {"phone": (lambda: text.brazilian_phone(fone()), o.phone(f))})
+    _columns("postal_code_normalize", *c, {"postal_code": (lambda: text.postal_code(cep()), o.postal(p))})
+    _columns("postal_code_format", *c, {"postal_code": (lambda: text.format_postal_code(cep()), o.postal_shown(p))})
+    _columns("email_normalize", *c, {"email": (lambda: text.email(mail()), f"lower({o.clean(m)})")})
+    _columns("uf_normalize", *c, {"uf": (lambda: text.uf(uf()), f"upper({o.clean(u)})")})
     made = '"Data Cadastro"'
-    _columns("parse_dates", *c, {"at": (F.date_format(dates.parse_datetime(F.col("Data Cadastro")), "yyyy-MM-dd HH:mm:ss"), f"strftime({o.moment(made)}, '%Y-%m-%d %H:%M:%S')"), "day": (F.date_format(dates.parse_date(F.col("Data Cadastro")), "yyyy-MM-dd"), f"strftime({o.moment(made)}, '%Y-%m-%d')")})
-    _columns("future_dates", *c, {"is_future": (dates.is_future(dates.parse_datetime(F.col("Data Cadastro")), REFERENCE), f"{o.moment(made)}::DATE > DATE '{o.REFERENCE}'")})
+    _columns("parse_dates", *c, {"at": (lambda: F.date_format(dates.parse_datetime(F.col("Data Cadastro")), "yyyy-MM-dd HH:mm:ss"), f"strftime({o.moment(made)}, '%Y-%m-%d %H:%M:%S')"), "day": (lambda: F.date_format(dates.parse_date(F.col("Data Cadastro")), "yyyy-MM-dd"), f"strftime({o.moment(made)}, '%Y-%m-%d')")})
+    _columns("future_dates", *c, {"is_future": (lambda: dates.is_future(dates.parse_datetime(F.col("Data Cadastro")), REFERENCE), f"{o.moment(made)}::DATE > DATE '{o.REFERENCE}'")})
     i = (legacy.invoices, _INV)
-    _columns("parse_money", *i, {"amount_text": (money.decimal_text(F.col("Valor")), o.amount_text('"Valor"')), "amount": (money.parse_decimal(F.col("Valor")).cast("decimal(18,2)").cast("string"), f"{o.amount_text(chr(34) + 'Valor' + chr(34))}::DECIMAL(18,2)::VARCHAR")})
-    _columns("parse_invoice_dates", *i, {"issued": (F.date_format(dates.parse_date(F.col("Data Emissao")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Emissao"') + ", '%Y-%m-%d')"), "due": (F.date_format(dates.parse_date(F.col("Data Vencimento")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Vencimento"') + ", '%Y-%m-%d')")})
-    dd, bare = F.regexp_replace(doc, r"\D", ""), f"regexp_replace({d}, '[^0-9]', '', 'g')"
-    _columns("cpf_valid", *c, {"is_cpf": (checks.is_valid_cpf(dd), o.cpf_valid(bare))})
-    _columns("cnpj_valid", *c, {"is_cnpj": (checks.is_valid_cnpj(dd), o.cnpj_valid(bare))})
-    _columns("document_parse", *c, {"kind": (checks.document_type(dd), o.doc_type(bare)), "refused": (checks.document_problem(dd).isNotNull(), f"({o.doc_type(bare)}) IS NULL")})
-    _columns("document_mask", *c, {"masked": (checks.mask_document(doc), o.mask(d))})
-    _columns("email_valid", *c, {"ok": (checks.is_valid_email(mail), f"coalesce({o.email_ok(m)}, false)")})
-    _columns("phone_valid", *c, {"ok": (checks.is_valid_phone(fone), f"length(regexp_replace({f}, '[^0-9]', '', 'g')) BETWEEN 10 AND 13")})
-    _columns("postal_code_valid", *c, {"ok": (checks.is_valid_postal_code(cep), f"length(regexp_replace({p}, '[^0-9]', '', 'g')) = 8")})
-    _columns("uf_valid", *c, {"ok": (checks.is_valid_uf(uf), f"upper(trim({u})) IN {o._list(checks.STATES)}")})
-    _columns("status_map", *i, {"status": (checks.invoice_status(F.col("Situacao")), o.status_of('"Situacao"'))})
+    _columns("parse_money", *i, {"amount_text": (lambda: money.decimal_text(F.col("Valor")), o.amount_text('"Valor"')), "amount": (lambda: money.parse_decimal(F.col("Valor")).cast("decimal(18,2)").cast("string"), f"{o.amount_text(chr(34) + 'Valor' + chr(34))}::DECIMAL(18,2)::VARCHAR")})
+    _columns("parse_invoice_dates", *i, {"issued": (lambda: F.date_format(dates.parse_date(F.col("Data Emissao")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Emissao"') + ", '%Y-%m-%d')"), "due": (lambda: F.date_format(dates.parse_date(F.col("Data Vencimento")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Vencimento"') + ", '%Y-%m-%d')")})
+    dd, bare = (lambda: F.regexp_replace(doc(), r"\D", "")), f"regexp_replace({d}, '[^0-9]', '', 'g')"
+    _columns("cpf_valid", *c, {"is_cpf": (lambda: checks.is_valid_cpf(dd()), o.cpf_valid(bare))})
+    _columns("cnpj_valid", *c, {"is_cnpj": (lambda: checks.is_valid_cnpj(dd()), o.cnpj_valid(bare))})
+    _columns("document_parse", *c, {"kind": (lambda: checks.document_type(dd()), o.doc_type(bare)), "refused": (lambda: checks.document_problem(dd()).isNotNull(), f"({o.doc_type(bare)}) IS NULL")})
+    _columns("document_mask", *c, {"masked": (lambda: checks.mask_document(doc()), o.mask(d))})
+    _columns("email_valid", *c, {"ok": (lambda: checks.is_valid_email(mail()), f"coalesce({o.email_ok(m)}, false)")})
+    _columns("phone_valid", *c, {"ok": (lambda: checks.is_valid_phone(fone()), f"length(regexp_replace({f}, '[^0-9]', '', 'g')) BETWEEN 10 AND 13")})
+    _columns("postal_code_valid", *c, {"ok": (lambda: checks.is_valid_postal_code(cep()), f"length(regexp_replace({p}, '[^0-9]', '', 'g')) = 8")})
+    _columns("uf_valid", *c, {"ok": (lambda: checks.is_valid_uf(uf()), f"upper(trim({u})) IN {o._list(checks.STATES)}")})
+    _columns("status_map", *i, {"status": (lambda: checks.invoice_status(F.col("Situacao")), o.status_of('"Situacao"'))})
 
 
 _text_queries()
@@ -142,7 +147,7 @@ def _validated(spark: SparkSession, d: str, entity: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, d: str, entity: str) -> tuple[DataFrame, DataFrame]:
-    rows = _validated(spark, d, entity)
+    rows = _validated(spark, d, entity).persist()
     return rows, dedup.find_exact(rows.where("is_valid"))
 
 
