@@ -9,7 +9,7 @@ Plan
    stands for about ten shingles, so a very common shingle or passage makes no large candidate lists.
    Signatures that repeat inside a batch leave it once, so hot groups are combined before the shuffle.
 3. Inside a cluster an inverted index over the whole sets answers one T-occurrence query per document:
-   a heap merges the short lists, the long lists are probed by binary search, and documents that reach
+   the short lists are merged, the long lists are probed by binary search, and documents that reach
    the required overlap are compared exactly. Clusters above ``block_shingles`` are cut into blocks, and
    every pair of blocks is searched, so that no task holds more than two blocks.
 4. Links and set equalities give the connected components.
@@ -17,11 +17,9 @@ Plan
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -128,94 +126,84 @@ def required_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> dict[int, int]:
+def t_occurrence(lists: list[np.ndarray], needed: int, skip: np.ndarray, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least ``needed`` of the ascending lists, with their counts (DivideSkip).
 
-    The longest lists are set aside; a heap merge counts members of the others, and those that can
-    still reach ``needed`` are looked up in the long lists by binary search.
+    The longest lists are set aside; the others are merged by counting (one sort of their concatenation, which gives the
+    counts a heap of list heads would), and members that can still reach ``needed`` are looked up in
+    the long lists by binary search. Members marked in ``skip`` are left out.
     """
+    none = np.empty(0, np.int64)
     if len(lists) < needed:
-        return {}
+        return none, none
     by_length = sorted(lists, key=len, reverse=True)
     n_long = min(needed - 1, int(needed / (mu * math.log2(max(2, len(by_length[0]))) + 1)))
     long, short = by_length[:n_long], by_length[n_long:]
-    out = {}
-    for member, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < needed - n_long:
-            continue
-        for i, probed in enumerate(long):
-            if count + len(long) - i < needed:
-                break
-            at = bisect_left(probed, member)
-            count += at < len(probed) and probed[at] == member
-        if count >= needed:
-            out[member] = count
-    return out
-
-
-def _root(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = x = parent[parent[x]]
-    return x
+    merged = np.concatenate(short)
+    members, counts = np.unique(merged[~skip[merged]], return_counts=True)
+    for i, probed in enumerate([None, *long]):
+        if probed is not None:
+            at = np.searchsorted(probed, members)
+            at[at == len(probed)] = 0
+            counts = counts + (probed[at] == members)
+        keep = counts + (len(long) - i) >= needed
+        if not keep.all():
+            members, counts = members[keep], counts[keep]
+        if not len(members):
+            break
+    return members, counts
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets (positions), found by T-occurrence queries.
 
-    Two sets in one tree need no further comparison, so large clusters of near copies are first
+    Two sets in one tree need no further comparison: a query skips its own tree. Large clusters of near copies are first
     compared with a few pivots; afterwards only sets outside the largest tree are indexed.
     """
-    sizes = [len(s) for s in sets]
-    parent, out = list(range(len(sets))), []
-
-    def linked(x: int, y: int, both: int) -> None:
-        if den * both >= num * (sizes[x] + sizes[y] - both):
-            a, b = _root(parent, x), _root(parent, y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    sizes = np.array([len(s) for s in sets])
+    tree, out = np.arange(len(sets)), []
+
+    def link(x: int, members: np.ndarray, both: np.ndarray) -> None:
+        for y in members[den * both >= num * (sizes[x] + sizes[members] - both)].tolist():
+            if tree[x] != tree[y]:
+                tree[tree == tree[y]] = tree[x]
                 out.append((x, y))
 
-    def index(members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def index(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = np.concatenate([sets[i] for i in members])
-        owner = np.repeat(np.array(members, np.int64), [sizes[i] for i in members])
+        owner = np.repeat(members, sizes[members])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         return flat[edge], np.r_[edge, len(flat)], owner
 
+    largest = 0
     if len(sets) >= _PIVOT_FROM:
-        keys, edge, owner = index(list(range(len(sets))))
-        touched: set[int] = set()
+        keys, edge, owner = index(np.arange(len(sets)))
+        touched = np.zeros(len(sets), bool)
         for _ in range(_PIVOTS):
-            x = next((i for i in range(len(sets)) if i not in touched), None)
-            if x is None:
+            left = np.flatnonzero(~touched)
+            if not len(left):
                 break
-            touched.add(x)
+            x = int(left[0])
             at = np.searchsorted(keys, sets[x])
             counts = np.bincount(np.concatenate([owner[edge[k] : edge[k + 1]] for k in at]), minlength=len(sets))
-            for y in np.flatnonzero(counts * (num + den) >= num * (sizes[x] + np.array(sizes))).tolist():
-                if y != x:
-                    touched.add(y)
-                    linked(x, y, int(counts[y]))
-    roots = [_root(parent, i) for i in range(len(sets))]
-    largest = max(set(roots), key=roots.count) if len(sets) >= _PIVOT_FROM else roots[0]
-    members = [i for i, r in enumerate(roots) if r != largest]
-    if not members:
+            near = np.flatnonzero(counts * (num + den) >= num * (sizes[x] + sizes))
+            touched[x] = touched[near] = True
+            link(x, near[near != x], counts[near[near != x]])
+        largest = int(np.bincount(tree).argmax())
+    members = np.flatnonzero(tree != largest)
+    if not len(members):
         return out
     keys, edge, owner = index(members)
-    lists = [owner[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    lists = np.split(owner, edge[1:-1])
     for x in range(len(sets)):
         at = np.searchsorted(keys, sets[x])
         at[at == len(keys)] = 0
         found = at[keys[at] == sets[x]]
-        smallest = -(-num * sizes[x] // den)
-        needed = required_overlap(sizes[x], smallest, num, den)
-        if len(found) < needed:
-            continue
-        for y, both in t_occurrence([lists[k] for k in found], needed).items():
-            if y != x and _root(parent, x) != _root(parent, y):
-                linked(x, y, both)
+        needed = required_overlap(int(sizes[x]), -(-num * int(sizes[x]) // den), num, den)
+        if len(found) >= needed:
+            link(x, *t_occurrence([lists[k] for k in found], needed, tree == tree[x]))
     return out
 
 
