@@ -60,21 +60,40 @@ def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
-    """(combination, times) until every piece of ``histogram`` (length: count) has a place."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    out = []
-    while left:
-        found = fullest(max(left), left, size)
-        times = min(left[n] // k for n, k in found.items())
-        out.append((found, times))
-        for n, k in found.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
+def decreasing(seed: int, counts: dict[int, int], size: int) -> Counter:
+    """The combination that always adds the longest length that still fits."""
+    room, out = size - seed, Counter({seed: 1})
+    for n in sorted(counts, reverse=True):
+        many = min(room // n, counts[n] - out[n])
+        if many > 0:
+            out[n] += many
+            room -= n * many
     return out
 
 
+def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
+    """(combination, times) until every piece of ``histogram`` (length: count) has a place.
+
+    Filling every bin to the brim may spend the short pieces early, so the plan of plain decreasing
+    combinations is made too and the one with fewer sequences is taken.
+    """
+
+    def made_by(choose) -> list[tuple[Counter, int]]:
+        left = {n: c for n, c in histogram.items() if c > 0}
+        out = []
+        while left:
+            found = choose(max(left), left, size)
+            times = min(left[n] // k for n, k in found.items())
+            out.append((found, times))
+            for n, k in found.items():
+                left[n] -= k * times
+                if not left[n]:
+                    del left[n]
+        return out
+
+    return min((made_by(f) for f in (fullest, decreasing)), key=lambda p: sum(times for _, times in p))
+
+
 def places(combinations: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
     """For each length and range of its pieces' numbers: the first sequence, pieces per sequence, first offset.
 

@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     named = docs.select(F.struct(*(docs[c] for c in others)).alias("row"), docs["text"].alias("text"))
     named = named.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     joined = named.join(runs, ["doc_id", "key"], "left").select("row", "text", "runs")
-    schema = named.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit(""), "kept_text": F.lit("")}).schema
+    schema = named.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit(""), "kept_text": F.lit(None).cast("string")}).schema
     cut = joined.mapInArrow(_cut(width, True), schema)
     new = {c: F.col("row").getField(c) for c in others} | {"text": F.col("kept_text")}
     if "n_chars" in others:
