@@ -6,8 +6,8 @@ Plan
    few per hundred words; Spark counts in how many documents each occurs (least and greatest doc_id,
    combined before the shuffle). A window whose anchor occurs in one document only cannot repeat.
 2. Windows. For documents that share an anchor, the Rabin-Karp hashes of every window over a shared
-   anchor are counted in Spark: least doc_id per hash. Windows of one batch with equal hashes are
-   resolved in the batch and leave it once, so a very frequent passage is combined before the shuffle.
+   anchor are counted in Spark: least doc_id per hash. Windows of one group of texts with equal hashes
+   are resolved in the group and leave it once, so a very frequent passage is combined before the shuffle.
 3. Positions of windows with a smaller first doc_id are gathered per document and merged into maximal
    removal intervals.
 """
@@ -52,40 +52,52 @@ def _anchor_rows(width: int):
 _WINDOWS = "hash_a long, hash_b long, doc_id long, key long, at long, until long, resolved boolean"
 
 
-def _window_rows(width: int):
-    """Windows over a shared anchor: one row for the least doc_id of each hash in the batch, and
-    (start, until) runs of the others, which the batch itself shows to repeat."""
+#: Windows that are resolved together: bounds what a task holds beside one text.
+TOGETHER = 250_000
+
+
+def _resolved(parts: list[tuple], ids: list, keys: list) -> Iterator[pa.RecordBatch]:
+    """One row for the least doc_id of each hash in ``parts``; (start, until) runs of the others, which
+    ``parts`` itself shows to repeat."""
     names = ["hash_a", "hash_b", "doc_id", "key", "at", "until", "resolved"]
+    a, b, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, key = np.array(ids, np.int64)[row], np.array(keys, np.int64)[row]
+    order = np.lexsort((doc, b, a))
+    first = np.ones(len(order), bool)
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    least = doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+    resolved = np.zeros(len(order), bool)
+    resolved[order] = doc[order] > least
+    sent = np.flatnonzero(~resolved)
+    yield pa.RecordBatch.from_arrays([pa.array(signed(a)[sent]), pa.array(signed(b)[sent]), pa.array(doc[sent]), pa.array(key[sent]), pa.array(at[sent]), pa.array(at[sent] + 1), pa.array(np.zeros(len(sent), bool))], names=names)
+    known = np.flatnonzero(resolved)
+    if len(known):
+        new = np.ones(len(known), bool)
+        new[1:] = (row[known][1:] != row[known][:-1]) | (at[known][1:] != at[known][:-1] + 1)
+        start = known[new]
+        end = known[np.r_[np.flatnonzero(new)[1:] - 1, len(known) - 1]]
+        none = pa.nulls(len(start), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[start]), pa.array(key[start]), pa.array(at[start]), pa.array(at[end] + 1), pa.array(np.ones(len(start), bool))], names=names)
+
+
+def _window_rows(width: int):
+    """Windows over a shared anchor, resolved within groups of about TOGETHER windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            parts = []
+            parts, held = [], 0
             for i, (text, shared) in enumerate(zip(batch.column("text"), batch.column("shared"), strict=True)):
                 hashes = hash_words(split_words(text.as_py()))
                 at = np.flatnonzero(np.isin(signed(anchors(hashes, width)), shared.values.to_numpy()))
                 a, b = (window_hashes(hashes, width, base)[at] for base in BASES)
                 parts.append((a, b, np.full(len(at), i), at))
-            if not parts:
-                continue
-            a, b, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            doc, key = np.array(ids, np.int64)[row], np.array(keys, np.int64)[row]
-            order = np.lexsort((doc, b, a))
-            first = np.ones(len(order), bool)
-            first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            least = doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else doc
-            resolved = np.zeros(len(order), bool)
-            resolved[order] = doc[order] > least
-            sent = np.flatnonzero(~resolved)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a)[sent]), pa.array(signed(b)[sent]), pa.array(doc[sent]), pa.array(key[sent]), pa.array(at[sent].astype(np.int64)), pa.array((at[sent] + 1).astype(np.int64)), pa.array(np.zeros(len(sent), bool))], names=names)
-            known = np.flatnonzero(resolved)
-            if len(known):
-                new = np.ones(len(known), bool)
-                new[1:] = (row[known][1:] != row[known][:-1]) | (at[known][1:] != at[known][:-1] + 1)
-                start = known[new]
-                end = known[np.r_[np.flatnonzero(new)[1:] - 1, len(known) - 1]]
-                none = pa.nulls(len(start), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[start]), pa.array(key[start]), pa.array(at[start].astype(np.int64)), pa.array((at[end] + 1).astype(np.int64)), pa.array(np.ones(len(start), bool))], names=names)
+                held += len(at)
+                if held >= TOGETHER:
+                    yield from _resolved(parts, ids, keys)
+                    parts, held = [], 0
+            if held:
+                yield from _resolved(parts, ids, keys)
 
     return run
 
