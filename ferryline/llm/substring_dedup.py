@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import documents, materialize, read_documents
+from ._shared import documents, drop_path, materialize, read_documents
 from .words import gram_hashes, hash_words, signed, sliding_min, split_words, window_hashes
 
 #: Odd multipliers of the two window hashes.
@@ -120,16 +120,20 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     ``docs`` has doc_id, text and ``key``, which tells texts under one doc_id apart.
     """
     known = docs.where("doc_id is not null")
-    rows, _ = materialize(known.mapInArrow(_anchor_rows(width), "doc_id long, key long, anchor long"), "anchors")
+    rows, rows_path = materialize(known.mapInArrow(_anchor_rows(width), "doc_id long, key long, anchor long"), "anchors")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared, _ = materialize(shared, "shared")
+    shared, shared_path = materialize(shared, "shared")
     per_doc = rows.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("shared"))
     windows = known.join(per_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "shared").mapInArrow(_window_rows(width), _WINDOWS)
-    windows, _ = materialize(windows, "windows")
+    windows, windows_path = materialize(windows, "windows")
+    for path in (rows_path, shared_path):
+        drop_path(docs.sparkSession, path)
     first = F.min("doc_id").over(W.partitionBy("hash_a", "hash_b"))
     late = windows.where("not resolved").withColumn("first", first).where("first < doc_id").select("doc_id", "key", "at", "until")
     late = late.unionByName(windows.where("resolved").select("doc_id", "key", "at", "until"))
-    return late.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "until")).alias("runs"))
+    runs, _ = materialize(late.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "until")).alias("runs")), "runs")
+    drop_path(docs.sparkSession, windows_path)
+    return runs
 
 
 def _cut(width: int, keep_text: bool):
@@ -187,7 +191,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     nulls too. ``n_chars``, where there is one, follows the new text. A text that is wholly repeated
     becomes empty; the row stays.
     """
-    runs, _ = materialize(repeated_windows(documents(docs).withColumn("key", F.xxhash64("text")), width), "runs")
+    runs = repeated_windows(documents(docs).withColumn("key", F.xxhash64("text")), width)
     others = [c for c in docs.columns if c != "text"]
     named = docs.select(F.struct(*(docs[c] for c in others)).alias("row"), docs["text"].alias("text"))
     named = named.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
