@@ -171,9 +171,8 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
 
     def index(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = np.concatenate([sets[i] for i in members])
-        owner = np.repeat(members, sizes[members])
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        flat, owner = flat[order], np.repeat(members.astype(np.int32), sizes[members])[order]
         edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         return flat[edge], np.r_[edge, len(flat)], owner
 
@@ -192,18 +191,18 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             touched[x] = touched[near] = True
             link(x, near[near != x], counts[near[near != x]])
         largest = int(np.bincount(tree).argmax())
+        del keys, edge, owner
     members = np.flatnonzero(tree != largest)
     if not len(members):
         return out
     keys, edge, owner = index(members)
-    lists = np.split(owner, edge[1:-1])
     for x in range(len(sets)):
         at = np.searchsorted(keys, sets[x])
         at[at == len(keys)] = 0
         found = at[keys[at] == sets[x]]
         needed = required_overlap(int(sizes[x]), -(-num * int(sizes[x]) // den), num, den)
         if len(found) >= needed:
-            link(x, *t_occurrence([lists[k] for k in found], needed, tree == tree[x]))
+            link(x, *t_occurrence([owner[edge[k] : edge[k + 1]] for k in found], needed, tree == tree[x]))
     return out
 
 
