@@ -35,8 +35,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The steps end when two successive edge lists are equal (same count and same sum of hashes).
     """
     spark = edges.sparkSession
-    clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    # A step reads its edges twice; what finds them runs once.
+    clean, clean_path = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v"), "edges")
     current, path = materialize(_small_star(clean), "star")
+    drop_path(spark, clean_path)
     seen = None
     while True:
         after, next_path = materialize(_small_star(_large_star(current)), "star")
