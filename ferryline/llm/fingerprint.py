@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, with DataFrame functions only.
 
-Every paragraph (a line, cut further at sentence ends) is hashed to a wide vector; a document's
-fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo powers of two. So the order of paragraphs does
-not matter, equal multisets have equal fingerprints, and a paragraph is inserted or deleted by adding or
+Every paragraph (a line, cut further at sentence ends and, where long, at word boundaries) is hashed to a wide vector; a
+document's fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo powers of two. So the order of paragraphs
+does not matter, equal multisets have equal fingerprints, and a paragraph is inserted or deleted by adding or
 subtracting its vector (``add``, ``subtract``).
 
 Lanes: 1 count and 8 sums of 32 hash bits (modulo 2**32) tell multisets apart; 128 sums of +1 or -1 by hash bits
-(modulo 2**16) keep distances: the squared difference of these lanes estimates the size of the multisets' difference.
+(modulo 2**16) keep distances. These take the first, second, ... copy of a paragraph as different elements, so that each
+is there once or not at all and the squared difference of the lanes estimates the size of the multisets' difference.
 """
 
 from __future__ import annotations
@@ -25,9 +26,16 @@ _NEAR = 128
 _M32, _M16 = (1 << 32) - 1, (1 << 16) - 1
 
 
+#: After this many characters, a paragraph is cut behind the next word of 3, 6 or 9 characters. So cuts depend on the text
+#: before them only, and are met again after a change. \G: one pass, also where no such word comes.
+_LONG = 64
+_CUT = rf"\G([^\r\n]{{{_LONG}}}[^\r\n]*?(?<= )(?:\S{{3}}|\S{{6}}|\S{{9}})) +(?=\S)"
+
+
 def paragraphs(text: Column) -> Column:
-    """Non-empty lines, cut after . ! ? before a blank."""
-    return F.filter(F.split(text, r"[\r\n]+|(?<=[.!?]) +"), lambda p: p != "")
+    """Non-empty lines, cut after . ! ? before a blank, and long ones further at word boundaries."""
+    parts = F.filter(F.split(text, r"[\r\n]+|(?<=[.!?]) +"), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > _LONG, F.split(F.regexp_replace(p, _CUT, "$1\n"), "\n")).otherwise(F.array(p))))
 
 
 def paragraph_hashes(text: Column, name: str) -> list[Column]:
@@ -35,27 +43,54 @@ def paragraph_hashes(text: Column, name: str) -> list[Column]:
 
     ``fingerprint`` reads each once per lane, so they must be selected as columns before it.
     """
-    return [F.transform(paragraphs(text), _hash(k)).alias(f"{name}{k}") for k in range(_HASHES)]
+    return _hashes(paragraphs(text), name)
+
+
+def _hashes(parts: Column, name: str) -> list[Column]:
+    return [F.transform(parts, _hash(k)).alias(f"{name}{k}") for k in range(_HASHES)]
 
 
 def _hash(k: int):
     return lambda p: F.xxhash64(F.lit(k), p)
 
 
-def fingerprint(hashes: list[Column]) -> Column:
-    """The vector of ``paragraph_hashes``: array<long> of _STRONG lanes modulo 2**32 and _NEAR lanes modulo 2**16."""
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _numbered(hashes: Column, earlier: Column | None) -> Column:
+    """Hashes of (paragraph, number of its copy), from 0 or after the copies in ``earlier``: runs of the sorted hashes."""
+
+    def run(s: Column, a: Column, end: Column) -> Column:
+        before = F.lit(0) if earlier is None else F.size(F.filter(earlier, lambda x: x == F.get(s, a)))
+        return _let(before, lambda n: F.transform(F.sequence(a, end - 1), lambda i: F.xxhash64(F.get(s, a), i - a + n)))
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda h, i: F.when((i == 0) | (h != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+    return _let(F.sort_array(hashes), lambda s: _let(starts(s), lambda at: F.flatten(F.transform(at, lambda a, r: run(s, a, F.coalesce(F.get(at, r + 1), F.size(s)))))))
+
+
+def fingerprint(hashes: list[Column], earlier: list[Column] | None = None) -> Column:
+    """The vector of ``paragraph_hashes``: array<long> of _STRONG lanes modulo 2**32 and _NEAR lanes modulo 2**16.
+
+    Copies are numbered from the first one; with ``earlier`` (``paragraph_hashes`` too) after those in it.
+    """
 
     def total(k: int, term) -> Column:
         return F.aggregate(hashes[k], F.lit(0).cast("long"), lambda acc, h: acc + term(h))
 
-    def signs(k: int) -> Column:
-        """For each bit of the k-th hash: paragraphs with the bit less paragraphs without it."""
-        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (total(k, lambda h: F.getbit(h, j)) * 2 - F.size(hashes[0])).bitwiseAND(F.lit(_M16)))
+    def signs(elements: Column) -> Column:
+        """For each bit of the elements' hashes: elements with the bit less elements without it."""
+        count = lambda j: F.aggregate(elements, F.lit(0).cast("long"), lambda acc, h: acc + F.getbit(h, j))
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (count(j) * 2 - F.size(elements)).bitwiseAND(F.lit(_M16)))
 
     strong = [F.size(hashes[0]).cast("long")]
     for k in range(_HASHES):
         strong += [total(k, lambda h: h.bitwiseAND(F.lit(_M32))), total(k, lambda h: F.shiftrightunsigned(h, 32))]
-    return F.concat(F.array(*(x.bitwiseAND(F.lit(_M32)) for x in strong)), *(signs(k) for k in range(_NEAR // 64)))
+    near = F.array(*(_numbered(hashes[k], earlier and earlier[k]) for k in range(_NEAR // 64)))
+    return F.concat(F.array(*(x.bitwiseAND(F.lit(_M32)) for x in strong)), F.flatten(F.transform(near, signs)))
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:
@@ -66,12 +101,12 @@ def _lanewise(a: Column, b: Column, sign: int) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    """Fingerprint of two multisets together; with one paragraph's vector: insertion."""
+    """Fingerprint of two multisets together, ``b`` made with the paragraphs of ``a`` as ``earlier``; with one paragraph's vector: insertion."""
     return _lanewise(a, b, 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """Fingerprint of ``a`` without the paragraphs of ``b``, which must be in it: deletion."""
+    """Fingerprint of ``a`` without the paragraphs of ``b``, which must be in it: deletion. ``b`` is made with the paragraphs that stay as ``earlier``."""
     return _lanewise(a, b, -1)
 
 
@@ -137,7 +172,8 @@ def fingerprint_digests(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"next_text": F.coalesce(F.lead("text").over(order), F.lit("")), "n_chars": F.length("text")})
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", "rank", "range", "ghost", "text", "n_chars", edited.alias("edited"))
-    rows = rows.select("doc_id", "rank", "range", "ghost", "text", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *paragraph_hashes(F.col("text"), "own"), *paragraph_hashes(F.col("edited"), "changed"))
+    rows = rows.select("doc_id", "rank", "range", "ghost", "text", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"))
+    rows = rows.select("doc_id", "rank", "range", "ghost", "text", "n_chars", "edited_sha256", *_hashes(F.col("own"), "own"), *_hashes(F.col("changed"), "changed"))
     own, changed = ([F.col(f"{name}{k}") for k in range(_HASHES)] for name in ("own", "changed"))
     rows = rows.select("doc_id", "rank", "range", "ghost", "text", "n_chars", "edited_sha256", fingerprint(own).alias("own"), fingerprint(changed).alias("changed"))
     rows = rows.withColumn("next", F.lead("own").over(order)).where("not ghost")

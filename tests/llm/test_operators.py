@@ -209,6 +209,25 @@ def test_fingerprints(docs, rows, spark):
     assert all(r[0] for r in pair.select(fingerprint.subtract(fingerprint.add(F.col("p"), F.col("q")), F.col("q")) == F.col("p")).collect())
 
 
+def test_likeness_of_repeated_and_long_paragraphs(spark):
+    rnd = random.Random(3)
+    repeated = "\n".join(["the same line"] * 60 + [f"line {i}" for i in range(60)])
+    fewer = "\n".join(["the same line"] * 30 + [f"line {i}" for i in range(60)])
+    long = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(2000))
+    short = "x " * 20_000  # no cut, one paragraph
+    pairs = [(repeated, fewer, 90 / 120), (repeated, repeated[:10] + "\n" + repeated, 120 / 121), (long, long[: len(long) // 2], 0.5), (long, "w " + long, None), (short, short + "y", 0.0), ("", "", 1.0)]
+    table = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    cols = table.select("i", *fingerprint.paragraph_hashes(F.col("a"), "p"), *fingerprint.paragraph_hashes(F.col("b"), "q"))
+    p, q = ([F.col(f"{n}{k}") for k in range(4)] for n in "pq")
+    cols = cols.select("i", fingerprint.fingerprint(p).alias("p"), fingerprint.fingerprint(q).alias("q"), fingerprint.fingerprint(q, p).alias("more"), fingerprint.fingerprint([F.concat(*x) for x in zip(p, q, strict=True)]).alias("both"))
+    found = cols.select("i", fingerprint.likeness(F.col("p"), F.col("q")), fingerprint.add(F.col("p"), F.col("more")) == F.col("both"), fingerprint.subtract(F.col("both"), F.col("more")) == F.col("p")).orderBy("i").collect()
+    for (_, like, added, taken), (_, _, true) in zip(found, pairs, strict=True):
+        assert added and taken
+        assert like > 0.9 if true is None else abs(like - true) < 0.12
+    cut = table.where("i = 2").select(fingerprint.paragraphs(F.col("a"))).first()[0]
+    assert " ".join(cut) == long and max(map(len, cut)) < 250
+
+
 def test_languages(docs, rows, spark):
     found = language_id.identify_languages(docs).collect()
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
