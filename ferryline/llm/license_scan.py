@@ -1,7 +1,7 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and those of the sentence table are replaced by their
-identifiers. The identifiers in text order are then matched with ordered rules: a rule is a
+A text is cut into sentences, each is normalised, and those of the sentence tables are replaced by their
+identifiers. A sentence may be wrapped over several lines. The identifiers in text order are then matched with ordered rules: a rule is a
 run of identifiers, earlier (longer) rules take their identifiers first. All is one narrow pass
 over whole texts: no shuffle, nothing broadcast but the constants below.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, read_documents
+from ._shared import ascii_lower, documents, read_documents
 
 #: Identifier and normalised sentence.
 SENTENCES = {
@@ -48,20 +48,63 @@ RULES = (
     ("BSD", ("bsd-redistribution",)),
     ("Proprietary", ("reserved",)),
 )
+_GNU = "{} is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version 3 of the license or at your option any later version"
+_CC = "this work is licensed under {} creative commons attribution {}4 0 international license"
+_WAIVED = "to the extent possible under law {} has waived all copyright and related or neighboring rights to this work"
+#: Identifier and normalised sentences of the published notices. The blank line before its address ends the Apache sentence.
+NOTICES = {
+    "apache-grant": ("licensed under the apache license version 2 0 the license",),
+    "apache-copy": ("you may obtain a copy of the license at", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    "apache-basis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
+    "apache-limits": ("see the license for the specific language governing permissions and limitations under the license",),
+    "mit-permission": (SENTENCES["mit-permission"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "mit-notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "as-is": (SENTENCES["as-is"] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "mit-liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
+    "bsd-redistribution": tuple(SENTENCES["bsd-redistribution"] + " provided that the following conditions are met" + x for x in ("", " 1")),
+    "bsd-source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
+    "bsd-binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
+    "bsd-names": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "gpl-version-3": (_GNU.format("this program", "general public license"), _GNU.format("this file", "general public license")),
+    "gpl-version-2-part": ("either version 2 of the license or at your option any later version",),
+    "gpl-version-3-part": ("either version 3 of the license or at your option any later version",),
+    "agpl-version-3": (_GNU.format("this program", "affero general public license"),),
+    "lgpl-version-3": (_GNU.format("this program", "lesser general public license"), _GNU.format("this library", "lesser general public license")),
+    "cc-by-nc-4": (_CC.format("a", "noncommercial "), _CC.format("the", "noncommercial ")),
+    "cc-by-4": (_CC.format("a", ""), _CC.format("the", "")),
+    "cc0": (_WAIVED.format("the author"), _WAIVED.format("the person who associated cc0 with this work"), "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+}
+#: Rules that are matched after the first four of RULES and before the others.
+NOTICE_RULES = (
+    ("Apache-2.0", ("apache-compliance", "apache-copy")),
+    ("Apache-2.0", ("apache-basis", "apache-limits")),
+    ("MIT", ("mit-permission", "mit-notice", "as-is")),
+    ("MIT", ("mit-notice", "as-is", "mit-liability")),
+    ("BSD", ("bsd-source", "bsd-binary")),
+    ("GPL-2.0", ("gpl-redistribute", "gpl-version-2-part")),
+    ("GPL-3.0", ("gpl-redistribute", "gpl-version-3-part")),
+    ("GPL-3.0", ("gpl-version-3",)),
+    ("AGPL-3.0", ("agpl-version-3",)),
+    ("LGPL-3.0", ("lgpl-version-3",)),
+)
+_ALL_RULES = RULES[:4] + NOTICE_RULES + RULES[4:]
+_IDS = {s: i for i, s in SENTENCES.items()} | {s: i for i, many in NOTICES.items() for s in many}
+#: A known sentence from the start of a line to the end of one, single line breaks between its words; the longest first.
+_KNOWN = "(?md)^ ?(" + "|".join(s.replace(" ", "(?: | ?\n ?)") for s in sorted(_IDS, key=len, reverse=True)) + ")(?= ?$)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: a sentence ends at a line break or at . ! ? ; before white space."""
-    ended = F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n")
-    lowered = F.translate(ended, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(F.regexp_replace(lowered, r"[^a-z0-9\n]+", " "), " ?\n ?")
+def normalized(text: Column) -> Column:
+    """Lower-case words with one blank or line break between them; a sentence ends at . ! ? ; before white space, which
+    becomes an empty line, and at empty lines of the text."""
+    ended = F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n\n")
+    return F.regexp_replace(ascii_lower(ended), r"[^a-z0-9\n]+", " ")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in text order."""
-    known = F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: s.isin(*SENTENCES.values()))
-    table = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    return F.transform(known, lambda s: F.element_at(table, s))
+    known = F.regexp_extract_all(normalized(text), F.lit(_KNOWN), F.lit(1))
+    table = F.create_map(*(F.lit(x) for pair in _IDS.items() for x in pair))
+    return F.transform(known, lambda s: F.element_at(table, F.regexp_replace(s, r" ?\n ?", " ")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -77,7 +120,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # Each identifier has a blank on both sides, so that a run is found as a substring.
     left, found = F.concat(F.lit("  "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit("  ")), []
     rows = rows.withColumn("left", left)
-    for i, (name, run) in enumerate(RULES):
+    for i, (name, run) in enumerate(_ALL_RULES):
         pattern = F.lit(f" {'  '.join(run)} ")
         found.append(F.when(F.col(f"hit{i}"), F.lit(name)))
         rows = rows.select("*", F.contains("left", pattern).alias(f"hit{i}")).withColumn("left", F.replace(F.col("left"), pattern, F.lit(" | ")))
@@ -90,6 +133,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
+    """SENTENCES and RULES alone, on one line each: what NOTICES add and wrapped sentences are not in it."""
     table = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
     steps, left = [], "s0"
     for i, (_, run) in enumerate(RULES):

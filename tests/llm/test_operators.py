@@ -254,6 +254,67 @@ def test_licenses_and_lines(docs, rows):
     same(line_dedup.site_line_dedup(docs, "source", min_sites=3).collect(), expected)
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+CC0 = "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.\n"
+
+
+def test_published_notices(spark):
+    cases = {"Apache-2.0": APACHE, "MIT": MIT, "BSD": BSD, "GPL-3.0": GPL, "GPL-2.0": GPL2, "CC0-1.0": CC0}
+    rows, expected = [], {}
+    for name, notice in cases.items():
+        unwrapped = "\n\n".join(" ".join(p.split()) for p in notice.split("\n\n"))
+        for text in (notice, unwrapped, notice.replace("\n", "\r\n"), "".join(f"# {x}\n" for x in notice.split("\n"))):
+            expected[len(rows)] = name
+            rows.append((len(rows), text))
+    tail = APACHE[APACHE.index("you may not") :]
+    for text, name in ((tail, "Apache-2.0"), ("All rights\n\nreserved", ""), ("We said: released under\nthe MIT license.", ""), ("a\nReleased under\nthe MIT license\nb", "MIT")):
+        expected[len(rows)] = name
+        rows.append((len(rows), text))
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == expected
+
+
 def test_empty_tables(empty, spark):
     for f in (license_scan.license_scan, fingerprint.fingerprint_digests, ngram_jaccard.jaccard_components, exact_dedup.exact_groups, substring_dedup.substring_dedup, language_id.identify_languages, trie_bpe.encode_digests, line_dedup.site_line_dedup):
         assert f(empty).count() == 0, f
