@@ -173,6 +173,7 @@ _CHECKED = f"{oracles.validated('customers')}, {oracles.exact('customers')}"
 
 
 def _annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Exact duplicates alone, as the SQL of the queries that use it states; the whole is ``_searched``."""
     rows, exact = _exact(spark, d, "customers")
     found = dedup.duplicates(exact, exact.selectExpr("*", "cast(null as double) AS similarity").where("false"))
     return dedup.annotate_duplicates(rows, found), found
@@ -326,6 +327,53 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(audit.issues_by_code(rows).select(F.concat(F.lit("issue:"), "code").alias("metric"), F.col("issues").alias("value")))
 
 
+def _searched(spark: SparkSession, d: str, entity: str = "customers") -> tuple[DataFrame, DataFrame]:
+    """Annotated rows and duplicates of both searches, as in run_migration. SQL can't express the name ratio, so these queries have none."""
+    rows, exact = _exact(spark, d, entity)
+    named = {"full_name", "name"} & set(rows.columns)
+    possible = dedup.find_possible(rows.where("is_valid"), exact) if named else exact.selectExpr("*", "cast(null as double) AS similarity").where("false")
+    found = dedup.duplicates(exact, possible)
+    return dedup.annotate_duplicates(rows, found), found
+
+
+def _searched_queries() -> None:
+    for entity in _SOURCES:
+        query(f"issues_by_code_searched_{entity}")(lambda s, d, e=entity: audit.issues_by_code(_searched(s, d, e)[0]))
+
+
+_searched_queries()
+
+
+@query("dedup_annotated_searched")
+def dedup_annotated_searched(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _searched(spark, d)
+    return rows.select("_row", F.posexplode("issues").alias("pos", "i")).select("_row", F.col("pos").cast("long").alias("pos"), "i.code", "i.severity", "i.field", "i.message")
+
+
+@query("duplicates_table_searched")
+def duplicates_table_searched(spark: SparkSession, d: str) -> DataFrame:
+    return outputs.duplicate_rows(_searched(spark, d)[1])
+
+
+@query("masked_duplicates_searched")
+def masked_duplicates_searched(spark: SparkSession, d: str) -> DataFrame:
+    return masked_preview(outputs.duplicate_rows(_searched(spark, d)[1])).select("linha", "chave", "valor")
+
+
+@query("run_totals_searched")
+def run_totals_searched(spark: SparkSession, d: str) -> DataFrame:
+    return audit.run_totals(*_searched(spark, d))
+
+
+@query("flagship_searched")
+def flagship_searched(spark: SparkSession, d: str) -> DataFrame:
+    """Map, validate and search the customers for duplicates: totals, and issues by code after annotation."""
+    rows, found = _searched(spark, d)
+    names = ("total_records", "valid_records", "duplicate_records", "possible_duplicates")
+    totals = audit.run_totals(rows, found).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("metric", "value"))
+    return totals.unionByName(audit.issues_by_code(rows).select(F.concat(F.lit("issue:"), "code").alias("metric"), F.col("issues").alias("value")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,4 +1,7 @@
+import difflib
 import os
+import unicodedata
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from ferryline.operators import dedup
 from ferryline.operators.mapping import CUSTOMERS_CSV, FieldRule, Template, apply_mapping, reconcile_columns
 from ferryline.operators.validation import validate
+from ferryline.plans import registry
 from ferryline.plans.migration import run_migration
 from ferryline.sinks import outputs
 from ferryline.sources.delimited import read_delimited
@@ -102,3 +106,42 @@ def test_partitions_do_not_matter(spark, rows):
     one = validate(apply_mapping(rows[0], CUSTOMERS_CSV), "customers", date(2025, 1, 1))
     a, b = (sorted(map(tuple, dedup.find_exact(x.where("is_valid")).collect())) for x in (one, one.repartition(7)))
     assert a == b
+
+
+def test_searched_queries(spark):
+    """Both searches by brute force, on customers where k and k + 900 share a phone."""
+    d, run = "/root/testdata/sf0.01", registry.queries()
+    rows = registry._validated(spark, d, "customers").orderBy("_row").collect()
+    valid = [r for r in rows if r["is_valid"]]
+
+    def key(r, c):
+        return (r[c] or "").strip().lower() or None
+
+    def name(r):
+        return "".join(c for c in unicodedata.normalize("NFKD", key(r, "full_name") or "") if not unicodedata.combining(c))
+
+    seen, exact, possible = {}, [], []
+    for i, r in enumerate(valid):
+        keys = [(k, v) for k in dedup.EXACT_KEYS if k in valid[0] and (v := key(r, k))]
+        hit = next((k for k in keys if k in seen), None)
+        if hit:
+            exact.append((r["_row"], seen[hit], "exata", *hit))
+        else:
+            for p in valid[:i]:
+                k = next((k for k in ("phone", "postal_code") if key(r, k) and key(r, k) == key(p, k)), None)
+                if k and name(r) and name(p) and difflib.SequenceMatcher(None, name(r), name(p)).ratio() >= dedup.THRESHOLD:
+                    possible.append((r["_row"], p["_row"], outputs.KINDS["possible"], k, key(r, k)))
+                    break
+        for k in keys:
+            seen.setdefault(k, r["_row"])
+    assert possible
+    codes = Counter(i["code"] for r in rows for i in r["issues"]) + Counter(duplicate_exact=len(exact), duplicate_possible=len(possible))
+    assert sorted(tuple(r)[:5] for r in run["duplicates_table_searched"](spark, d).collect()) == sorted(exact + possible)
+    assert {r["code"]: r["issues"] for r in run["issues_by_code_searched_customers"](spark, d).collect()} == codes
+    totals = {"total_records": len(rows), "valid_records": len(valid), "duplicate_records": len(exact), "possible_duplicates": len(possible)}
+    assert {r["metric"]: r["value"] for r in run["flagship_searched"](spark, d).collect()} == totals | {f"issue:{c}": n for c, n in codes.items()}
+    found = run["run_totals_searched"](spark, d).first().asDict()
+    assert {k: found[k] for k in totals} == totals
+    print("searched", totals)
+    assert run["masked_duplicates_searched"](spark, d).count() == len(exact + possible)
+    assert Counter(r["code"] for r in run["dedup_annotated_searched"](spark, d).collect()) == codes
