@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
 #: Shuffle files go at the end of the query that made them, not when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Without one, only a session whose tasks run on the driver's own machine (as in tests) gets a folder beside its warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return _own["dir"]
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_working"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +62,17 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def groups(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``size`` bytes together; a longer text is a group of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        begin = ends[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, begin + size, "right")))
+        yield texts.slice(at, until - at)
+        at = until
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -95,10 +95,10 @@ def _write(path: str, folder: str, length: int, end_id: int):
         found, writer, part = encoder(path, False), None, -1
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found.encode(batch.column("text")), strict=True):
                 if writer is None:
                     writer = _Writer(folder, length, dtype)
-                writer.add(doc_id, np.append(found.encode(text.as_py()), np.uint32(end_id)))
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([writer.name]), pa.array([writer.low_id], pa.int64()), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_tokens], pa.int64())], names=["part", "file", "low_id", "n_docs", "n_tokens"])
@@ -163,8 +163,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``manifest``, read from them."""
-    files = manifest.select("file", "start").repartition(F.col("file"))
-    return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("file", "start")
+    # A stated number of partitions is not merged at run time: the files are read by many tasks.
+    return files.repartition(max(1, files.count()), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, path: str, end_id: int = 2, length: int = 2048) -> DataFrame:
