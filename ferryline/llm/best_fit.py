@@ -32,7 +32,8 @@ def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
     """A combination of lengths that holds ``seed`` and leaves the least of ``size`` unused.
 
     ``counts`` are the lengths left. Bit s of ``reach[i]`` says that s is a sum of the first i lengths,
-    longest first; the sums are walked back from the largest one.
+    longest first; the sums are walked back from the largest one. Of equally full combinations, the walk takes the one
+    with the longest pieces, so that short pieces are left for the bins that need them.
     """
     room = size - seed
     full = (1 << (room + 1)) - 1
@@ -60,38 +61,19 @@ def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
     return out
 
 
-def decreasing(seed: int, counts: dict[int, int], size: int) -> Counter:
-    """The combination that always adds the longest length that still fits."""
-    room, out = size - seed, Counter({seed: 1})
-    for n in sorted(counts, reverse=True):
-        many = min(room // n, counts[n] - out[n])
-        if many > 0:
-            out[n] += many
-            room -= n * many
-    return out
-
-
 def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
-    """(combination, times) until every piece of ``histogram`` (length: count) has a place.
-
-    Filling every bin to the brim may spend the short pieces early, so the plan of plain decreasing
-    combinations is made too and the one with fewer sequences is taken.
-    """
-
-    def made_by(choose) -> list[tuple[Counter, int]]:
-        left = {n: c for n, c in histogram.items() if c > 0}
-        out = []
-        while left:
-            found = choose(max(left), left, size)
-            times = min(left[n] // k for n, k in found.items())
-            out.append((found, times))
-            for n, k in found.items():
-                left[n] -= k * times
-                if not left[n]:
-                    del left[n]
-        return out
-
-    return min((made_by(f) for f in (fullest, decreasing)), key=lambda p: sum(times for _, times in p))
+    """(combination, times) until every piece of ``histogram`` (length: count) has a place."""
+    left = {n: c for n, c in histogram.items() if c > 0}
+    out = []
+    while left:
+        found = fullest(max(left), left, size)
+        times = min(left[n] // k for n, k in found.items())
+        out.append((found, times))
+        for n, k in found.items():
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+    return out
 
 
 def places(combinations: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
@@ -116,8 +98,8 @@ def _pieces(path: str, size: int, end_id: int):
         found = encoder(path, True)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(found.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found.encode(batch.column("text")), strict=True):
+                ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     out.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes())))
