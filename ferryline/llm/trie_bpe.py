@@ -2,9 +2,10 @@
 
 The encoding of a word is determined by the last token of each of its prefixes: the last token t of a
 prefix is the one whose preceding token (the last token of the prefix without t) forms a stable pair
-with t, that is, encoding both together gives back exactly the two. So the distinct words of a batch go
-into a trie of their symbols, the last token of every node is found once from its ancestors' last
-tokens, and a word's ids are read back along its path. Shared prefixes are encoded once.
+with t, that is, encoding both together gives back exactly the two. The distinct words of a group of texts are walked
+in sorted order, which is the depth-first order of their trie: a word starts at the node where it leaves
+the word before it, and the last tokens on the path above are not computed again. The tokens that end at a node
+come from an automaton of all tokens, longest first. A word's ids are read back along its path.
 """
 
 from __future__ import annotations
@@ -12,22 +13,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import documents, read_documents
-from .tokens import CACHED_CHUNKS, WORD_BPE, load, tokenizer_path
+from ._shared import documents, groups, read_documents
+from .tokens import TOGETHER, WORD_BPE, Remembered, Splitter, load, tokenizer_path
 
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-_SHOWN = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174]
-#: Byte-level files show a byte by its Latin-1 sign, the invisible ones by signs from U+0100 on.
-_BYTE_ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-#: Characters whose new chunks are learned together.
-_TOGETHER = 2_000_000
 
 
 class TrieBpe:
@@ -43,24 +40,55 @@ class TrieBpe:
         self.symbols: dict[str, tuple[str, ...]] = {s: (s,) for s in self.vocab}
         for a, b in merges:
             self.symbols[a + b] = self.symbols[a] + self.symbols[b]
-        #: Tokens that the merges reach, inside and at the end of a word, by their bare symbols; and the
-        #: lengths of those that end in a symbol, longest first.
-        self.reached: tuple[dict[str, str], dict[str, str]] = ({}, {})
-        lengths: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
-        ends = {s for s in self.vocab if self.suffix and len(s) == 1 + len(self.suffix) and s.endswith(self.suffix)}
-        single = [s for s in self.vocab if len(s) == 1] + sorted(ends)
+        self.names = {i: s for s, i in self.vocab.items()}
+        #: For each token at the right of a pair: whether the token at the left stays apart from it.
+        self.stable: dict[int, dict[int, bool]] = {i: {} for i in self.names}
+        #: Tokens that the merges reach, inside and at the end of a word, by their bare symbols.
+        inside, ends = {}, {}
+        last = {s for s in self.vocab if self.suffix and len(s) == 1 + len(self.suffix) and s.endswith(self.suffix)}
+        single = [s for s in self.vocab if len(s) == 1] + sorted(last)
         for token in single + [a + b for a, b in merges]:
             symbols = self.symbols[token]
             if self.merge(symbols) == [token]:
-                end = not self.suffix or symbols[-1] in ends
-                for at_end in {end, end and bool(self.suffix)}:
-                    bare = "".join(symbols[:-1]) + symbols[-1][0]
-                    self.reached[at_end][bare] = token
-                    lengths[at_end].setdefault(bare[-1], set()).add(len(symbols))
-        if not self.suffix:
-            self.reached, lengths = (self.reached[1], self.reached[1]), (lengths[1], lengths[1])
-        self.lengths = tuple({s: sorted(n, reverse=True) for s, n in side.items()} for side in lengths)
-        self.stable: dict[tuple[str, str], bool] = {}
+                bare = "".join(symbols[:-1]) + symbols[-1][0]
+                (ends if symbols[-1] in last else inside)[bare] = self.vocab[token]
+        self._automaton(inside, ends if self.suffix else inside)
+
+    def _automaton(self, inside: dict[str, int], ends: dict[str, int]) -> None:
+        """States are prefixes of tokens: ``goto`` leads to the longest one that ends the text read so far; ``inside``
+        and ``ends`` list the (length, token) that end there, longest first."""
+        self.goto: list[dict[str, int]] = [{}]
+        own: list[str] = [""]
+        for bare in {*inside, *ends}:
+            state = 0
+            for k, symbol in enumerate(bare):
+                after = self.goto[state].get(symbol)
+                if after is None:
+                    after = self.goto[state][symbol] = len(self.goto)
+                    self.goto.append({})
+                    own.append(bare[: k + 1])
+                state = after
+        self.fail = [0] * len(self.goto)
+        self.inside: list[tuple] = [()] * len(self.goto)
+        self.ends: list[tuple] = [()] * len(self.goto)
+        waiting = deque([0])
+        while waiting:
+            state = waiting.popleft()
+            for symbol, after in list(self.goto[state].items()):
+                waiting.append(after)
+                if state:
+                    self.fail[after] = self._go(self.fail[state], symbol)
+                for out, tokens in ((self.inside, inside), (self.ends, ends)):
+                    found = tokens.get(own[after])
+                    out[after] = (((len(own[after]), found),) if found is not None else ()) + out[self.fail[after]]
+
+    def _go(self, state: int, symbol: str) -> int:
+        """The state after ``symbol``, without adding to ``goto``."""
+        while True:
+            after = self.goto[state].get(symbol)
+            if after is not None or not state:
+                return after or 0
+            state = self.fail[state]
 
     def merge(self, symbols: tuple[str, ...]) -> list[str]:
         """The definition: merge the leftmost pair of least rank until none is left."""
@@ -72,61 +100,52 @@ class TrieBpe:
             parts[least : least + 2] = [parts[least] + parts[least + 1]]
         return parts
 
-    def is_stable(self, a: str, b: str) -> bool:
-        found = self.stable.get((a, b))
-        if found is None:
-            if len(self.stable) > 2_000_000:
-                self.stable.clear()
-            found = self.stable[a, b] = self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
+    def _is_stable(self, left: int, right: int) -> bool:
+        a, b = self.names[left], self.names[right]
+        found = self.stable[right][left] = self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
         return found
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """ids of distinct words (in the file's byte alphabet), all in one trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in word:
-                child = node.get(symbol)
-                if child is None:
-                    child = node[symbol] = {}
-                node = child
-            node[""] = word
+        """ids of distinct words (in the file's byte alphabet)."""
         out: dict[str, list[int]] = {}
-        #: Along the current path: the last token of each prefix and where it starts.
-        last: list[str] = []
-        start: list[int] = []
-        stack = [(symbol, node) for symbol, node in root.items()]
-        while stack:
-            prefix, node = stack.pop()
-            depth = len(prefix) - 1
-            del last[depth:], start[depth:]
-            if "" in node:
-                token, at = self._last_token(prefix, last, True)
-                ids, end = [self.vocab[token]], at - 1
-                while end >= 0:
-                    ids.append(self.vocab[last[end]])
-                    end = start[end] - 1
-                out[prefix] = ids[::-1]
-                if len(node) == 1:
-                    continue
-            token, at = self._last_token(prefix, last, False)
-            last.append(token)
-            start.append(at)
-            for symbol, child in node.items():
-                if symbol:
-                    stack.append((prefix + symbol, child))
+        goto, stable, inside, ends = self.goto, self.stable, self.inside, self.ends
+        #: Along the current path, by depth: state, last token of the prefix, and depth before that token.
+        states, last, before = [0], [], []
+        path = ""
+        for word in sorted(words):
+            if not word:
+                out[word] = []
+                continue
+            depth, most = 0, min(len(last), len(word) - 1)
+            while depth < most and path[depth] == word[depth]:
+                depth += 1
+            del states[depth + 1 :], last[depth:], before[depth:]
+            path, state = word, states[depth]
+            end = len(word) - 1
+            for at in range(depth, end + 1):
+                symbol = word[at]
+                after = goto[state].get(symbol)
+                state = self._go(state, symbol) if after is None else after
+                for n, token in inside[state] if at < end else ends[state]:
+                    rest = at - n
+                    if rest < 0:
+                        break
+                    fits = stable[token].get(last[rest])
+                    if fits or fits is None and self._is_stable(last[rest], token):
+                        break
+                else:
+                    raise ValueError(f"no encoding of {word[: at + 1]!r}")
+                if at < end:
+                    states.append(state)
+                    last.append(token)
+                    before.append(rest)
+            ids = [token]
+            while rest >= 0:
+                ids.append(last[rest])
+                rest = before[rest]
+            out[word] = ids[::-1]
         return out
 
-    def _last_token(self, prefix: str, last: list[str], end: bool) -> tuple[str, int]:
-        """The last token of ``prefix`` (at the end of a word or inside one) and where it starts."""
-        reached, size = self.reached[end], len(prefix)
-        for n in self.lengths[end][prefix[-1]]:
-            if n <= size:
-                token = reached.get(prefix[size - n :])
-                if token is not None and (n == size or self.is_stable(last[size - n - 1], token)):
-                    return token, size - n
-        raise ValueError(f"no encoding of {prefix!r}")
-
 
 @cache
 def _model(path: str) -> TrieBpe:
@@ -140,72 +159,43 @@ class Codec:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.model = load(path), _model(path)
+        self.tokenizer, self.model, self.splitter = load(path), _model(path), Splitter(path, words=True)
         if self.tokenizer.decoder is not None:
             raise ValueError("only files without a decoder: their tokens are joined by one blank")
         added = self.tokenizer.get_added_tokens_decoder()
         self.special_ids = {t.content: i for i, t in added.items()}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True))) + ")") if added else None
-        self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.known: dict[str, tuple[int, str, str]] = {}
-        #: Whether Latin words with trailing stops are split and lower-cased as ``_simple_words`` does.
-        probe = [chr(i) for i in range(65, 256) if _SIMPLE.fullmatch(chr(i))]
-        self.plain = all(self._by_file(x) == self._simple_words(x) for x in [*probe, "".join(probe) + ".,", "ab,"])
-
-    def _by_file(self, chunk: str) -> list[str]:
-        normalize = self.tokenizer.normalizer
-        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normalize.normalize_str(chunk) if normalize else chunk)]
-
-    @staticmethod
-    def _simple_words(chunk: str) -> list[str] | None:
-        """Words of a chunk of Latin letters and trailing stops, without the library; None for others."""
-        found = _SIMPLE.fullmatch(chunk)
-        return [w.lower().encode().decode("latin-1").translate(_BYTE_ALPHABET) for w in found.groups() if w] if found else None
-
-    def words(self, chunk: str) -> list[str]:
-        """The chunk's words in the file's byte alphabet."""
-        found = self._simple_words(chunk) if self.plain else None
-        return self._by_file(chunk) if found is None else found
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the distinct chunks that are not known yet, in one trie; a full cache starts anew."""
-        new = {c for c in chunks if c not in self.known}
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
-            new = set(chunks)
-        words = {c: self.words(c) for c in new}
-        ids = self.model.encode_words({w for ws in words.values() for w in ws})
-        for chunk, ws in words.items():
-            self.known[chunk] = self._entry([i for w in ws for i in ids[w]])
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True))) + ")")
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Each id and its token, as they are written, with a blank behind.
+        self.shown = {i: (f"{i} ", f"{t} ") for t, i in tokens.items()}
+        self.known = Remembered()
 
     def _entry(self, ids: list[int]) -> tuple[int, str, str]:
         """(number of ids, ids, decoded text), each item with a blank behind it."""
-        return len(ids), "".join(f"{i} " for i in ids), "".join(f"{self.tokens[i]} " for i in ids)
-
-    def _parts(self, text: str) -> list[str]:
-        return self.special.split(text) if self.special and any(s in text for s in self.special_ids) else [text]
-
-    def chunks(self, text: str) -> list[str]:
-        return [c for part in self._parts(text) if part not in self.special_ids for c in _ASCII_SPACE.split(part)]
-
-    def encode_decode(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, decimal ids joined by one space, decoded text)."""
-        count, ids, decoded = 0, [], []
-        for part in self._parts(text):
-            if part in self.special_ids:
-                found = [self._entry([self.special_ids[part]])]
-            else:
-                chunks = _ASCII_SPACE.split(part)
-                try:
-                    found = list(map(self.known.__getitem__, chunks))
-                except KeyError:
-                    self.learn(chunks)
-                    found = list(map(self.known.__getitem__, chunks))
-            for n, i, d in found:
-                count += n
-                ids.append(i)
-                decoded.append(d)
-        return count, "".join(ids)[:-1], "".join(decoded)[:-1]
+        shown = [self.shown[i] for i in ids]
+        return len(ids), "".join([x[0] for x in shown]), "".join([x[1] for x in shown])
+
+    def _learn(self, chunks: list[str]) -> list[tuple[int, str, str]]:
+        """Encode distinct chunks, all in one trie."""
+        words = [self.splitter.words(c) for c in chunks]
+        ids = self.model.encode_words({w for many in words for w in many})
+        return [self._entry(ids[many[0]] if len(many) == 1 else [i for w in many for i in ids[w]]) for many in words]
+
+    def _with_specials(self, text: str) -> list[tuple[int, str, str]]:
+        parts = [(part, _ASCII_SPACE.split(part)) for part in self.special.split(text)]
+        chunks = list({c for part, many in parts if part not in self.special_ids for c in many})
+        entries = dict(zip(chunks, self._learn(chunks), strict=True))
+        return [e for part, many in parts for e in ([self._entry([self.special_ids[part]])] if part in self.special_ids else [entries[c] for c in many])]
+
+    def encode_decode(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, decimal ids joined by one space, decoded text) of each text, in order."""
+        for group in groups(texts, TOGETHER):
+            chunks, codes, edges, odd = self.splitter.split(group)
+            entries = self.known.values(chunks, (np.bincount(codes, minlength=len(chunks)) > 1).tolist(), self._learn)
+            special, edges = set(odd.tolist()), edges.tolist()
+            for i in range(len(group)):
+                found = self._with_specials(group[i].as_py()) if i in special else [entries[c] for c in codes[edges[i] : edges[i + 1]].tolist()]
+                yield sum([e[0] for e in found]), "".join([e[1] for e in found])[:-1], "".join([e[2] for e in found])[:-1]
 
 
 @cache
@@ -213,19 +203,6 @@ def _codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about _TOGETHER characters."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= _TOGETHER:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _digest(path: str):
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
@@ -233,12 +210,7 @@ def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            rows = []
-            for texts in _groups(batch.column("text").to_pylist()):
-                codec.learn({c for t in texts for c in codec.chunks(t)})
-                for text in texts:
-                    n, ids, decoded = codec.encode_decode(text)
-                    rows.append((n, sha(ids), sha(decoded)))
+            rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in codec.encode_decode(batch.column("text"))]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
