@@ -1,7 +1,7 @@
 """Line dedup across sites, with DataFrame functions only.
 
-For every distinct line a HyperLogLog sketch of the sites it occurs on; sketches merge by aggregation, so a
-line on a third of all pages is combined before the shuffle. Lines whose estimate is near the threshold
+For every distinct line a HyperLogLog sketch of the sites it occurs on, made where the lines are and merged by aggregation,
+so a line on a third of all pages leaves a task as one sketch. Lines whose estimate is near the threshold
 are counted exactly; the others are decided by the sketch. Lines on at least ``min_sites`` sites are boilerplate and are
 removed from every document.
 """
@@ -25,9 +25,7 @@ def _lines(text: Column) -> Column:
 def line_sites(lines: DataFrame, min_sites: int) -> DataFrame:
     """(hash_a, hash_b) of the lines of ``lines(hash_a, hash_b, site)`` on at least ``min_sites`` sites."""
     key = ["hash_a", "hash_b"]
-    # The same line and site need one update; this also combines hot lines before the sketches.
-    once = lines.where("site is not null").groupBy(*key, "site").agg(F.lit(1).alias("one"))
-    spread = once.groupBy(*key).agg(F.hll_sketch_agg("site", F.lit(_LG_K)).alias("sketch")).select(*key, F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = lines.where("site is not null").groupBy(*key).agg(F.hll_sketch_agg("site", F.lit(_LG_K)).alias("sketch")).select(*key, F.hll_sketch_estimate("sketch").alias("sites"))
     spread, _ = materialize(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select(*key)
     near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select(*key)
