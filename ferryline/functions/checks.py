@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip
+from .text import digits, let, strip
 
 #: State codes.
 STATES = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
@@ -23,52 +23,59 @@ CPF_WEIGHTS = ((10, 9, 8, 7, 6, 5, 4, 3, 2), (11, 10, 9, 8, 7, 6, 5, 4, 3, 2))
 CNPJ_WEIGHTS = ((5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))
 
 
-def _weighted(digits: Column, weights: tuple[int, ...]) -> Column:
-    return reduce(lambda a, b: a + b, (F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(weights)))
+#: Fixed value: the shape of an e-mail address.
+_EMAIL = r"(?U)^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
 
 
-def _digits_of(c: Column, n: int) -> Column:
-    """The text where it is n digits, not all equal; else null."""
-    return let(c, lambda x: F.when(x.rlike(rf"^[0-9]{{{n}}}$") & ~x.rlike(r"^(.)\1*$"), x))
+def _digit(number: Column, size: int, i: int) -> Column:
+    """The i-th of ``size`` digits of a whole number."""
+    return F.call_function("div", number, F.lit(10 ** (size - 1 - i))) % 10
+
+
+def _weighted(number: Column, size: int, weights: tuple[int, ...]) -> Column:
+    return reduce(lambda a, b: a + b, (_digit(number, size, i) * w for i, w in enumerate(weights)))
+
+
+def _number(c: Column, size: int) -> Column:
+    """The digits of ``c`` as a whole number where there are ``size`` of them, not all equal; else null. Masks do not matter."""
+    return let(digits(c), lambda d: let(F.when(F.length(d) == size, d.try_cast("long")), lambda n: F.when(n % ((10**size - 1) // 9) != 0, n)))
 
 
 def is_valid_cpf(c: Column) -> Column:
-    """P1"""
-    return F.coalesce(let(_digits_of(c, 11), _cpf_right), F.lit(False))
+    """The check digits of the 11 digits in ``c``, masked or not."""
 
+    def right(n: Column) -> Column:
+        first, second = (_weighted(n, 11, w) * 10 % 11 % 10 == _digit(n, 11, len(w)) for w in CPF_WEIGHTS)
+        return first & second
 
-def _cpf_right(d: Column) -> Column:
-    first, second = ((_weighted(d, w) * 10) % 11 % 10 == F.substring(d, len(w) + 1, 1).cast("int") for w in CPF_WEIGHTS)
-    return first & second
+    return F.coalesce(let(_number(c, 11), right), F.lit(False))
 
 
 def is_valid_cnpj(c: Column) -> Column:
-    """P2"""
-    return F.coalesce(let(_digits_of(c, 14), _cnpj_right), F.lit(False))
-
+    """The check digits of the 14 digits in ``c``, masked or not."""
 
-def _cnpj_right(d: Column) -> Column:
-    def right(weights: tuple[int, ...]) -> Column:
+    def right(n: Column) -> Column:
         # 11 - rest, and 0 where that is 10 or 11
-        return (11 - _weighted(d, weights) % 11) % 11 % 10 == F.substring(d, len(weights) + 1, 1).cast("int")
+        first, second = ((11 - _weighted(n, 14, w) % 11) % 11 % 10 == _digit(n, 14, len(w)) for w in CNPJ_WEIGHTS)
+        return first & second
 
-    return right(CNPJ_WEIGHTS[0]) & right(CNPJ_WEIGHTS[1])
+    return F.coalesce(let(_number(c, 14), right), F.lit(False))
 
 
 def document_type(c: Column) -> Column:
-    """Cpf or cnpj for a valid tax id, else null."""
+    """Cpf or cnpj for a valid tax id, masked or not; else null."""
     return F.when(is_valid_cpf(c), "cpf").when(is_valid_cnpj(c), "cnpj")
 
 
 def document_problem(c: Column) -> Column:
     """Why a tax id is refused; null for valid ones and for null."""
-    n = F.length(c)
+    n = F.length(digits(c))
     return F.when(c.isNull() | document_type(c).isNotNull(), F.lit(None)).when(n == 11, "the CPF check digits do not match").when(n == 14, "the CNPJ check digits do not match").otherwise("a CPF has 11 digits and a CNPJ 14")
 
 
 def mask_document(c: Column) -> Column:
     """P4"""
-    return let(F.regexp_replace(c, r"(?U)\D", ""), _masked)
+    return let(digits(c), _masked)
 
 
 def _masked(d: Column) -> Column:
@@ -80,17 +87,17 @@ def _masked(d: Column) -> Column:
 
 def is_valid_email(c: Column) -> Column:
     """P5"""
-    return F.coalesce(strip(c).rlike(r"(?U)^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(_EMAIL), F.lit(False))
 
 
 def is_valid_phone(c: Column) -> Column:
     """10 to 13 digits"""
-    return F.coalesce(F.length(F.regexp_replace(c, r"(?U)\D", "")).between(10, 13), F.lit(False))
+    return F.coalesce(F.length(digits(c)).between(10, 13), F.lit(False))
 
 
 def is_valid_postal_code(c: Column) -> Column:
     """8 digits"""
-    return F.coalesce(F.length(F.regexp_replace(c, r"(?U)\D", "")) == 8, F.lit(False))
+    return F.coalesce(F.length(digits(c)) == 8, F.lit(False))
 
 
 def is_valid_uf(c: Column) -> Column:
@@ -100,4 +107,5 @@ def is_valid_uf(c: Column) -> Column:
 
 def invoice_status(c: Column) -> Column:
     """Open, paid, overdue or canceled; null for unknown labels."""
-    return let(F.lower(strip(c)), lambda label: F.coalesce(*(F.when(label.isin(*labels), status) for status, labels in STATUS_LABELS.items())))
+    table = F.create_map(*(F.lit(x) for status, labels in STATUS_LABELS.items() for label in labels for x in (label, status)))
+    return F.try_element_at(table, F.lower(strip(c)))

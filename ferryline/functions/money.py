@@ -5,36 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, let, strip
+from .text import SPACE, let, or_null, strip
 
+#: Fixed value: the notation that goes first, with the point between thousands and the decimal comma.
+_BRAZILIAN = r"^-?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\d+(,\d+)?$"
 
-def decimal_text(c: Column) -> Column:
-    """The amount as plain digits with its own scale ("-1234.50"), null where it is no number.
 
-    "1.234" is one thousand two hundred thirty-four: Brazilian notation goes first.
+def noted(c: Column) -> Column:
+    """N1, first step: the bare notation, without currency signs and blanks; "-" behind it where the amount is negative by
+    parentheses or a trailing minus, whatever sign it has."""
+    text = strip(c)
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1"), rf"(?iU)r\$|brl|{SPACE}", "")
+    accounting = F.when(text.rlike(r"(?s)^\(.*\)$"), F.concat(F.regexp_replace(bare, "^-", ""), F.lit("-"))).otherwise(bare)
+    return F.when(bare.rlike("^[0-9.,]+-$"), bare).when(bare.rlike("^-?[0-9.,]+$"), accounting)
+
+
+def plain(text: Column) -> Column:
+    """N1, second step: plain digits with their own scale, null where ``text`` (a result of ``noted``) is no number.
+
+    The "~" below stands before the digits for a moment only: ``noted`` lets none through.
     """
-    # A leading "~" stands for parentheses or a trailing minus: the amount is negative whatever its sign.
-    text = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", "~$1")
-    text = F.regexp_replace(text, rf"(?iU)r\$|brl|{SPACE}", "")
-    text = F.regexp_replace(text, r"^(~?)([0-9.,]+)-$", "~$2")
-    return let(text, lambda t: _signed(t, let(F.regexp_replace(t, "^~", ""), _plain)))
-
-
-def _plain(text: Column) -> Column:
-    """The notation of ``text`` brought to plain digits, null where it is none."""
-    commas, dots = (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in (",", "."))
-    plain = (
-        F.when(text.rlike(r"^-?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\d+(,\d+)?$"), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(text.rlike(r",.*\.[^.,]*$"), F.replace(text, F.lit(","), F.lit("")))
-        .when(dots > 1, F.replace(text, F.lit("."), F.lit("")))
-        .when(commas <= 1, F.replace(text, F.lit(","), F.lit(".")))
+    negative = text.endswith("-")
+    bare = F.regexp_replace(text, "(?<=.)-$", "")
+    number = (
+        F.when(bare.rlike(_BRAZILIAN), F.translate(bare, ",.", "."))
+        .when(bare.rlike(r",.*\.[^.,]*$"), F.replace(bare, F.lit(","), F.lit("")))
+        .when(bare.rlike(r"\..*\."), F.replace(bare, F.lit("."), F.lit("")))
+        .when(~bare.rlike(",.*,"), F.replace(bare, F.lit(","), F.lit(".")))
     )
-    return let(plain, lambda x: F.when(x.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), x))
+    # A decimal number, written with one zero before the point, none before other digits and no point at the end; by
+    # parentheses or a trailing minus it is negative whatever its sign, and zero has none then.
+    number = F.regexp_extract(number, r"^-?(\d+\.?\d*|\.\d+)$", 0)
+    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(number, r"^(-?)0+(?=\d)", "$1"), r"^(-?)(?=\.)", "$10"), r"\.$", "")
+    marked = F.concat(F.when(negative, F.lit("~")).otherwise(F.lit("")), number)
+    return or_null(F.regexp_replace(F.regexp_replace(marked, "^~-?(?=.*[1-9])", "-"), "^~-?", ""))
 
 
-def _signed(marked: Column, number: Column) -> Column:
-    """``number`` made negative where ``marked`` says so; zero has no sign then."""
-    return let(number, lambda n: F.when(~marked.startswith("~"), n).otherwise(F.regexp_replace(F.regexp_replace(n, "^-", ""), "^(?=.*[1-9])", "-")))
+def decimal_text(c: Column) -> Column:
+    """The amount as plain digits with its own scale ("-1234.50"), null where it is no number.
+
+    "1.234" is one thousand two hundred thirty-four: Brazilian notation goes first.
+    """
+    return let(noted(c), plain)
 
 
 def parse_decimal(c: Column) -> Column:

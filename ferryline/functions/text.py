@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f]"
 _SPACES = f"(?U){SPACE}+"
+#: Fixed value: characters that are removed.
 _INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u200B-\u200F\u202A-\u202E\uFEFF]"
 
 #: Texts that stand for "no value".
@@ -32,27 +33,33 @@ PARTICLES = ("da", "de", "do", "das", "dos", "e", "di", "du", "van", "von", "del
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c computed once, however often f reads it."""
+    """f(c) with c computed once, however often f reads it. For short formulas: f is not compiled into the stage's code."""
     return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
-def _or_null(c: Column) -> Column:
-    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
+def or_null(c: Column) -> Column:
+    """Null for an empty text; ``c`` is computed once."""
+    return F.nullif(c, F.lit(""))
+
+
+def digits(c: Column) -> Column:
+    """The decimal digits alone; may give an empty text."""
+    return F.regexp_replace(c, r"(?U)\D", "")
 
 
 def strip(c: Column) -> Column:
     """T1"""
-    return _or_null(F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", ""))
+    return or_null(F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", ""))
 
 
 def remove_control_characters(c: Column) -> Column:
     """T2"""
-    return _or_null(F.regexp_replace(c, _INVISIBLE, ""))
+    return or_null(F.regexp_replace(c, _INVISIBLE, ""))
 
 
 def collapse_whitespace(c: Column) -> Column:
     """T3"""
-    return _or_null(F.trim(F.regexp_replace(c, _SPACES, " ")))
+    return or_null(F.trim(F.regexp_replace(c, _SPACES, " ")))
 
 
 @F.pandas_udf(T.StringType())
@@ -101,7 +108,7 @@ def title_case(c: Column) -> Column:
 def nullify_markers(c: Column) -> Column:
     """Null for texts that stand for nothing; others unchanged."""
     marker = "|".join(re.escape(m) for m in NULL_MARKERS)
-    return _or_null(F.regexp_replace(c, f"(?iU)^{SPACE}*(?:{marker})?{SPACE}*$", ""))
+    return or_null(F.regexp_replace(c, f"(?iU)^{SPACE}*(?:{marker})?{SPACE}*$", ""))
 
 
 def clean_text(c: Column) -> Column:
@@ -111,7 +118,7 @@ def clean_text(c: Column) -> Column:
 
 def digits_only(c: Column) -> Column:
     """Cleaning first would change nothing, for no digit is removed by it and no marker holds one."""
-    return _or_null(F.regexp_replace(c, r"(?U)\D", ""))
+    return or_null(digits(c))
 
 
 def brazilian_phone(c: Column) -> Column:
@@ -135,8 +142,8 @@ def uf(c: Column) -> Column:
 
 
 def format_postal_code(c: Column) -> Column:
-    """00000-000 for 8 digits, else the digits."""
-    return F.regexp_replace(postal_code(c), r"(?U)^(\d{5})(\d{3})$", "$1-$2")
+    """00000-000 for 8 digits, else the digits as they are."""
+    return F.regexp_replace(digits_only(c), r"(?U)^(\d{5})(\d{3})$", "$1-$2")
 
 
 #: The closed catalogue of a mapping. The last two only mark a type; conversion belongs to validation.

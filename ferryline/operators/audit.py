@@ -14,7 +14,7 @@ DETAIL_LIMIT = 500
 
 
 def run_totals(validated: DataFrame, found: DataFrame, loaded: int = 0) -> DataFrame:
-    """A1: one row of totals; duplicates are the exact ones."""
+    """A1: one row of totals; exact and possible duplicates apart."""
     rows = validated.agg(F.count("*").alias("total_records"), F.count_if("is_valid").alias("valid_records"), F.count_if(~F.col("is_valid")).alias("rejected_records"))
     dups = found.agg(F.count_if(F.col("kind") == "exact").alias("duplicate_records"), F.count_if(F.col("kind") == "possible").alias("possible_duplicates"))
     # Two rows of one aggregate each.
@@ -48,8 +48,14 @@ def run_warnings(*warnings: DataFrame) -> DataFrame:
     return out
 
 
-def audit_report(annotated: DataFrame, found: DataFrame, record: DataFrame, ord: str = "_row") -> DataFrame:
-    """K4: one row with the whole report as JSON text."""
+def audit_report(annotated: DataFrame, found: DataFrame, record: DataFrame, ord: str = "_row", warnings: DataFrame | None = None) -> DataFrame:
+    """K4: one row with the whole report as JSON text.
+
+    One row can't hold the duplicates of any input: the report lists the first DETAIL_LIMIT of them, as it does issues, and names the
+    table of the run that has all. ``warnings`` are those of the run (A6), at most a few for each file.
+    """
+    if warnings is None:
+        warnings = annotated.sparkSession.createDataFrame([], "file string, problem string, columns string")
 
     def listed(df: DataFrame, order: list[str], name: str) -> DataFrame:
         return df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias(name), F.lit(1).alias("_one"))
@@ -61,8 +67,9 @@ def audit_report(annotated: DataFrame, found: DataFrame, record: DataFrame, ord:
         listed(issue_details(annotated, "warning", ord), ["row", "pos"], "warnings"),
         # Rows and keys only: values of duplicates are not part of the report. The first ones, as for issues.
         listed(found.select("ord", "matched", "kind", "key", "similarity").orderBy("ord").limit(DETAIL_LIMIT), ["ord", "matched"], "duplicates"),
+        listed(warnings, ["file", "problem", "columns"], "run_warnings"),
     ]
     out = record.select(F.struct("*").alias("run"), F.lit(1).alias("_one"))
     for part in parts:
         out = out.join(part, "_one")
-    return out.select(F.to_json(F.struct("run", "transforms_applied", "issues_by_code", "errors", "warnings", "duplicates")).alias("report"))
+    return out.select(F.to_json(F.struct("run", "transforms_applied", "issues_by_code", "errors", "warnings", "duplicates", F.lit("duplicates").alias("duplicates_table"), "run_warnings")).alias("report"))

@@ -54,13 +54,15 @@ def _rounded(values: pd.Series) -> pd.Series:
     return values.map(lambda x: round(x, 3))
 
 
-def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", threshold: float = THRESHOLD) -> DataFrame:
+def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", threshold: float = THRESHOLD, block_entries: int = 2_000) -> DataFrame:
     """(ord, matched, key, value, similarity) for rows that are no exact match: the first earlier row
     with a similar name and the same phone, or else the same postal code.
 
     Blocks are the distinct (phone or postal code, name) pairs: a value shared by very many rows with one name is one entry.
-    Names whose lengths alone exclude the threshold are dropped before the comparison, and every
-    distinct pair of names of a block is compared once. An earlier row is the minimum over its entry.
+    A large block is dealt out: its entries get a number below the block's number of parts, and each meets the entries of every
+    part in a task of that part. Pairs whose lengths, or whose common characters, exclude the threshold (both are
+    upper bounds of the ratio) are dropped where they meet; the ratio is computed once for every other pair of distinct names.
+    An earlier row is the minimum over its entry.
     """
     name = next(n for n in ("full_name", "name") if n in valid.columns)
     keys = [k for k in ("phone", "postal_code") if k in valid.columns]
@@ -69,9 +71,15 @@ def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", thresho
     long = rows.select("ord", "name", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(k).alias("key"), F.col(k).alias("value")) for i, k in enumerate(keys)))).alias("k"))
     long = long.select("ord", "name", "k.rank", "k.key", "k.value").where("value is not null")
     entries = long.groupBy("key", "value", "name").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    prev = entries.select("key", "value", F.col("name").alias("prev_name"), F.col("first").alias("prev_first"))
-    la, lb = F.length("name"), F.length("prev_name")
-    pairs = entries.join(prev, ["key", "value"]).where((F.col("prev_first") < F.col("last")) & (2 * F.least(la, lb) / (la + lb) >= threshold))
+    # Each character of a name with its number among the equal ones before it: what two names can have in common.
+    numbered = F.transform("chars", lambda x, i: F.concat(x, F.size(F.filter(F.slice("chars", F.lit(1), i), lambda y: y == x)).cast("string")))
+    sizes = entries.groupBy("key", "value").agg(F.ceil(F.count("*") / F.lit(block_entries)).cast("int").alias("parts"))
+    entries = entries.join(sizes, ["key", "value"]).withColumn("chars", F.split("name", "")).withColumn("letters", numbered)
+    prev = entries.select("key", "value", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("prev_name"), F.col("first").alias("prev_first"), F.col("letters").alias("prev_letters"))
+    dealt = entries.select("key", "value", "name", "last", "letters", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    total = F.length("name") + F.length("prev_name")
+    shorter = F.least(F.length("name"), F.length("prev_name"))
+    pairs = dealt.join(prev, ["key", "value", "part"]).where((F.col("prev_first") < F.col("last")) & (2 * shorter / total >= threshold) & (2 * F.size(F.array_intersect("letters", "prev_letters")) / total >= threshold))
     scored = pairs.select("key", "value", "name", "prev_name", "prev_first", _similarity("name", "prev_name").alias("similarity")).where(F.col("similarity") >= threshold)
     left = long.join(exact.select(F.col("ord").alias("x")), F.col("ord") == F.col("x"), "left_anti")
     found = left.join(scored, ["key", "value", "name"]).where("prev_first < ord")

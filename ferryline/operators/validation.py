@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.dates import parse_datetime
-from ..functions.money import decimal_text, parse_decimal
+from ..functions.money import noted, plain
+from ..functions.text import digits
 
 ISSUE = "struct<code:string,severity:string,field:string,message:string,original_value:string,normalized_value:string>"
 MASKED_FIELDS = ("document", "customer_document")
@@ -57,9 +58,9 @@ def required_text(field: str, min_length: int = 1) -> Column:
 
 
 def document(field: str) -> Column:
-    """V2"""
+    """V2: ``_{field}_type`` holds the kind of a valid tax id; masks do not matter."""
     c = F.col(field)
-    return F.when(c.isNull(), issue("required_field", field)).when(checks.document_type(c).isNull(), issue("invalid_document", field, c))
+    return F.when(c.isNull(), issue("required_field", field)).when(F.col(f"_{field}_type").isNull(), issue("invalid_document", field, c))
 
 
 def optional_email(field: str = "email") -> Column:
@@ -98,15 +99,14 @@ def amount(field: str = "amount") -> Column:
 
 
 def status(field: str = "status") -> Column:
-    """V9"""
+    """V9: ``_status`` holds the state of a known label."""
     c = F.col(field)
-    return F.when(c.isNull(), issue("required_field", field)).when(checks.invoice_status(c).isNull(), issue("unknown_status", field, c))
+    return F.when(c.isNull(), issue("required_field", field)).when(F.col("_status").isNull(), issue("unknown_status", field, c))
 
 
 def contact_channel() -> Column:
     """No e-mail and no phone left after their own checks."""
-    mail = F.col("email").isNotNull() & checks.is_valid_email(F.col("email"))
-    phone = F.col("phone").isNotNull() & checks.is_valid_phone(F.col("phone"))
+    mail, phone = checks.is_valid_email(F.col("email")), checks.is_valid_phone(F.col("phone"))
     return F.when(~mail & ~phone, issue("missing_contact_channel", "email"))
 
 
@@ -115,36 +115,48 @@ def due_before_issue() -> Column:
     return F.when(F.col("_due_at") < F.col("_issued_at"), issue("due_before_issue", "due_at", F.col("due_at")))
 
 
-def _plan(entity: str, reference: date) -> tuple[dict[str, Column], list[Column], Column]:
-    """Parsed helper columns, rules in order, and the typed entity."""
+def _tax_id(field: str) -> list[dict[str, Column]]:
+    """Helper columns of a tax id, in steps: its digits, then its kind."""
+    return [{f"_{field}": digits(F.col(field))}, {f"_{field}_type": checks.document_type(F.col(f"_{field}"))}]
+
+
+def _plan(entity: str, reference: date) -> tuple[list[dict[str, Column]], list[Column], Column]:
+    """Helper columns in steps (each reads those before it as plain columns), rules in order, and the typed entity.
+
+    The entity carries a tax id's digits, whatever mask it came with.
+    """
     if entity == "customers":
-        helpers = {"_created_at": parse_datetime(F.col("created_at"))}
+        first, second = _tax_id("document")
+        helpers = [first | {"_created_at": parse_datetime(F.col("created_at"))}, second]
         rules = [required_text("full_name", 2), document("document"), optional_email(), optional_phone(), optional_postal_code(), optional_state(), date_field("created_at", False, reference)]
         code = F.col("postal_code")
         typed = F.struct(
-            *(F.col(c) for c in ("external_id", "full_name", "document")),
-            checks.document_type(F.col("document")).alias("document_type"),
+            *(F.col(c) for c in ("external_id", "full_name")),
+            F.col("_document").alias("document"),
+            F.col("_document_type").alias("document_type"),
             *(F.col(c) for c in ("email", "phone")),
             F.when(checks.is_valid_postal_code(code), code).alias("postal_code"),
             *(F.col(c) for c in ("city", "state")),
             F.col("_created_at").alias("created_at"),
         )
     elif entity == "contacts":
-        helpers = {}
+        helpers = _tax_id("customer_document")
         rules = [document("customer_document"), required_text("name", 2), optional_email(), optional_phone(), contact_channel()]
-        typed = F.struct("external_id", "customer_document", "name", "role", "email", "phone")
+        typed = F.struct("external_id", F.col("_customer_document").alias("customer_document"), "name", "role", "email", "phone")
     elif entity == "invoices":
-        helpers = {"_issued_at": parse_datetime(F.col("issued_at")), "_due_at": parse_datetime(F.col("due_at")), "_amount_text": decimal_text(F.col("amount")), "_amount": parse_decimal(F.col("amount"))}
+        first, second = _tax_id("customer_document")
+        first |= {"_issued_at": parse_datetime(F.col("issued_at")), "_due_at": parse_datetime(F.col("due_at")), "_amount_noted": noted(F.col("amount")), "_status": checks.invoice_status(F.col("status"))}
+        helpers = [first, second | {"_amount_text": plain(F.col("_amount_noted"))}, {"_amount": F.col("_amount_text").try_cast("decimal(38,10)")}]
         rules = [required_text("external_id"), document("customer_document"), date_field("issued_at", True), date_field("due_at", True), amount(), status(), due_before_issue()]
         typed = F.struct(
             "external_id",
-            "customer_document",
+            F.col("_customer_document").alias("customer_document"),
             "description",
             F.col("_issued_at").cast("date").alias("issued_at"),
             F.col("_due_at").cast("date").alias("due_at"),
             F.col("_amount").alias("amount"),
             F.col("_amount_text").alias("amount_text"),
-            checks.invoice_status(F.col("status")).alias("status"),
+            F.col("_status").alias("status"),
         )
     else:
         raise ValueError(f"no such entity: {entity}")
@@ -157,10 +169,15 @@ def validate(mapped: DataFrame, entity: str, reference: date) -> DataFrame:
     ``reference`` is the day after which a date lies in the future. One narrow stage.
     """
     helpers, rules, typed = _plan(entity, reference)
-    rows = mapped.select("*", *(v.alias(k) for k, v in helpers.items()))
-    rows = rows.withColumn("issues", F.filter(F.array(*(r.cast(ISSUE) for r in rules)), lambda i: i.isNotNull()))
+    rows = mapped
+    for step in helpers:
+        rows = rows.select("*", *(v.alias(k) for k, v in step.items()))
+    # A partition number (always true here) is not deterministic for the optimizer, so it computes the issues once instead of copying
+    # all rules into every filter on is_valid or on the issues above.
+    found = F.when(F.spark_partition_id() >= 0, F.array(*(r.cast(ISSUE) for r in rules)))
+    rows = rows.withColumn("issues", F.filter(found, lambda i: i.isNotNull()))
     rows = rows.withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
-    return rows.withColumn("entity", F.when(F.col("is_valid"), typed)).drop(*helpers)
+    return rows.withColumn("entity", F.when(F.col("is_valid"), typed)).drop(*(k for step in helpers for k in step))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

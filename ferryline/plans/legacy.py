@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.checks import CNPJ_WEIGHTS, CPF_WEIGHTS, STATES
+from ..sources.tables import spread
 
 
 def _sum(digits: str, weights: tuple[int, ...]) -> str:
@@ -80,7 +81,7 @@ SELECT k AS _row, CASE WHEN k % 61 = 0 THEN NULL WHEN k % 97 = 0 THEN 'F-' || ca
   cpf AS "CPF_CNPJ Cliente", 'pedido ' || cast(k as string) AS "Historico",
   CASE WHEN k % 3 = 0 THEN y || '-' || m || '-' || d WHEN k % 3 = 1 THEN d || '/' || m || '/' || y ELSE d || m || y END AS "Data Emissao",
   CASE WHEN k % 71 = 0 THEN 'amanhã' ELSE d || '.' || m || '.' || y2 END AS "Data Vencimento",
-  CASE WHEN k % 83 = 0 THEN '1,2,3' WHEN k % 7 = 0 THEN '(' || whole || ',' || cents || ')' WHEN k % 7 = 1 THEN 'R$ ' || whole || ',' || cents WHEN k % 7 = 2 THEN whole || '.' || cents
+  CASE WHEN k % 83 = 0 THEN '1,2,3' WHEN k % 89 = 0 THEN '~' || whole WHEN k % 79 = 0 THEN '00' || whole || ',50' WHEN k % 73 = 0 THEN '000' || whole || '.' WHEN k % 101 = 0 THEN ',5' WHEN k % 103 = 0 THEN '(-' || whole || ')' WHEN k % 107 = 0 THEN '-' || whole || '-' WHEN k % 7 = 0 THEN '(' || whole || ',' || cents || ')' WHEN k % 7 = 1 THEN 'R$ ' || whole || ',' || cents WHEN k % 7 = 2 THEN whole || '.' || cents
        WHEN k % 7 = 3 AND length(whole) > 3 THEN substr(whole, 1, length(whole) - 3) || '.' || substr(whole, length(whole) - 2, 3) || ',' || cents
        WHEN k % 7 = 4 AND length(whole) > 3 THEN substr(whole, 1, length(whole) - 3) || ',' || substr(whole, length(whole) - 2, 3) || '.' || cents
        WHEN k % 7 = 5 THEN whole || ',5-' ELSE whole END AS "Valor",
@@ -104,6 +105,8 @@ SELECT _row, 'Relatório' || chr(10) || 'Código: ' || "Código" || chr(10) || '
 FROM legacy
 """
 
+#: Tables whose rows are dealt to all cores before the long expressions over them.
+_SPREAD = ("customer", "orders", "supplier")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
@@ -111,6 +114,7 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL over the given tables; double quotes name columns in both engines."""
     found = re.compile(rf"(FROM|JOIN) ({'|'.join(TABLES)})\b")
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {m[2] for m in found.finditer(sql)}}
+    frames = {t: spread(df) if t in _SPREAD else df for t, df in frames.items()}
     text = found.sub(r"\1 <\2>", sql).replace("{", "{{").replace("}", "}}").replace('"', "`")
     text = re.sub(r"<(\w+)>", r"{\1}", text)
     return spark.sql(text, **frames)

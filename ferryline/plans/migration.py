@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 
 from ..operators import audit, dedup
-from ..operators.mapping import Template, apply_mapping
+from ..operators.mapping import PROVENANCE, Template, apply_mapping, reconcile_columns
 from ..operators.validation import validate
 from ..sinks import outputs
 
@@ -25,6 +25,31 @@ class Migration:
     totals: DataFrame
     record: DataFrame
     report: DataFrame
+    warnings: DataFrame
+    kept: DataFrame
+
+    def release(self) -> None:
+        """Free the kept rows when all outputs have been taken."""
+        self.kept.unpersist()
+
+
+def check_source(source: DataFrame, template: Template, source_name: str, source_format: str | None, read_warnings: DataFrame | None) -> DataFrame:
+    """The run's warnings (file, problem, columns); raises where the template does not suit the source.
+
+    A required column that is absent, or another format than the template declares, is a mistake of configuration and must not
+    become a run in which every row is rejected. Absent optional columns and unknown columns are warnings.
+    """
+    spark = source.sparkSession
+    names = [c for c in source.columns if c not in PROVENANCE]
+    headers = spark.createDataFrame([(source_name, c) for c in names], "file string, column_name string")
+    formats = spark.createDataFrame([(source_name, source_format)], "file string, format string") if source_format else None
+    problems = reconcile_columns(headers, template, formats)
+    blocking = problems.where("blocking").collect()  # at most one row per field of the template
+    if blocking:
+        listed = ", ".join(sorted(f"{r['problem']}: {r['columns']}" for r in blocking))
+        raise ValueError(f"the template for {template.entity} does not suit {source_name or 'the source'} ({listed}); its columns are {names}")
+    found = problems.select("file", "problem", "columns")
+    return audit.run_warnings(found, read_warnings) if read_warnings is not None else found
 
 
 def run_migration(
@@ -38,14 +63,18 @@ def run_migration(
     dry_run: bool = True,
     load_folder: str | None = None,
     out_folder: str | None = None,
+    source_format: str | None = None,
+    read_warnings: DataFrame | None = None,
 ) -> Migration:
     """R1. Configuration problems raise; problems of the data become issues. A dry run, the default, loads nothing.
 
     Mapping and validation are one narrow stage; its result is kept (memory and disk) because duplicates, outputs and
-    reports read it. The load comes before the exports.
+    reports read it, until ``release``. The load comes before the exports. ``read_warnings(file, problem, columns)`` are those of the
+    reader; ``source_format`` is compared with what the template declares.
     """
     if not dry_run and not load_folder:
         raise ValueError("a load needs a folder")
+    warnings = check_source(source, template, source_name, source_format, read_warnings)
     run_id, started = str(uuid4()), datetime.now(timezone.utc)
     validated = validate(apply_mapping(source, template), template.entity, reference).persist()
     valid = validated.where("is_valid")
@@ -57,7 +86,7 @@ def run_migration(
     loaded = 0 if dry_run else valid.count()
     totals = audit.run_totals(validated, found, loaded)
     record = audit.run_record(totals, run_id, template.entity, source_name, source_hash, started, datetime.now(timezone.utc), dry_run)
-    result = Migration(run_id, template.entity, annotated, found, totals, record, audit.audit_report(annotated, found, record, ord))
+    result = Migration(run_id, template.entity, annotated, found, totals, record, audit.audit_report(annotated, found, record, ord, warnings), warnings, validated)
     if not dry_run:
         outputs.load_lake(annotated, record, template.entity, load_folder, datetime.now(timezone.utc), dry_run=False)
     if out_folder:
@@ -65,5 +94,6 @@ def run_migration(
         outputs.write_table(outputs.accepted_rows(validated, template.entity), folder, "accepted")
         outputs.write_table(outputs.rejected_rows(validated, template.entity), folder, "rejected")
         outputs.write_table(outputs.duplicate_rows(found), folder, "duplicates")
+        outputs.write_table(warnings, folder, "run_warnings")
         result.report.write.mode("overwrite").text(f"{folder}/audit")
     return result

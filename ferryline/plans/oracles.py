@@ -56,7 +56,8 @@ def postal(c: str) -> str:
 
 
 def postal_shown(c: str) -> str:
-    return f"CASE WHEN length({postal(c)}) = 8 THEN ({postal(c)})[1:5] || '-' || ({postal(c)})[6:] ELSE {postal(c)} END"
+    # Only exactly eight digits are shown with a dash; a lost leading zero is not restored here.
+    return f"CASE WHEN length({digits(c)}) = 8 THEN ({digits(c)})[1:5] || '-' || ({digits(c)})[6:] ELSE {digits(c)} END"
 
 
 SQL_TRANSFORMS = {
@@ -123,12 +124,13 @@ def amount_text(c: str) -> str:
     minus = rf"regexp_full_match({inner}, '[0-9.,]+-')"
     x = f"CASE WHEN {minus} THEN ({inner})[:-2] ELSE {inner} END"
     return f"""(SELECT CASE WHEN neg AND regexp_matches(n, '[1-9]') THEN '-' || ltrim(n, '-') WHEN neg THEN ltrim(n, '-') ELSE n END FROM (
+      SELECT neg, CASE WHEN regexp_full_match(m, '-?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN regexp_replace(regexp_replace(regexp_replace(m, '^(-?)0+([0-9])', '\\1\\2'), '^(-?)[.]', '\\10.'), '[.]$', '') END AS n FROM (
       SELECT neg, CASE WHEN NOT regexp_full_match(x, '-?[0-9.,]+') THEN NULL
         WHEN regexp_full_match(x, '-?[0-9]{{1,3}}([.][0-9]{{3}})*(,[0-9]+)?|-?[0-9]+(,[0-9]+)?') THEN replace(replace(x, '.', ''), ',', '.')
         WHEN regexp_matches(x, ',.*[.][^,.]*$') THEN replace(x, ',', '')
         WHEN regexp_matches(x, '[.].*[.]') THEN replace(x, '.', '')
-        WHEN regexp_matches(x, ',.*,') THEN NULL ELSE replace(x, ',', '.') END AS n
-      FROM (SELECT {x} AS x, ({paren}) OR coalesce({minus}, false) AS neg)))"""
+        WHEN regexp_matches(x, ',.*,') THEN NULL ELSE replace(x, ',', '.') END AS m
+      FROM (SELECT {x} AS x, ({paren}) OR coalesce({minus}, false) AS neg))))"""
 
 
 def status_of(c: str) -> str:

@@ -18,6 +18,7 @@ from ..sources import pages as page_ops
 from ..sources.delimited import normalize_headers, read_delimited
 from ..sources.tables import coerce_to_text, inspect_pages, records_from_cells
 from . import legacy, oracles
+from .migration import run_migration
 from .oracles import with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +75,10 @@ def _text_queries() -> None:
     i = (legacy.invoices, _INV)
     _columns("parse_money", *i, {"amount_text": (lambda: money.decimal_text(F.col("Valor")), o.amount_text('"Valor"')), "amount": (lambda: money.parse_decimal(F.col("Valor")).cast("decimal(18,2)").cast("string"), f"{o.amount_text(chr(34) + 'Valor' + chr(34))}::DECIMAL(18,2)::VARCHAR")})
     _columns("parse_invoice_dates", *i, {"issued": (lambda: F.date_format(dates.parse_date(F.col("Data Emissao")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Emissao"') + ", '%Y-%m-%d')"), "due": (lambda: F.date_format(dates.parse_date(F.col("Data Vencimento")), "yyyy-MM-dd"), "strftime(" + o.moment('"Data Vencimento"') + ", '%Y-%m-%d')")})
-    dd, bare = (lambda: F.regexp_replace(doc(), r"\D", "")), f"regexp_replace({d}, '[^0-9]', '', 'g')"
-    _columns("cpf_valid", *c, {"is_cpf": (lambda: checks.is_valid_cpf(dd()), o.cpf_valid(bare))})
-    _columns("cnpj_valid", *c, {"is_cnpj": (lambda: checks.is_valid_cnpj(dd()), o.cnpj_valid(bare))})
-    _columns("document_parse", *c, {"kind": (lambda: checks.document_type(dd()), o.doc_type(bare)), "refused": (lambda: checks.document_problem(dd()).isNotNull(), f"({o.doc_type(bare)}) IS NULL")})
+    bare = f"regexp_replace({d}, '[^0-9]', '', 'g')"
+    _columns("cpf_valid", *c, {"is_cpf": (lambda: checks.is_valid_cpf(doc()), o.cpf_valid(bare))})
+    _columns("cnpj_valid", *c, {"is_cnpj": (lambda: checks.is_valid_cnpj(doc()), o.cnpj_valid(bare))})
+    _columns("document_parse", *c, {"kind": (lambda: checks.document_type(doc()), o.doc_type(bare)), "refused": (lambda: checks.document_problem(doc()).isNotNull(), f"({o.doc_type(bare)}) IS NULL")})
     _columns("document_mask", *c, {"masked": (lambda: checks.mask_document(doc()), o.mask(d))})
     _columns("email_valid", *c, {"ok": (lambda: checks.is_valid_email(mail()), f"coalesce({o.email_ok(m)}, false)")})
     _columns("phone_valid", *c, {"ok": (lambda: checks.is_valid_phone(fone()), f"length(regexp_replace({f}, '[^0-9]', '', 'g')) BETWEEN 10 AND 13")})
@@ -164,7 +165,8 @@ def _per_entity() -> None:
         )
         shown = {"created_at": "strftime(m_created_at, '%Y-%m-%d %H:%M:%S')", "issued_at": "strftime(m_issued_at, '%Y-%m-%d')", "due_at": "strftime(m_due_at, '%Y-%m-%d')", "amount": "m_amount", "status": oracles.status_of("status"), "postal_code": "CASE WHEN length(regexp_replace(postal_code, '[^0-9]', '', 'g')) = 8 THEN postal_code END"}
         query(f"accepted_{entity}", with_(oracles.validated(entity), f"SELECT {', '.join(f'{shown.get(c, c)} AS {c}' for c in SCHEMAS[entity])} FROM valid"))(lambda s, d, e=entity: outputs.accepted_rows(_validated(s, d, e), e))
-        query(f"issues_by_code_{entity}", with_(oracles.validated(entity), "SELECT code, count(*) AS issues FROM issues GROUP BY 1"))(lambda s, d, e=entity: audit.issues_by_code(_validated(s, d, e)))
+        query(f"issues_by_code_{entity}")(lambda s, d, e=entity: audit.issues_by_code(_annotated(s, d, e)[0]))
+        query(f"issues_by_code_{entity}_validation", with_(oracles.validated(entity), "SELECT code, count(*) AS issues FROM issues GROUP BY 1"))(lambda s, d, e=entity: audit.issues_by_code(_validated(s, d, e)))
         query(f"dedup_exact_{entity}", with_(f"{oracles.validated(entity)}, {oracles.exact(entity)}", "SELECT ord, matched, key, value FROM exact"))(lambda s, d, e=entity: _exact(s, d, e)[1])
 
 
@@ -172,57 +174,60 @@ _per_entity()
 _CHECKED = f"{oracles.validated('customers')}, {oracles.exact('customers')}"
 
 
-def _annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Exact duplicates alone, as the SQL of the queries that use it states; the whole is ``_searched``."""
-    rows, exact = _exact(spark, d, "customers")
+def _exact_only(spark: SparkSession, d: str, entity: str = "customers") -> tuple[DataFrame, DataFrame]:
+    """Rows annotated with exact duplicates, and these: what SQL can state. The names of such queries end in ``exact``."""
+    rows, exact = _exact(spark, d, entity)
     found = dedup.duplicates(exact, exact.selectExpr("*", "cast(null as double) AS similarity").where("false"))
     return dedup.annotate_duplicates(rows, found), found
 
 
+def _annotated(spark: SparkSession, d: str, entity: str = "customers") -> tuple[DataFrame, DataFrame]:
+    """Annotated rows and duplicates of both searches, as in run_migration. SQL can't express the name ratio, so these queries have none."""
+    rows, exact = _exact(spark, d, entity)
+    named = {"full_name", "name"} & set(rows.columns)
+    possible = dedup.find_possible(rows.where("is_valid"), exact) if named else exact.selectExpr("*", "cast(null as double) AS similarity").where("false")
+    found = dedup.duplicates(exact, possible)
+    return dedup.annotate_duplicates(rows, found), found
+
+
 _ALL = "all_issues AS (SELECT _row, pos, code, severity, field, message, original_value, normalized_value FROM issues UNION ALL SELECT ord, coalesce((SELECT count(*) FROM issues i WHERE i._row = ord), 0), 'duplicate_exact', 'warning', key, 'same ' || key || ' as row ' || matched, value, NULL FROM exact)"
 _HIDDEN = "CASE WHEN field IN ('document', 'customer_document') THEN {} ELSE {} END"
 
 
-@query("dedup_annotated", with_(f"{_CHECKED}, {_ALL}", "SELECT _row, pos, code, severity, field, message FROM all_issues"))
-def dedup_annotated(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _annotated(spark, d)
-    return rows.select("_row", F.posexplode("issues").alias("pos", "i")).select("_row", F.col("pos").cast("long").alias("pos"), "i.code", "i.severity", "i.field", "i.message")
+def _both(name: str, sql: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """``name`` over all duplicates, and ``name_exact`` over the exact ones alone, with its SQL."""
+    query(name)(lambda spark, d: f(*_annotated(spark, d)))
+    query(f"{name}_exact", sql)(lambda spark, d: f(*_exact_only(spark, d)))
 
 
-@query("dedup_possible")
-def dedup_possible(spark: SparkSession, d: str) -> DataFrame:
-    rows, exact = _exact(spark, d, "customers")
-    return dedup.find_possible(rows.where("is_valid"), exact)
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select("_row", F.posexplode("issues").alias("pos", "i")).select("_row", F.col("pos").cast("long").alias("pos"), "i.code", "i.severity", "i.field", "i.message")
 
 
-@query("duplicates_table", with_(_CHECKED, "SELECT ord AS linha, matched AS linha_correspondente, 'exata' AS tipo, key AS chave, value AS valor, NULL::VARCHAR AS similaridade FROM exact"))
-def duplicates_table(spark: SparkSession, d: str) -> DataFrame:
-    return outputs.duplicate_rows(_annotated(spark, d)[1])
+def _record(rows: DataFrame, found: DataFrame) -> DataFrame:
+    record = audit.run_record(audit.run_totals(rows, found), "run", "customers", "customer", "", datetime(2026, 1, 1), datetime(2026, 1, 1, 0, 0, 1, 500_000))
+    return record.select("run_id", "entity", "status", "total_records", "duplicate_records", "duration_ms")
 
 
-@query("masked_duplicates", with_(_CHECKED, f"SELECT ord AS linha, key AS chave, CASE WHEN key = 'document' THEN {oracles.mask('value')} ELSE value END AS valor FROM exact"))
-def masked_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return masked_preview(outputs.duplicate_rows(_annotated(spark, d)[1])).select("linha", "chave", "valor")
+_both("dedup_annotated", with_(f"{_CHECKED}, {_ALL}", "SELECT _row, pos, code, severity, field, message FROM all_issues"), lambda rows, found: _listed(rows))
+_both("duplicates_table", with_(_CHECKED, "SELECT ord AS linha, matched AS linha_correspondente, 'exata' AS tipo, key AS chave, value AS valor, NULL::VARCHAR AS similaridade FROM exact"), lambda rows, found: outputs.duplicate_rows(found))
+_both("masked_duplicates", with_(_CHECKED, f"SELECT ord AS linha, key AS chave, CASE WHEN key = 'document' THEN {oracles.mask('value')} ELSE value END AS valor FROM exact"), lambda rows, found: masked_preview(outputs.duplicate_rows(found)).select("linha", "chave", "valor"))
+_both("run_totals", with_(_CHECKED, "SELECT (SELECT count(*) FROM checked) AS total_records, (SELECT count(*) FROM valid) AS valid_records, (SELECT count(*) FROM checked) - (SELECT count(*) FROM valid) AS rejected_records, (SELECT count(*) FROM exact) AS duplicate_records, 0 AS possible_duplicates, 0 AS loaded_records"), audit.run_totals)
+_both("migration_run", with_(_CHECKED, "SELECT 'run' AS run_id, 'customers' AS entity, 'dry_run' AS status, (SELECT count(*) FROM checked) AS total_records, (SELECT count(*) FROM exact) AS duplicate_records, 1500 AS duration_ms"), _record)
 
 
-@query("run_totals", with_(_CHECKED, "SELECT (SELECT count(*) FROM checked) AS total_records, (SELECT count(*) FROM valid) AS valid_records, (SELECT count(*) FROM checked) - (SELECT count(*) FROM valid) AS rejected_records, (SELECT count(*) FROM exact) AS duplicate_records, 0 AS possible_duplicates, 0 AS loaded_records"))
-def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows, found = _annotated(spark, d)
-    return audit.run_totals(rows, found)
+@query("dedup_possible")
+def dedup_possible(spark: SparkSession, d: str) -> DataFrame:
+    rows, exact = _exact(spark, d, "customers")
+    return dedup.find_possible(rows.where("is_valid"), exact)
 
 
 @query("issue_details_top500", with_(f"{_CHECKED}, {_ALL}", f"SELECT _row AS row, pos, code, field, message, {_HIDDEN.format(oracles.mask('original_value'), 'original_value')} AS original_value, {_HIDDEN.format(oracles.mask('normalized_value'), 'normalized_value')} AS normalized_value FROM all_issues WHERE severity = 'error' ORDER BY _row, pos LIMIT 500"))
 def issue_details_top500(spark: SparkSession, d: str) -> DataFrame:
+    """Errors alone: duplicates are warnings, so these are the same with either search."""
     return audit.issue_details(_annotated(spark, d)[0], "error").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("migration_run", with_(_CHECKED, "SELECT 'run' AS run_id, 'customers' AS entity, 'dry_run' AS status, (SELECT count(*) FROM checked) AS total_records, (SELECT count(*) FROM exact) AS duplicate_records, 1500 AS duration_ms"))
-def migration_run(spark: SparkSession, d: str) -> DataFrame:
-    rows, found = _annotated(spark, d)
-    record = audit.run_record(audit.run_totals(rows, found), "run", "customers", "customer", "", datetime(2026, 1, 1), datetime(2026, 1, 1, 0, 0, 1, 500_000))
-    return record.select("run_id", "entity", "status", "total_records", "duplicate_records", "duration_ms")
-
-
 @query("target_rows_invoices", with_(oracles.validated("invoices"), f"SELECT external_id, customer_document, issued_at_d AS issued_at, due_at_d AS due_at, amount_d AS amount, s AS status FROM (SELECT external_id, customer_document, strftime(m_issued_at, '%Y-%m-%d') AS issued_at_d, strftime(m_due_at, '%Y-%m-%d') AS due_at_d, m_amount::DECIMAL(18,2)::VARCHAR AS amount_d, {oracles.status_of('status')} AS s FROM valid)"))
 def target_rows_invoices(spark: SparkSession, d: str) -> DataFrame:
     rows = outputs.target_rows(_validated(spark, d, "invoices"), "invoices", "run", datetime(2026, 1, 1))
@@ -236,14 +241,15 @@ def mapping_defaults(spark: SparkSession, d: str) -> DataFrame:
     return apply_mapping(source, template).select("_row", "phone", "city")
 
 
-_HEADER_SQL = "headers AS (SELECT 'f' || n_nationkey AS file, unnest(['Código', 'Nome Cliente', CASE WHEN n_nationkey % 2 = 0 THEN 'CPF_CNPJ' ELSE 'Documento' END, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'CEP' END, ' Código ']) AS name, generate_subscripts([1, 2, 3, 4, 5], 1) AS idx FROM nation)"
+#: One file per customer, its header made from the customer's values.
+_HEADER_SQL = "headers AS (SELECT 'f' || c_custkey AS file, unnest(['Código', 'Nome Cliente', CASE WHEN c_custkey % 2 = 0 THEN 'CPF_CNPJ' ELSE c_mktsegment END, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'CEP' END, ' Código ']) AS name, generate_subscripts([1, 2, 3, 4, 5], 1) AS idx FROM customer)"
 _NAMED_SQL = "named AS (SELECT file, idx, CASE WHEN trim(name) = '' THEN 'coluna_' || idx ELSE trim(name) END AS base FROM headers), final AS (SELECT file, idx, base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS column_name FROM (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY idx) AS k FROM named))"
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    names = F.array(F.lit("Código"), F.lit("Nome Cliente"), F.when(key % 2 == 0, "CPF_CNPJ").otherwise("Documento"), F.when(key % 3 == 0, "").otherwise("CEP"), F.lit(" Código "))
-    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("f"), key).alias("file"), F.posexplode(names).alias("at", "name"))
+    key = F.col("c_custkey")
+    names = F.array(F.lit("Código"), F.lit("Nome Cliente"), F.when(key % 2 == 0, "CPF_CNPJ").otherwise(F.col("c_mktsegment")), F.when(key % 3 == 0, "").otherwise("CEP"), F.lit(" Código "))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("f"), key).alias("file"), F.posexplode(names).alias("at", "name"))
     return rows.select("file", (F.col("at") + 1).alias("idx"), "name")
 
 
@@ -308,70 +314,55 @@ def cells_to_records(spark: SparkSession, d: str) -> DataFrame:
     return records_from_cells(cells, header_row=2)
 
 
+def _working_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the warehouse, deleted when the application ends."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 @query("delimited_read", _CUST + ' SELECT "Código" AS codigo, nullif(trim("Nome Cliente", chr(9) || \' \'), \'\') AS nome, nullif("CEP", \'\') AS cep FROM legacy')
 def delimited_read(spark: SparkSession, d: str) -> DataFrame:
     """Write the customers as delimited files below the warehouse and read them back."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/delimited-{uuid4().hex}"
+    folder = _working_folder(spark, "delimited")
     legacy.customers(spark, d).drop("_row").write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     rows, _ = read_delimited(spark, f"{folder}/*.csv")
     return rows.select(F.col("Código").alias("codigo"), F.col("Nome Cliente").alias("nome"), F.col("CEP").alias("cep"))
 
 
-@query("flagship", with_(_CHECKED, "SELECT 'total_records' AS metric, (SELECT count(*) FROM checked) AS value UNION ALL SELECT 'valid_records', (SELECT count(*) FROM valid) UNION ALL SELECT 'duplicate_records', (SELECT count(*) FROM exact) UNION ALL SELECT 'issue:' || code, count(*) FROM issues GROUP BY code"))
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Map, validate and deduplicate the customers: totals and issues by code."""
-    rows, exact = _exact(spark, d, "customers")
-    totals = rows.agg(F.count("*").alias("total_records"), F.count_if("is_valid").alias("valid_records"))
-    out = totals.select(F.explode(F.map_from_arrays(F.array(F.lit("total_records"), F.lit("valid_records")), F.array("total_records", "valid_records"))).alias("metric", "value"))
-    out = out.unionByName(exact.agg(F.count("*").alias("value")).select(F.lit("duplicate_records").alias("metric"), "value"))
-    return out.unionByName(audit.issues_by_code(rows).select(F.concat(F.lit("issue:"), "code").alias("metric"), F.col("issues").alias("value")))
-
-
-def _searched(spark: SparkSession, d: str, entity: str = "customers") -> tuple[DataFrame, DataFrame]:
-    """Annotated rows and duplicates of both searches, as in run_migration. SQL can't express the name ratio, so these queries have none."""
-    rows, exact = _exact(spark, d, entity)
-    named = {"full_name", "name"} & set(rows.columns)
-    possible = dedup.find_possible(rows.where("is_valid"), exact) if named else exact.selectExpr("*", "cast(null as double) AS similarity").where("false")
-    found = dedup.duplicates(exact, possible)
-    return dedup.annotate_duplicates(rows, found), found
-
-
-def _searched_queries() -> None:
-    for entity in _SOURCES:
-        query(f"issues_by_code_searched_{entity}")(lambda s, d, e=entity: audit.issues_by_code(_searched(s, d, e)[0]))
-
-
-_searched_queries()
+@query("flagship_exact", with_(f"{_CHECKED}, {_ALL}", "SELECT 'total_records' AS metric, (SELECT count(*) FROM checked) AS value UNION ALL SELECT 'valid_records', (SELECT count(*) FROM valid) UNION ALL SELECT 'duplicate_records', (SELECT count(*) FROM exact) UNION ALL SELECT 'issue:' || code, count(*) FROM all_issues GROUP BY code"))
+def flagship_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship with the exact search alone."""
+    return _metrics(*_exact_only(spark, d)).where("metric <> 'possible_duplicates'")
 
 
-@query("dedup_annotated_searched")
-def dedup_annotated_searched(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _searched(spark, d)
-    return rows.select("_row", F.posexplode("issues").alias("pos", "i")).select("_row", F.col("pos").cast("long").alias("pos"), "i.code", "i.severity", "i.field", "i.message")
-
-
-@query("duplicates_table_searched")
-def duplicates_table_searched(spark: SparkSession, d: str) -> DataFrame:
-    return outputs.duplicate_rows(_searched(spark, d)[1])
+@query("flagship")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Map, validate and search the customers for duplicates: totals, and issues by code after annotation."""
+    return _metrics(*_annotated(spark, d))
 
 
-@query("masked_duplicates_searched")
-def masked_duplicates_searched(spark: SparkSession, d: str) -> DataFrame:
-    return masked_preview(outputs.duplicate_rows(_searched(spark, d)[1])).select("linha", "chave", "valor")
+def _metrics(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(metric, value): rows, valid rows and issues by code in one aggregate over the rows, duplicates in another."""
+    counted = rows.select(F.explode(F.concat(F.array(F.lit("total_records")), F.when(F.col("is_valid"), F.array(F.lit("valid_records"))).otherwise(F.array().cast("array<string>")), F.transform("issues", lambda i: F.concat(F.lit("issue:"), i["code"])))).alias("metric"))
+    kinds = found.agg(F.count_if(F.col("kind") == "exact").alias("duplicate_records"), F.count_if(F.col("kind") == "possible").alias("possible_duplicates"))
+    return counted.groupBy("metric").agg(F.count("*").alias("value")).unionByName(kinds.unpivot([], ["duplicate_records", "possible_duplicates"], "metric", "value"))
 
 
-@query("run_totals_searched")
-def run_totals_searched(spark: SparkSession, d: str) -> DataFrame:
-    return audit.run_totals(*_searched(spark, d))
+@query("run_migration")
+def migration(spark: SparkSession, d: str) -> DataFrame:
+    """R1 whole: columns reconciled, both searches, record and report; the parts of the record that do not depend on the clock."""
+    run = run_migration(legacy.customers(spark, d), CUSTOMERS_CSV, REFERENCE, source_name="customer", source_format="csv")
+    return run.record.select("entity", "source_filename", "status", "total_records", "valid_records", "rejected_records", "duplicate_records", "possible_duplicates", "loaded_records")
 
 
-@query("flagship_searched")
-def flagship_searched(spark: SparkSession, d: str) -> DataFrame:
-    """Map, validate and search the customers for duplicates: totals, and issues by code after annotation."""
-    rows, found = _searched(spark, d)
-    names = ("total_records", "valid_records", "duplicate_records", "possible_duplicates")
-    totals = audit.run_totals(rows, found).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("metric", "value"))
-    return totals.unionByName(audit.issues_by_code(rows).select(F.concat(F.lit("issue:"), "code").alias("metric"), F.col("issues").alias("value")))
+@query("audit_report")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    """K4: the report's parts, from its JSON text: name and number of entries."""
+    report = run_migration(legacy.customers(spark, d), CUSTOMERS_CSV, REFERENCE, source_name="customer", source_format="csv").report
+    parts = ("transforms_applied", "issues_by_code", "errors", "warnings", "duplicates", "run_warnings")
+    return report.select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.json_array_length(F.get_json_object("report", f"$.{p}")).alias("entries")) for p in parts))).alias("x")).select("x.*")
 
 
 def queries() -> dict[str, Query]:

@@ -49,7 +49,7 @@ def labelled_records(blocks: DataFrame, labels: list[str] | None = None, sep: st
     """(_src_file, _row, labels map), or one column per requested label: the first value of each label.
 
     A label is what stands before the first separator of a line, trimmed, 1 to 60 characters; its value what follows, trimmed or
-    null. Blocks without a label are dropped.
+    null. Blocks without a label are dropped; ``without_records`` lists documents that have none at all.
     """
     lines = blocks.select("_src_file", "origin", F.posexplode(F.split("block", LINE_BREAK)).alias("line_no", "line"))
     at = F.instr("line", sep)
@@ -63,6 +63,12 @@ def labelled_records(blocks: DataFrame, labels: list[str] | None = None, sep: st
     return rows.select("_src_file", F.lit(None).cast("string").alias("_sheet"), "_row", *(F.try_element_at("labels", F.lit(x)).alias(x) for x in labels))
 
 
+def without_records(blocks: DataFrame, records: DataFrame) -> DataFrame:
+    """(_src_file, problem) for documents in which no labelled record was found."""
+    found = records.select(F.col("_src_file").alias("found")).distinct()
+    return blocks.select("_src_file").distinct().join(found, F.col("_src_file") == F.col("found"), "left_anti").withColumn("problem", F.lit("no labelled record was found"))
+
+
 def recover_pages(native: DataFrame, recognised: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, report): insufficient pages take the recognised text of (_src_file, page), unless it is blank.
 

@@ -36,23 +36,35 @@ def coerce_to_text(df: DataFrame) -> DataFrame:
 
 
 def records_from_cells(cells: DataFrame, sheet: str | None = None, header_row: int = 1) -> DataFrame:
-    """Records of one workbook's sheet from a cell table (file, sheet, sheet_pos, row, col, value).
+    """Records of one sheet of each workbook from a cell table (file, sheet, sheet_pos, row, col, value).
 
-    The first sheet is the default; an unknown one is an error that lists the options. The header is in sheet row
-    ``header_row``; rows below it become records with _src_file, _sheet and _row.
+    The first sheet of a workbook is the default; a sheet that no workbook has is an error that lists the options. The header
+    is in sheet row ``header_row`` of each workbook; rows below it become records with _src_file, _sheet and _row and one column
+    per distinct header name. A cell without a name has none; of several cells in one place, the last text counts.
     """
-    sheets = [r["sheet"] for r in cells.groupBy("sheet").agg(F.min("sheet_pos").alias("p")).orderBy("p").collect()]
-    if not sheets or sheet not in (None, *sheets):
-        raise ValueError(f"no sheet {sheet!r}; there are {sheets}")
     if header_row < 1:
         raise ValueError("the header row counts from 1")
-    own = cells.where(F.col("sheet") == (sheet or sheets[0]))
+    if sheet is None:
+        first = cells.groupBy("file").agg(F.min_by("sheet", "sheet_pos").alias("own")).select(F.col("file").alias("own_file"), "own")
+        own = cells.join(first, (F.col("file") == F.col("own_file")) & (F.col("sheet") == F.col("own"))).drop("own_file", "own")
+    else:
+        own = cells.where(F.col("sheet") == sheet)
+        if own.isEmpty():
+            raise ValueError(f"no sheet {sheet!r}; there are {sorted(r[0] for r in cells.select('sheet').distinct().collect())}")
     head = normalize_headers(own.where(F.col("row") == header_row).select("file", F.col("col").alias("idx"), F.col("value").alias("name")))
-    names = {r["idx"]: r["column_name"] for r in head.groupBy("idx").agg(F.first("column_name").alias("column_name")).collect()}
+    # Distinct column names over all workbooks: the width of the result, not its rows.
+    names = [r[0] for r in head.groupBy("column_name").agg(F.min("idx").alias("i")).orderBy("i", "column_name").select("column_name").collect()]
     if not names:
         raise ValueError(f"no header in row {header_row}")
-    wide = own.where(F.col("row") > header_row).groupBy("file", "sheet", "row").pivot("col", sorted(names)).agg(F.first(strip(F.col("value"))))
-    return drop_blank_rows(wide.select(F.col("file").alias("_src_file"), F.col("sheet").alias("_sheet"), F.col("row").cast("long").alias("_row"), *(F.col(f"`{i}`").alias(names[i]) for i in sorted(names))))
+    named = own.where(F.col("row") > header_row).join(head.select(F.col("file").alias("h_file"), "idx", "column_name"), (F.col("file") == F.col("h_file")) & (F.col("col") == F.col("idx")))
+    wide = named.groupBy("file", "sheet", "row").pivot("column_name", names).agg(F.max(strip(F.col("value"))))
+    return drop_blank_rows(wide.select(F.col("file").alias("_src_file"), F.col("sheet").alias("_sheet"), F.col("row").cast("long").alias("_row"), *(F.col(f"`{n}`") for n in names)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: a table in fewer partitions than there are cores is dealt out by rows, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def route_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:

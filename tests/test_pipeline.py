@@ -57,7 +57,7 @@ def test_migration(spark, rows, tmp_path):
     assert found == {(5, 2, "exact", "document"), (7, 2, "possible", "phone")}
     assert "52998224725" not in run.report.first()["report"]
     folder = tmp_path / "out" / f"run_id={run.run_id}"
-    assert sorted(os.listdir(folder)) == ["accepted", "audit", "duplicates", "rejected"]
+    assert sorted(os.listdir(folder)) == ["accepted", "audit", "duplicates", "rejected", "run_warnings"]
 
 
 def test_load_is_marked_last(spark, rows, tmp_path):
@@ -136,12 +136,12 @@ def test_searched_queries(spark):
             seen.setdefault(k, r["_row"])
     assert possible
     codes = Counter(i["code"] for r in rows for i in r["issues"]) + Counter(duplicate_exact=len(exact), duplicate_possible=len(possible))
-    assert sorted(tuple(r)[:5] for r in run["duplicates_table_searched"](spark, d).collect()) == sorted(exact + possible)
-    assert {r["code"]: r["issues"] for r in run["issues_by_code_searched_customers"](spark, d).collect()} == codes
+    assert sorted(tuple(r)[:5] for r in run["duplicates_table"](spark, d).collect()) == sorted(exact + possible)
+    assert {r["code"]: r["issues"] for r in run["issues_by_code_customers"](spark, d).collect()} == codes
     totals = {"total_records": len(rows), "valid_records": len(valid), "duplicate_records": len(exact), "possible_duplicates": len(possible)}
-    assert {r["metric"]: r["value"] for r in run["flagship_searched"](spark, d).collect()} == totals | {f"issue:{c}": n for c, n in codes.items()}
-    found = run["run_totals_searched"](spark, d).first().asDict()
+    assert {r["metric"]: r["value"] for r in run["flagship"](spark, d).collect()} == totals | {f"issue:{c}": n for c, n in codes.items()}
+    found = run["run_totals"](spark, d).first().asDict()
     assert {k: found[k] for k in totals} == totals
     print("searched", totals)
-    assert run["masked_duplicates_searched"](spark, d).count() == len(exact + possible)
-    assert Counter(r["code"] for r in run["dedup_annotated_searched"](spark, d).collect()) == codes
+    assert run["masked_duplicates"](spark, d).count() == len(exact + possible)
+    assert Counter(r["code"] for r in run["dedup_annotated"](spark, d).collect()) == codes
