@@ -45,7 +45,8 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        # Small row groups: a writing task holds one.
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
@@ -73,6 +74,11 @@ def groups(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         at = until
 
 
+def tidy() -> None:
+    """Give unused memory back at the end of a task: a Python worker serves many."""
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -171,7 +171,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     groups, _ = materialize(exact_groups(docs), "groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
     sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
     if groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         return left
     name = "_sha"

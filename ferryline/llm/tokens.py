@@ -20,15 +20,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from ._shared import groups
+from ._shared import groups, tidy
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks whose ids are remembered between groups of texts, at which number the older ones go.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Bytes of text whose chunks are numbered together, and chunks laid out at once: bound what a task holds beside one text.
-TOGETHER = 32_000_000
-LAID_OUT = 1_000_000
+TOGETHER = 12_000_000
+LAID_OUT = 500_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The signs of ASCII but the apostrophe, which may begin a contraction.
@@ -181,6 +181,7 @@ class BatchEncoder:
                 for i in range(at, until):
                     yield whole[i] if i in whole else laid[cuts[i - at] : cuts[i - at + 1]]
                 at = until
+        tidy()
 
 
 @cache

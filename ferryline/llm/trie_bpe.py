@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import documents, groups, read_documents
+from ._shared import documents, groups, read_documents, tidy
 from .tokens import TOGETHER, WORD_BPE, Remembered, Splitter, load, tokenizer_path
 
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -213,6 +213,7 @@ def _digest(path: str):
             rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in codec.encode_decode(batch.column("text"))]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
     return run
 
