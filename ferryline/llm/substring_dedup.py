@@ -1,13 +1,11 @@
 """Substring dedup: passages of at least ``width`` words that already start in an earlier document.
 
 Plan
-1. Anchors. Every window of ``width`` words is represented by the least hash of its short word grams,
-   which depends on the window's words alone, so equal windows have equal anchors. Anchors number a
-   few per hundred words; Spark counts in how many documents each occurs (least and greatest doc_id,
-   combined before the shuffle). A window whose anchor occurs in one document only cannot repeat.
-2. Windows. For documents that share an anchor, the Rabin-Karp hashes of every window over a shared
-   anchor are counted in Spark: least doc_id per hash. Windows of one group of texts with equal hashes
-   are resolved in the group and leave it once, so a very frequent passage is combined before the shuffle.
+1. The Rabin-Karp hash of every window of ``width`` words is counted in Spark, by the number of texts with it; a
+   group of texts sends each of its hashes once.
+2. Windows that occur in more than one text are hashed once more, and the least doc_id of each pair of hashes is found.
+   Windows of one group of texts with equal hashes are resolved in the group and leave it once, so a very frequent
+   passage is combined before the shuffle.
 3. Positions of windows with a smaller first doc_id are gathered per document and merged into maximal
    removal intervals.
 """
@@ -21,83 +19,78 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ._shared import documents, drop_path, materialize, read_documents
-from .words import gram_hashes, hash_words, signed, sliding_min, split_words, window_hashes
+from .key_counts import classes_of, column, counted, frequency_classes, with_classes, with_sources
+from .words import inside, signed, split_words, window_hashes, word_hashes
 
 #: Odd multipliers of the two window hashes.
 BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
-GRAM = 8
-
-
-def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The anchor of every window of ``width`` words."""
-    gram = min(GRAM, width)
-    return sliding_min(gram_hashes(hashes, gram), width - gram + 1) if len(hashes) >= width else np.empty(0, np.uint64)
-
-
-def _anchor_rows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(anchors(hash_words(split_words(t.as_py())), width)) for t in batch.column("text")]
-            sizes = [len(x) for x in found]
-            take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            flat = signed(np.concatenate([*found, np.empty(0, np.uint64)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(flat, pa.int64())], names=["doc_id", "key", "anchor"])
-
-    return run
-
-
 _WINDOWS = "hash_a long, hash_b long, doc_id long, key long, at long, until long, resolved boolean"
-
-
-#: Windows that are resolved together: bounds what a task holds beside one text.
-TOGETHER = 250_000
-
-
-def _resolved(parts: list[tuple], ids: list, keys: list) -> Iterator[pa.RecordBatch]:
-    """One row for the least doc_id of each hash in ``parts``; (start, until) runs of the others, which
-    ``parts`` itself shows to repeat."""
-    names = ["hash_a", "hash_b", "doc_id", "key", "at", "until", "resolved"]
-    a, b, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    doc, key = np.array(ids, np.int64)[row], np.array(keys, np.int64)[row]
-    order = np.lexsort((doc, b, a))
-    first = np.ones(len(order), bool)
-    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    least = doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-    resolved = np.zeros(len(order), bool)
-    resolved[order] = doc[order] > least
-    sent = np.flatnonzero(~resolved)
-    yield pa.RecordBatch.from_arrays([pa.array(signed(a)[sent]), pa.array(signed(b)[sent]), pa.array(doc[sent]), pa.array(key[sent]), pa.array(at[sent]), pa.array(at[sent] + 1), pa.array(np.zeros(len(sent), bool))], names=names)
-    known = np.flatnonzero(resolved)
-    if len(known):
-        new = np.ones(len(known), bool)
-        new[1:] = (row[known][1:] != row[known][:-1]) | (at[known][1:] != at[known][:-1] + 1)
-        start = known[new]
-        end = known[np.r_[np.flatnonzero(new)[1:] - 1, len(known) - 1]]
-        none = pa.nulls(len(start), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[start]), pa.array(key[start]), pa.array(at[start]), pa.array(at[end] + 1), pa.array(np.ones(len(start), bool))], names=names)
-
-
-def _window_rows(width: int):
-    """Windows over a shared anchor, resolved within groups of about TOGETHER windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            parts, held = [], 0
-            for i, (text, shared) in enumerate(zip(batch.column("text"), batch.column("shared"), strict=True)):
-                hashes = hash_words(split_words(text.as_py()))
-                at = np.flatnonzero(np.isin(signed(anchors(hashes, width)), shared.values.to_numpy()))
-                a, b = (window_hashes(hashes, width, base)[at] for base in BASES)
-                parts.append((a, b, np.full(len(at), i), at))
-                held += len(at)
-                if held >= TOGETHER:
-                    yield from _resolved(parts, ids, keys)
-                    parts, held = [], 0
-            if held:
-                yield from _resolved(parts, ids, keys)
+_NAMES = ["hash_a", "hash_b", "doc_id", "key", "at", "until", "resolved"]
+
+
+class _Source:
+    """The windows of a source's texts, in the order of the counted part of their hashes."""
+
+    def __init__(self, table: pa.Table, width: int, bits: int):
+        self.width = width
+        self.words, self.edges = word_hashes(column(table, "text"))
+        hashes = window_hashes(self.words, width, BASES[0])
+        place = np.flatnonzero(inside(self.edges, width, len(hashes)))
+        order = np.argsort(counted(hashes[place], bits), kind="stable")
+        #: Place of each window among the words, and the text it is in.
+        self.place = place[order]
+        self.hashes = hashes[self.place]
+        self.counted = counted(self.hashes, bits)
+        self.text = np.searchsorted(self.edges, self.place, "right") - 1
+        self.docs = column(table, "doc_id").to_numpy(zero_copy_only=False)
+        self.start = np.flatnonzero(np.r_[True, self.counted[1:] != self.counted[:-1]][: len(self.counted)])
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct counted hashes and whether one or more documents of this source have each."""
+        if not len(self.start):
+            return self.counted, np.empty(0, np.int64)
+        doc = self.docs[self.text]
+        return self.counted[self.start], 1 + (np.minimum.reduceat(doc, self.start) < np.maximum.reduceat(doc, self.start))
+
+    def shared(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, second hash, text, place in the text) of the windows that more than one text has."""
+        some = np.repeat(classes > 0, np.diff(np.r_[self.start, len(self.hashes)]))
+        place, text = self.place[some], self.text[some]
+        return self.hashes[some], window_hashes(self.words, self.width, BASES[1])[place], text, place - self.edges[text]
+
+
+def _window_rows(width: int, bits: int):
+    """Repeated windows: one row for the least doc_id of each hash in a source; (start, until) runs of the
+    others, which the source itself shows to repeat."""
+
+    def part(*columns) -> pa.Table:
+        return pa.table([pa.array(c) for c in columns], names=_NAMES)
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        source = _Source(table, width, bits)
+        a, b, text, at = source.shared(classes_of(answers))
+        doc, key = source.docs[text], column(table, "key").to_numpy()[text]
+        order = np.lexsort((doc, b, a))
+        first = np.ones(len(order), bool)
+        first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        least = doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else doc
+        # Of windows of the least document itself, all are sent: each has its own place.
+        resolved = np.zeros(len(order), bool)
+        resolved[order] = doc[order] > least
+        sent = np.flatnonzero(~resolved)
+        out = [part(signed(a)[sent], signed(b)[sent], doc[sent], key[sent], at[sent], at[sent] + 1, np.zeros(len(sent), bool))]
+        known = np.flatnonzero(resolved)
+        known = known[np.lexsort((at[known], text[known]))]
+        if len(known):
+            new = np.ones(len(known), bool)
+            new[1:] = (text[known][1:] != text[known][:-1]) | (at[known][1:] != at[known][:-1] + 1)
+            start = known[new]
+            end = known[np.r_[np.flatnonzero(new)[1:] - 1, len(known) - 1]]
+            none = pa.nulls(len(start), pa.int64())
+            out.append(part(none, none, doc[start], key[start], at[start], at[end] + 1, np.ones(len(start), bool)))
+        return pa.concat_tables(out)
 
     return run
 
@@ -119,20 +112,17 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
 
     ``docs`` has doc_id, text and ``key``, which tells texts under one doc_id apart.
     """
-    known = docs.where("doc_id is not null")
-    rows, rows_path = materialize(known.mapInArrow(_anchor_rows(width), "doc_id long, key long, anchor long"), "anchors")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared, shared_path = materialize(shared, "shared")
-    per_doc = rows.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("shared"))
-    windows = known.join(per_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "shared").mapInArrow(_window_rows(width), _WINDOWS)
-    windows, windows_path = materialize(windows, "windows")
-    for path in (rows_path, shared_path):
-        drop_path(docs.sparkSession, path)
-    first = F.min("doc_id").over(W.partitionBy("hash_a", "hash_b"))
-    late = windows.where("not resolved").withColumn("first", first).where("first < doc_id").select("doc_id", "key", "at", "until")
+    spark = docs.sparkSession
+    sourced, bits = with_sources(docs.where("doc_id is not null").select("doc_id", "key", "text"))
+    classes, classes_path = materialize(frequency_classes(sourced, lambda table: _Source(table, width, bits).keys()), "classes")
+    windows, windows_path = materialize(with_classes(sourced, classes, _window_rows(width, bits), _WINDOWS), "windows")
+    drop_path(spark, classes_path)
+    sent = windows.where("not resolved")
+    first = sent.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash_a", "hash_b", "first")
+    late = sent.join(first, ["hash_a", "hash_b"]).where("first < doc_id").select("doc_id", "key", "at", "until")
     late = late.unionByName(windows.where("resolved").select("doc_id", "key", "at", "until"))
     runs, _ = materialize(late.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "until")).alias("runs")), "runs")
-    drop_path(docs.sparkSession, windows_path)
+    drop_path(spark, windows_path)
     return runs
 
 
@@ -175,6 +165,7 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     characters other than space and U+0009 to U+000D, unchanged; kept words are joined by one space.
 
     * null or wordless text, and texts shorter than a window: nothing is removed;
+    * a very long text is held by one task;
     * a null doc_id is not smaller than any: the row loses nothing and removes nothing;
     * rows that repeat a doc_id do not remove from each other; each is judged by its own text;
     * windows are judged on the input, so a passage removed here still removes from larger doc_ids;
