@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from ..operators.mapping import CONTACTS, CUSTOMERS_CSV, INVOICES, SCHEMAS, Fiel
 from ..operators.validation import masked_preview, validate
 from ..sinks import outputs
 from ..sources import pages as page_ops
-from ..sources.delimited import normalize_headers, read_delimited
-from ..sources.tables import coerce_to_text, inspect_pages, records_from_cells
+from ..sources.delimited import infer_read_options, normalize_headers, read_delimited
+from ..sources.tables import coerce_to_text, fingerprint, inspect_pages, records_from_cells, route_sources
 from . import legacy, oracles
 from .migration import run_migration
 from .oracles import with_
@@ -331,6 +332,66 @@ def delimited_read(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("Código").alias("codigo"), F.col("Nome Cliente").alias("nome"), F.col("CEP").alias("cep"))
 
 
+def _written(spark: SparkSession, d: str) -> str:
+    """The customers as delimited files, and as many text files, below the warehouse."""
+    folder = _working_folder(spark, "files")
+    rows = legacy.customers(spark, d).select("Código", "Nome Cliente", "CEP")
+    rows.write.option("header", True).option("sep", ";").csv(f"{folder}/tables")
+    rows.select(F.concat_ws(": ", "Código", "CEP")).write.text(f"{folder}/texts")
+    return folder
+
+
+@query("read_options")
+def read_options(spark: SparkSession, d: str) -> DataFrame:
+    """S2 to S4 over written files, which are as many as the table has partitions: one row per kind of answer."""
+    return infer_read_options(spark, f"{_written(spark, d)}/tables/*.csv").groupBy("encoding", "delimiter", F.array_join("header", "|").alias("header"), "problem").agg((F.count("*") > 0).alias("found"))
+
+
+@query("route_sources")
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """S16 over written files."""
+    return route_sources(spark, _written(spark, d)).where("format is not null").groupBy("format", "tabular").agg((F.count("*") > 0).alias("found"))
+
+
+@query("file_fingerprint")
+def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """S15 over written files: every digest has 64 hexadecimal digits."""
+    return fingerprint(spark, f"{_written(spark, d)}/tables/*.csv").groupBy(F.length("sha256").alias("digits")).agg((F.count("*") > 0).alias("found"))
+
+
+@query("text_documents", _CUST + """ SELECT count(*) AS lines FROM legacy""")
+def text_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all written text files."""
+    pages = page_ops.read_text_documents(spark, f"{_written(spark, d)}/texts/*.txt")
+    return pages.select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line")).agg(F.count("*").alias("lines"))
+
+
+@query("ragged_rows", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 4 = 1) AS with_b FROM documents WHERE doc_id % 4 IN (0, 1)")
+def ragged_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One written line per document, short, long or blank by doc_id; blank ones go, short ones are padded."""
+    folder, key = _working_folder(spark, "ragged"), F.col("doc_id")
+    line = F.when(key % 4 == 0, "x").when(key % 4 == 1, F.concat(F.lit("x;"), key, F.lit(";more"))).when(key % 4 == 2, " ; ").otherwise("")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    # Every file starts with the header: the first line of each partition.
+    lines = docs.select(line.alias("value")).mapInPandas(_headed, "value string")
+    lines.write.text(folder)
+    rows, _ = read_delimited(spark, f"{folder}/*.txt", delimiter=";")
+    return rows.agg(F.count("*").alias("n_rows"), F.count("b").alias("with_b"))
+
+
+def _headed(batches):
+    for k, batch in enumerate(batches):
+        yield pd.DataFrame({"value": (["a;b"] if k == 0 else []) + batch["value"].tolist()})
+
+
+@query("documents_without_records", _FORMS_SQL + " SELECT _row::VARCHAR AS _src_file FROM forms WHERE _row % 5 = 0")
+def documents_without_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth form loses its separators and has no record then."""
+    pages = legacy.forms(spark, d).select(F.col("_row").cast("string").alias("_src_file"), F.lit(1).alias("page"), F.when(F.col("_row") % 5 == 0, F.translate("text", ":", " ")).otherwise(F.col("text")).alias("text"))
+    blocks = page_ops.page_blocks(pages)
+    return page_ops.without_records(blocks, page_ops.labelled_records(blocks)).select("_src_file")
+
+
 @query("flagship_exact", with_(f"{_CHECKED}, {_ALL}", "SELECT 'total_records' AS metric, (SELECT count(*) FROM checked) AS value UNION ALL SELECT 'valid_records', (SELECT count(*) FROM valid) UNION ALL SELECT 'duplicate_records', (SELECT count(*) FROM exact) UNION ALL SELECT 'issue:' || code, count(*) FROM all_issues GROUP BY code"))
 def flagship_exact(spark: SparkSession, d: str) -> DataFrame:
     """The flagship with the exact search alone."""

@@ -1,13 +1,22 @@
-"""Delimited text files: reading options per file, then exact rows with their line numbers."""
+"""Delimited text files of any size: reading options per file, then exact rows with their line numbers.
+
+Files are read as lines, so a large one is split over many tasks. Whether a line starts inside quotes depends on all lines
+before it; so each block of a file first tells, for either state at its start, in which state it ends and how many
+records begin in it. Put together in the order of the blocks, this gives every block its first state, line and record, and
+the blocks are parsed on their own. A record that crosses blocks is put together from its parts.
+"""
 
 from __future__ import annotations
 
 import codecs
 import csv
-import io
+import re
+import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,12 +25,11 @@ from pyspark.sql import Window as W
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 SNIFFED = 8192
+#: Files or blocks whose options are broadcast; more are joined by a shuffle, after which the lines are put in order again.
+BROADCAST_ROWS = 100_000
 
-_OPTIONS = "file string, encoding string, delimiter string, header array<string>, warning string, problem string"
-
-
-def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths)
+#: Cells may be of any size.
+csv.field_size_limit(sys.maxsize)
 
 
 def decode(data: bytes, encoding: str | None) -> tuple[str, str]:
@@ -45,46 +53,231 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
-def _records(text: str, delimiter: str, header_row: int) -> Iterator[tuple[int, int, list[str]]]:
-    """(number of the record, last physical line, cells); the csv reader counts lines inside quotes too."""
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
-    for number, cells in enumerate(reader, start=1):
-        if number >= header_row:
-            yield number, reader.line_num, cells
+def _decodes(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
 
+def ends_open(line: str, opened: bool, delimiter: str) -> bool:
+    """Whether quotes are open behind ``line``, as the csv reader sees it; ``opened``: whether they are before it."""
+    if '"' not in line:
+        return opened
+    lines = [*(['"\n'] if opened else []), line + "\n", ""]
+    reader = csv.reader(iter(lines), delimiter=delimiter)
+    next(reader)
+    return reader.line_num == len(lines)
 
-def _problem(error: Exception) -> str:
-    return f"{type(error).__name__}: {error}"
 
+def _cells(lines: list[str], delimiter: str) -> list[str | None]:
+    return [c.strip() or None for c in next(csv.reader((x + "\n" for x in lines), delimiter=delimiter), [])]
 
-def infer_read_options(spark: SparkSession, paths: str | list[str], header_row: int = 1, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """(file, encoding, delimiter, header, warning, problem), one row per file.
 
-    A problem (unknown encoding, undecodable bytes, header row below 1, missing or empty) concerns the file, not the
-    job. A warning says that the first encoding did not fit.
+def _wide(encoding: str | None) -> bool:
+    """Whether a newline is more than one byte, so that bytes can't be cut at it. An unknown encoding is reported later."""
+    try:
+        return encoding is not None and "\n".encode(encoding) != b"\n"
+    except LookupError:
+        return False
+
+
+def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None) -> DataFrame:
+    """(file, block, i, line): the bytes of every line, numbered from 0 in its block of the file.
+
+    Files in encodings with wide newlines come as one block each.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                used = cut = header = warning = problem = None
+            for path, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    text, used = decode(content, encoding)
-                    cut = delimiter or sniff_delimiter(text)
-                    if header_row < 1:
-                        raise ValueError("the header row counts from 1")
-                    number, _, header = next(_records(text, cut, header_row), (0, 0, []))
-                    if not any(h.strip() for h in header):
-                        header = None
-                        raise ValueError(f"no header in row {header_row}")
-                    warning = None if encoding or used == ENCODINGS[0] else f"read as {used}"
-                except (LookupError, ValueError, csv.Error) as error:
-                    problem = _problem(error)
-                rows.append((path, used, cut, header, warning, problem))
-            yield pd.DataFrame(rows, columns=["file", "encoding", "delimiter", "header", "warning", "problem"])
-
-    return _files(spark, paths).select("path", "content").mapInPandas(run, _OPTIONS)
+                    lines = [x.encode() for x in decode(content, encoding)[0].removesuffix("\n").split("\n")]
+                except UnicodeDecodeError:
+                    lines = [b"\xff"]
+                yield pa.RecordBatch.from_pydict({"file": pa.array([path] * len(lines)), "block": pa.array([0] * len(lines), pa.int64()), "i": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.binary())})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count = None, 0
+        for batch in batches:
+            numbers = []
+            for key in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                now, count = (now, count + 1) if key == now else (key, 0)
+                numbers.append(count)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(numbers, pa.int64()), batch.column("line")], names=["file", "block", "i", "line"])
+
+    schema = "file string, block long, i long, line binary"
+    if _wide(encoding):
+        return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(whole, schema)
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    return text.mapInArrow(numbered, schema)
+
+
+def _in_order(lines: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` with the columns of ``table``, the lines of a block still in order and in one task."""
+    if table.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(table), keys)
+    return lines.join(table, keys).repartition("file", "block").sortWithinPartitions("file", "block", "i")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each block, in pieces; a new block starts with i = 0."""
+    for batch in batches:
+        piece: list[dict] = []
+        for row in batch.to_pylist():
+            if piece and row["i"] == 0:
+                yield piece
+                piece = []
+            piece.append(row)
+        if piece:
+            yield piece
+
+
+def _read_as(spark: SparkSession, paths: str | list[str], encoding: str | None, delimiter: str | None, lines: DataFrame) -> DataFrame:
+    """(file, encoding, delimiter, problem), one row per file: every byte is looked at."""
+    try:
+        explicit, unknown = encoding and codecs.lookup(encoding).name, None
+    except LookupError as error:
+        explicit, unknown = None, f"LookupError: {error}"
+    explicit = "utf-8" if _wide(encoding) else explicit
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _blocks(batches):
+            rows = [r["line"] for r in piece]
+            head = b"\n".join(rows)[: 4 * SNIFFED] if piece[0]["block"] == 0 and piece[0]["i"] < SNIFFED else None
+            fits = [all(_decodes(x, e) for x in rows) for e in ("utf-8", "cp1252", explicit or "latin-1")]
+            yield pa.RecordBatch.from_pydict({"file": pa.array([piece[0]["file"]]), "i": pa.array([piece[0]["i"]], pa.int64()), "head": pa.array([head], pa.binary()), **{k: pa.array([v]) for k, v in zip(("utf8", "cp1252", "named"), fits, strict=True)}})
+
+    found = lines.mapInArrow(looked_at, "file string, i long, head binary, utf8 boolean, cp1252 boolean, named boolean")
+    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("i", "head")))), lambda x: x["head"])
+    found = found.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252"), F.bool_and("named").alias("named"), heads.alias("heads"))
+    # The listing that the reader has made, in the form of _metadata.file_path: scans leave empty files out.
+    every = spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(paths).inputFiles()], "file string")
+    found = every.join(found, "file", "left")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                used = encoding or (ENCODINGS[0] if row.utf8 is None or row.utf8 else "cp1252" if row.cp1252 else "latin-1")
+                problem = unknown or (None if row.named is None or row.named else f"UnicodeDecodeError: not all bytes are {encoding}")
+                cut = None
+                if not problem:
+                    head = b"\n".join(row.heads if row.heads is not None else [])
+                    cut = delimiter or sniff_delimiter(head.decode(explicit or used, "ignore").removeprefix("\ufeff"))
+                rows.append((row.file, None if problem else used, cut, problem))
+            yield pd.DataFrame(rows, columns=["file", "encoding", "delimiter", "problem"])
+
+    return found.mapInPandas(decide, "file string, encoding string, delimiter string, problem string")
+
+
+def _texts(piece: list[dict]) -> list[str]:
+    """The decoded lines; a byte order mark that the reader left goes."""
+    encoding = "utf-8" if _wide(piece[0]["encoding"]) or piece[0]["encoding"] == ENCODINGS[0] else piece[0]["encoding"]
+    texts = [r["line"].decode(encoding) for r in piece]
+    if piece[0]["block"] == 0 and piece[0]["i"] == 0:
+        texts[0] = texts[0].removeprefix("\ufeff")
+    return texts
+
+
+def _states(lines: DataFrame, header_row: int) -> DataFrame:
+    """(file, block, opened, lines_before, records_before, header): each block's start, and the header in the first one."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _blocks(batches):
+            texts, cut = _texts(piece), piece[0]["delimiter"]
+            ends, begun = [False, True], [0, 0]
+            for text in texts:
+                begun = [n + (not state) for n, state in zip(begun, ends, strict=True)]
+                ends = [ends_open(text, state, cut) for state in ends]
+            head = texts if piece[0]["block"] == 0 and piece[0]["i"] <= header_row + 10_000 else None
+            yield pa.RecordBatch.from_pydict({"file": pa.array([piece[0]["file"]]), "block": pa.array([piece[0]["block"]], pa.int64()), "i": pa.array([piece[0]["i"]], pa.int64()), "lines": pa.array([len(texts)], pa.int64()), "ends": pa.array([ends]), "begun": pa.array([begun], pa.list_(pa.int64())), "head": pa.array([head], pa.list_(pa.string())), "delimiter": pa.array([cut])})
+
+    def folded(group: pd.DataFrame) -> pd.DataFrame:
+        opened, n_lines, n_records, out, head = False, 0, 0, [], []
+        for row in group.sort_values(["block", "i"]).itertuples():
+            if row.i == 0:
+                out.append((row.file, row.block, opened, n_lines, n_records, None))
+            opened, n_lines, n_records = bool(row.ends[int(opened)]), n_lines + row.lines, n_records + int(row.begun[int(opened)])
+            head += [x + "\n" for x in (row.head if row.head is not None else [])]
+        header = next(islice(csv.reader(head, delimiter=group["delimiter"].iloc[0]), header_row - 1, None), None) if header_row > 0 else None
+        out[0] = (*out[0][:-1], header)
+        return pd.DataFrame(out, columns=["file", "block", "opened", "lines_before", "records_before", "header"])
+
+    pieces = lines.mapInArrow(summed, "file string, block long, i long, lines long, ends array<boolean>, begun array<long>, head array<string>, delimiter string")
+    return pieces.groupBy("file").applyInPandas(folded, "file string, block long, opened boolean, lines_before long, records_before long, header array<string>")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, record, line, cells): every record with its number and last physical line, both from 1."""
+    names = ["file", "record", "line", "cells", "block", "part", "delimiter"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string()]
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        began, opened, record, last, file, block, cut = True, False, 0, 0, None, 0, ","
+
+        def done(complete: bool) -> tuple:
+            cells = _cells(held, cut) if complete else None
+            return file, record, last, cells, block, None if complete else "\n".join(held), cut
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal held, began, opened, record, last, file, block, cut
+            for piece in _blocks([batch]):
+                first = piece[0]
+                if first["i"] == 0:
+                    if held:
+                        yield done(began and not opened)
+                    held, began, opened, record = [], not first["opened"], first["opened"], first["records_before"]
+                    file, block, cut = first["file"], first["block"], first["delimiter"]
+                for row, text in zip(piece, _texts(piece), strict=True):
+                    if not opened:
+                        if held:
+                            yield done(began)
+                        held, began, record = [], True, record + 1
+                    held.append(text)
+                    last = row["lines_before"] + row["i"] + 1
+                    opened = ends_open(text, opened, cut)
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), types, strict=True)], names=names)
+
+        for batch in batches:
+            yield made(list(rows(batch)))
+        if held:
+            yield made([done(began and not opened)])
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["file"], "record": batch["record"], "line": batch["line"], "cells": [_cells("\n".join(x).split("\n"), cut) for x, cut in zip(batch["parts"], batch["delimiter"], strict=True)]})
+
+    found = lines.mapInArrow(parsed, "file string, record long, line long, cells array<string>, block long, part string, delimiter string")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])
+    across = found.where("cells is null").groupBy("file", "record").agg(F.max("line").alias("line"), parts.alias("parts"), F.first("delimiter").alias("delimiter"))
+    return found.where("cells is not null").select("file", "record", "line", "cells").unionByName(across.mapInPandas(joined, "file string, record long, line long, cells array<string>"))
+
+
+def _known(spark: SparkSession, paths: str | list[str], header_row: int, encoding: str | None, delimiter: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(options, lines of readable files, start of each block)"""
+    lines = _lines(spark, paths, encoding)
+    options = _read_as(spark, paths, encoding, delimiter, lines).persist()
+    readable = _in_order(lines, options.where("problem is null").select("file", "encoding", "delimiter"), ["file"])
+    states = _states(readable, header_row).persist()
+    header = states.where("block = 0").select("file", "header")
+    missing = F.lit("ValueError: the header row counts from 1") if header_row < 1 else F.when(F.coalesce(F.size("header"), F.lit(0)) < 1, F.lit(f"ValueError: no header in row {header_row}"))
+    options = options.join(header, "file", "left").withColumn("problem", F.coalesce("problem", missing))
+    warning = F.when(F.col("problem").isNull() & (F.col("encoding") != ENCODINGS[0]), F.concat(F.lit("read as "), "encoding")) if encoding is None else F.lit(None).cast("string")
+    return options.select("file", "encoding", "delimiter", F.when(F.col("problem").isNull(), F.col("header")).alias("header"), warning.alias("warning"), "problem"), readable, states
+
+
+def infer_read_options(spark: SparkSession, paths: str | list[str], header_row: int = 1, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """(file, encoding, delimiter, header, warning, problem), one row per file.
+
+    A problem (unknown encoding, undecodable bytes anywhere in the file, header row below 1, missing or without cells) concerns the file,
+    not the job. A warning says that the first encoding did not fit.
+    """
+    return _known(spark, paths, header_row, encoding, delimiter)[0]
 
 
 def normalize_headers(file_columns: DataFrame) -> DataFrame:
@@ -105,34 +298,21 @@ def read_delimited(spark: SparkSession, paths: str | list[str], header_row: int
     """(rows, file report). Rows have one column per distinct header name, _src_file, _sheet and _row.
 
     Rows of only nulls are dropped and numbering goes on; short rows are padded, extra cells left out; blank cells are
-    null. The report is (file, encoding, delimiter, warning, problem), one row per warning or problem and one per file.
+    null; of columns whose names are equal after renaming, the last one counts. Cells may be of any size. The report is (file, encoding,
+    delimiter, warning, problem), one row per warning or problem and one per file; a file with a problem has no rows.
     """
-    options = infer_read_options(spark, paths, header_row, encoding, delimiter)
+    options, lines, states = _known(spark, paths, header_row, encoding, delimiter)
     headers = normalize_headers(options.where("header is not null").select("file", F.posexplode("header").alias("at", "name")).select("file", (F.col("at") + 1).alias("idx"), "name"))
     # Distinct column names over all files: the width of the result, not its rows.
     names = [r[0] for r in headers.groupBy("column_name").agg(F.min("idx").alias("i")).orderBy("i", "column_name").select("column_name").collect()]
-    named = headers.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "column_name"))), lambda x: x["column_name"]).alias("names"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    text, _ = decode(content, encoding)
-                    cut = delimiter or sniff_delimiter(text)
-                    held = []
-                    for _, line, cells in _records(text, cut, header_row + 1):
-                        held.append((path, line, [c.strip() or None for c in cells]))
-                        if len(held) == 10_000:
-                            yield pd.DataFrame(held, columns=["_src_file", "_row", "cells"])
-                            held = []
-                    yield pd.DataFrame(held, columns=["_src_file", "_row", "cells"])
-                except (LookupError, ValueError, csv.Error):
-                    continue  # in the report, as this file's problem
-
-    cells = _files(spark, paths).select("path", "content").mapInPandas(run, "_src_file string, _row long, cells array<string>")
-    joined = cells.join(named, F.col("_src_file") == F.col("file")).select("_src_file", "_row", F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("cells", i))).alias("m"))
-    rows = joined.select("_src_file", F.lit(None).cast("string").alias("_sheet"), "_row", *(F.try_element_at("m", F.lit(n)).alias(n) for n in names))
-    warnings = headers.where("warning is not null").select("file", F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("string").alias("delimiter"), "warning", F.lit(None).cast("string").alias("problem"))
+    last = headers.groupBy("file", "column_name").agg(F.max("idx").alias("idx"))
+    places = last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "idx"))).alias("places")).withColumnRenamed("file", "p_file")
+    starts = states.drop("header")
+    records = _records(_in_order(lines, starts, ["file", "block"])).where(F.col("record") > header_row)
+    joined = records.join(places, F.col("file") == F.col("p_file"))
+    rows = joined.select(F.col("file").alias("_src_file"), F.lit(None).cast("string").alias("_sheet"), F.col("line").alias("_row"), *(F.get("cells", F.try_element_at("places", F.lit(n)) - 1).alias(n) for n in names))
+    none = F.lit(None).cast("string")
+    warnings = headers.where("warning is not null").select("file", none.alias("encoding"), none.alias("delimiter"), "warning", none.alias("problem"))
     report = options.select("file", "encoding", "delimiter", "warning", "problem").unionByName(warnings)
     return drop_blank_rows(rows), report
 

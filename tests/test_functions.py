@@ -23,9 +23,9 @@ def one(spark, f, *values):
         (text.digits_only, {"1.2-3": "123", "n/a": None}),
         (text.brazilian_phone, {"+55 (11) 91234-5678": "11912345678", "5512": "5512"}),
         (text.postal_code, {"1234-567": "01234567", "12345-678": "12345678"}),
-        (text.format_postal_code, {"12345678": "12345-678", "12": "12"}),
-        (money.decimal_text, {"R$ 1.234,56": "1234.56", "1.234": "1234", "1,234.56": "1234.56", "(5,0)": "-5.0", "7-": "-7", "1,2,3": None, "x": None, "(0,00)": "0.00"}),
-        (checks.document_type, {"52998224725": "cpf", "11222333000181": "cnpj", "11111111111": None, "1": None}),
+        (text.format_postal_code, {"12345678": "12345-678", "12": "12", "1234567": "1234567"}),
+        (money.decimal_text, {"R$ 1.234,56": "1234.56", "1.234": "1234", "1,234.56": "1234.56", "(5,0)": "-5.0", "7-": "-7", "1,2,3": None, "x": None, "(0,00)": "0.00", "~5": None, "5)": None, "-5-": None, "(-5)": "-5", "007,50": "7.50", "0000150": "150", "5.": "5", ",5": "0.5", "-,5": "-0.5", ",": None}),
+        (checks.document_type, {"529.982.247-25": "cpf", "11.222.333/0001-81": "cnpj", "52998224725": "cpf", "11222333000181": "cnpj", "11111111111": None, "1": None}),
         (checks.mask_document, {"52998224725": "529.***.***-25", "11222333000181": "11.***.***/****-81", "12": "**", "12345": "12***"}),
         (checks.is_valid_email, {"a@b.c": True, "a@b": False, None: False}),
         (checks.invoice_status, {" Pago ": "paid", "cancelled": "canceled", "x": None}),

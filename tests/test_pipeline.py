@@ -1,5 +1,8 @@
+import csv
 import difflib
+import io
 import os
+import random
 import unicodedata
 from collections import Counter
 from datetime import date, datetime
@@ -48,6 +51,43 @@ def test_headers_and_problems(spark, tmp_path):
     assert read_delimited(spark, str(tmp_path / "h.csv"), encoding="no-such")[1].first()["problem"].startswith("LookupError")
 
 
+def test_delimited_in_blocks(spark, tmp_path):
+    """Blocks of a few bytes, records and stray quotes across them, against the csv reader on the whole text."""
+    rnd = random.Random(4)
+    texts = []
+    for k in range(6):
+        cells = ['x', '"q;1"', '"two\nlines"', 'in"side', '"a ""b"" c"', '"open\n\n;end"tail', '', ' blank ', "é" * 40, "z"]
+        body = "\n".join(";".join(rnd.choice(cells) for _ in range(rnd.randint(1, 4))) for _ in range(60)) + (";" + "y" * 200_000 if k == 5 else "")
+        texts.append("a;b;a;a (2)\n" + body + rnd.choice(["", "\n", '\n"never closed;1\n2']))
+    texts += [";;\n1;2;3", "", "only;header"]
+    for i, x in enumerate(texts):
+        (tmp_path / f"{i}.csv").write_bytes(x.replace("\n", ("\n", "\r\n", "\r")[i % 3]).encode("cp1252" if i == 2 else "utf-8"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        table, report = read_delimited(spark, str(tmp_path), delimiter=";")
+        found = sorted((int(r["_src_file"].rpartition("/")[2][:-4]), r["_row"], *(r[c] for c in ("a", "b", "a (2)", "coluna_1", "coluna_3"))) for r in table.collect())
+        problems = {int(r["file"].rpartition("/")[2][:-4]): (r["encoding"], r["problem"]) for r in report.where("encoding is not null").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = []
+    for i, x in enumerate(texts):
+        reader = csv.reader(io.StringIO(x, newline=""), delimiter=";")
+        next(reader, None)
+        for cells in reader:
+            c = [v.strip() or None for v in cells] + [None] * 4
+            if i == 6:
+                expected.append((i, reader.line_num, None, None, None, c[0], c[2]))
+            elif any(c[k] for k in ((0, 1, 3) if i < 6 else (0,))):
+                expected.append((i, reader.line_num, c[0], c[1], c[3], None, None))
+    assert found == sorted(expected, key=lambda r: (r[0], r[1]))
+    assert problems == {**{i: ("utf-8-sig", None) for i in (0, 1, 3, 4, 5, 6, 8)}, 2: ("cp1252", None), 7: ("utf-8-sig", "ValueError: no header in row 1")}
+    (tmp_path / "late.csv").write_bytes(b"a;b\n" + b"1;2\n" * 5000 + b"\xff;1\n")
+    assert read_delimited(spark, str(tmp_path / "late.csv"), encoding="utf-8")[1].first()["problem"].startswith("UnicodeDecodeError")
+
+
 def test_migration(spark, rows, tmp_path):
     run = run_migration(rows[0], CUSTOMERS_CSV, date(2025, 1, 1), out_folder=str(tmp_path / "out"))
     assert tuple(run.totals.first()) == (4, 3, 1, 1, 1, 0)
