@@ -123,11 +123,12 @@ def required_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def t_occurrence(lists: list[np.ndarray], needed: int, skip: np.ndarray, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def t_occurrence(lists: list[np.ndarray], needed: int, skip: np.ndarray, mu: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least ``needed`` of the ascending lists, with their counts (DivideSkip).
 
     The longest lists are set aside; the others are merged by a heap of their heads, and members that can still reach ``needed``
-    are looked up in the long lists by binary search. Members marked in ``skip`` are left out.
+    are looked up in the long lists by binary search, the shortest of them first: most members fail there. ``mu`` is the cost of a
+    look-up, of many members at once, against that of a step of the heap. Members marked in ``skip`` are left out.
     """
     none = np.empty(0, np.int64)
     if len(lists) < needed:
@@ -148,7 +149,7 @@ def t_occurrence(lists: list[np.ndarray], needed: int, skip: np.ndarray, mu: flo
         members.append(last)
         counts.append(count)
     members, counts = np.array(members, np.int64), np.array(counts, np.int64)
-    for i, probed in enumerate(long):
+    for i, probed in enumerate(reversed(long)):
         if not len(members):
             break
         at = np.searchsorted(probed, members)
@@ -163,7 +164,8 @@ def t_occurrence(lists: list[np.ndarray], needed: int, skip: np.ndarray, mu: flo
 def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets (positions), found by T-occurrence queries.
 
-    Two sets in one tree need no further comparison: a query skips its own tree. Once a tree has most of the indexed sets, they
+    Two sets in one tree need no further comparison: a query skips its own tree, and, while its set is indexed, the sets that have
+    asked before, for these have met it. Once a tree has most of the indexed sets, they
     leave the index: each of them asks once, and every set outside that tree stays indexed, so no pair is lost.
     """
     sizes = np.array([len(s) for s in sets])
@@ -178,6 +180,7 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
 
     members = np.arange(len(sets))
     keys, edge, owner = index(members)
+    indexed = np.ones(len(sets), bool)
     for x in range(len(sets)):
         at = np.searchsorted(keys, sets[x])
         at[at == len(keys)] = 0
@@ -185,7 +188,7 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
         needed = required_overlap(int(sizes[x]), -(-num * int(sizes[x]) // den), num, den)
         if len(found) < needed:
             continue
-        near, both = t_occurrence([owner[edge[k] : edge[k + 1]] for k in found.tolist()], needed, tree == tree[x])
+        near, both = t_occurrence([owner[edge[k] : edge[k + 1]] for k in found.tolist()], needed, (tree == tree[x]) | (indexed[x] & (np.arange(len(sets)) < x)))
         linked = near[den * both >= num * (sizes[x] + sizes[near] - both)].tolist()
         for y in linked:
             if tree[x] != tree[y]:
@@ -195,6 +198,8 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             inside = tree[members] == tree[x]
             if 2 * np.count_nonzero(inside) > len(members):
                 main, members = x if main is None else main, members[~inside]
+                indexed[:] = False
+                indexed[members] = True
                 if not len(members):
                     break
                 keys, edge, owner = index(members)
