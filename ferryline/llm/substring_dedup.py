@@ -119,10 +119,13 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     drop_path(spark, classes_path)
     sent = windows.where("not resolved")
     first = sent.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash_a", "hash_b", "first")
+    # Written first: the shuffle behind the minima goes before the one for the join, whose hot keys Spark can then split.
+    first, first_path = materialize(first, "first")
     late = sent.join(first, ["hash_a", "hash_b"]).where("first < doc_id").select("doc_id", "key", "at", "until")
     late = late.unionByName(windows.where("resolved").select("doc_id", "key", "at", "until"))
     runs, _ = materialize(late.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "until")).alias("runs")), "runs")
-    drop_path(spark, windows_path)
+    for path in (windows_path, first_path):
+        drop_path(spark, path)
     return runs
 
 
