@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, fingerprint, language_id, license_scan, line_dedup, ngram_jaccard, substring_dedup, token_files, trie_bpe
+from . import alignment, best_fit, exact_dedup, fingerprint, language_id, license_scan, line_dedup, ngram_jaccard, periodic_runs, piece_bpe, substring_dedup, token_files, trie_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_best_fit": best_fit.op10_best_fit,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_byte_bpe": piece_bpe.op13_byte_bpe,
     }
 
 

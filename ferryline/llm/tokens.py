@@ -150,20 +150,16 @@ def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: n
     return values[places], edges
 
 
-class BatchEncoder:
-    """ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-
-    def __init__(self, path: str, words: bool):
-        self.tokenizer, self.splitter = load(path), Splitter(path, words)
-        tokenize = self.tokenizer.model.tokenize
-        self.known = Remembered()
+class ChunkEncoder:
+    """ids of whole texts from the ids of their distinct chunks; odd texts are encoded whole.
 
-        def compute(chunks: list[str]) -> list[bytes]:
-            words = [self.splitter.words(c) for c in chunks]
-            ids = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in {w for many in words for w in many}}
-            return [b"".join([ids[w] for w in many]) for many in words]
+    ``splitter`` cuts a group of texts, ``compute`` gives the ids (bytes of unsigned 32-bit integers) of distinct chunks,
+    ``whole`` the ids of one text.
+    """
 
-        self.compute = compute
+    def __init__(self, splitter: Splitter, compute: Callable[[list[str]], list[bytes]], whole: Callable[[str], np.ndarray]):
+        self.splitter, self.compute, self.whole = splitter, compute, whole
+        self.known = Remembered()
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order."""
@@ -172,7 +168,7 @@ class BatchEncoder:
             ids = self.known.values(chunks, (np.bincount(codes, minlength=len(chunks)) > 1).tolist(), self.compute)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(lengths) - lengths
-            whole = {i: np.array(self.tokenizer.encode(group[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd.tolist()}
+            whole = {i: self.whole(group[i].as_py()) for i in odd.tolist()}
             at = 0
             while at < len(group):
                 until = max(at + 1, int(np.searchsorted(edges, edges[at] + LAID_OUT, "right")) - 1)
@@ -184,6 +180,21 @@ class BatchEncoder:
         tidy()
 
 
+class BatchEncoder(ChunkEncoder):
+    """ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+
+    def __init__(self, path: str, words: bool):
+        self.tokenizer, splitter = load(path), Splitter(path, words)
+        tokenize = self.tokenizer.model.tokenize
+
+        def compute(chunks: list[str]) -> list[bytes]:
+            words = [splitter.words(c) for c in chunks]
+            ids = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in {w for many in words for w in many}}
+            return [b"".join([ids[w] for w in many]) for many in words]
+
+        super().__init__(splitter, compute, lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+
+
 @cache
 def encoder(path: str, words: bool) -> BatchEncoder:
     """One encoder, with what it remembers, per Python worker."""
