@@ -38,7 +38,7 @@ from .tokens import BYTE_ALPHABET, BYTE_BPE, Remembered, Splitter, load, spread,
 
 PIECE_BPE = "piece_bpe_32k.model"
 #: Bytes of text in a unit (a longer text is a unit of its own), and between the starts of a text's lanes.
-UNIT_BYTES, LANE = 3_000_000, 512
+UNIT_BYTES, LANE = 1_000_000, 512
 _BLANK = "▁"
 
 
