@@ -5,7 +5,10 @@ Plan
 2. Only the histogram of piece lengths (at most ``size`` numbers) decides which lengths share a sequence. Minimum
    bin slack: the longest length left takes a bin, and a subset-sum over the lengths left (bitsets of
    reachable sums, lengths with their counts) finds the fullest combination with it. A combination is used as often as
-   the counts allow, so the number of combinations does not grow with the corpus.
+   the counts allow, so the number of combinations does not grow with the corpus. Filling every bin to the brim can use up
+   the short pieces too early; so the search is repeated with a slack that a bin may keep, until the sum of all lengths
+   shows that no plan has fewer sequences, or all slacks have been tried. The plan with the fewest sequences is taken, and
+   its emptiest sequences are packed anew as long as that saves any.
 3. Pieces are numbered within their length, in shards, and a piece's number says which sequence and
    which place of that combination it takes. No piece passes through the driver.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +31,20 @@ from .tokens import WORD_BPE, encoder, tokenizer_path
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
-    """A combination of lengths that holds ``seed`` and leaves the least of ``size`` unused.
+def fill(counts: dict[int, int], room: int, slack: int) -> Counter:
+    """A combination of lengths that leaves the least of ``room`` unused.
 
     ``counts`` are the lengths left. Bit s of ``reach[i]`` says that s is a sum of the first i lengths,
     longest first; the sums are walked back from the largest one. Of equally full combinations, the walk takes the one
-    with the longest pieces, so that short pieces are left for the bins that need them.
+    with the longest pieces, so that short pieces are left for the bins that need them. Shorter lengths are looked at only
+    while more than ``slack`` stays unused.
     """
-    room = size - seed
-    full = (1 << (room + 1)) - 1
-    left = Counter(counts)
-    left[seed] -= 1
-    lengths = [n for n in sorted(left, reverse=True) if left[n] > 0 and n <= room]
+    full, enough = (1 << (room + 1)) - 1, max(0, room - slack)
     reach, used = [1], []
-    for n in lengths:
-        if reach[-1] >> room & 1:
+    for n in sorted((n for n, c in counts.items() if c > 0 and n <= room), reverse=True):
+        if reach[-1] >> enough:
             break
-        bits, step, many = reach[-1], 1, min(left[n], room // n)
+        bits, step, many = reach[-1], 1, min(counts[n], room // n)
         while many > 0:
             step = min(step, many)
             bits |= bits << (n * step) & full
@@ -53,7 +53,7 @@ def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
         reach.append(bits)
         used.append(n)
     total = reach[-1].bit_length() - 1
-    out = Counter({seed: 1})
+    out: Counter = Counter()
     for i in range(len(used) - 1, -1, -1):
         while not reach[i] >> total & 1:
             total -= used[i]
@@ -61,12 +61,24 @@ def fullest(seed: int, counts: dict[int, int], size: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
+def fullest(seed: int, counts: dict[int, int], size: int, slack: int = 0) -> Counter:
+    """A combination that holds ``seed``: with the fullest one of long lengths that leaves at most ``slack`` of ``size``, and
+    the fullest one of what is left then in the rest."""
+    out, left = Counter({seed: 1}), Counter(counts)
+    left[seed] -= 1
+    for allowed in (slack, 0) if slack else (0,):
+        more = fill(left, size - sum(n * k for n, k in out.items()), allowed)
+        out += more
+        left -= more
+    return out
+
+
+def plan_with(histogram: dict[int, int], size: int, slack: int) -> list[tuple[Counter, int]]:
     """(combination, times) until every piece of ``histogram`` (length: count) has a place."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while left:
-        found = fullest(max(left), left, size)
+        found = fullest(max(left), left, size, slack)
         times = min(left[n] // k for n, k in found.items())
         out.append((found, times))
         for n, k in found.items():
@@ -76,6 +88,61 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
     return out
 
 
+def sequences(combinations: list[tuple[Counter, int]]) -> int:
+    return sum(times for _, times in combinations)
+
+
+def lengths_of(combinations: list[tuple[Counter, int]]) -> Counter:
+    out: Counter = Counter()
+    for found, times in combinations:
+        for n, k in found.items():
+            out[n] += k * times
+    return out
+
+
+def fewest(histogram: dict[int, int], size: int, slacks: Iterable[int], best: list[tuple[Counter, int]] | None = None) -> tuple[list[tuple[Counter, int]], int]:
+    """(plan with the fewest sequences, its slack) of ``best`` and those for ``slacks``; ends where the sum of all lengths allows no fewer."""
+    least, best_slack = -(-sum(n * c for n, c in histogram.items()) // size), 0
+    for slack in slacks:
+        if best is not None and sequences(best) <= least:
+            break
+        found = plan_with(histogram, size, slack)
+        if best is None or sequences(found) < sequences(best):
+            best, best_slack = found, slack
+    return best or [], best_slack
+
+
+def emptiest(combinations: list[tuple[Counter, int]], size: int, count: int) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]]]:
+    """(the ``count`` emptiest sequences, the others)."""
+    taken, others = [], []
+    for found, times in sorted(combinations, key=lambda x: sum(n * k for n, k in x[0].items())):
+        now = min(times, count)
+        count -= now
+        taken += [(found, now)] if now else []
+        others += [(found, times - now)] if times > now else []
+    return taken, others
+
+
+def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
+    """The plan with the fewest sequences over slacks up to half of ``size`` and those beside the best one; then its
+    emptiest sequences, with more and more fuller ones, are packed anew in the same way as long as that saves any."""
+    step = max(1, size // 64)
+    coarse = [0, *(k for k in (1, 2, 4, 8, 16) if k < step), *range(step, size // 2 + 1, step)]
+
+    def search(lengths: dict[int, int], known: list[tuple[Counter, int]] | None) -> list[tuple[Counter, int]]:
+        found, slack = fewest(lengths, size, coarse, known)
+        return fewest(lengths, size, range(max(0, slack - step), slack + step, max(1, step // 8)), found)[0]
+
+    best = search(histogram, None)
+    share = 1
+    while share < 8 and sequences(best) > -(-sum(n * c for n, c in histogram.items()) // size):
+        taken, others = emptiest(best, size, -(-sequences(best) * share // 8))
+        again = search(lengths_of(taken), taken)
+        share = 1 if sequences(again) < sequences(taken) else share * 2
+        best = others + again
+    return best
+
+
 def places(combinations: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
     """For each length and range of its pieces' numbers: the first sequence, pieces per sequence, first offset.
 

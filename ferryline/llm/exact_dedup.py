@@ -125,7 +125,7 @@ def _compared(rows: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "key", *_RUN, "salts", "text").mapInArrow(_compare, schema)
 
 
-def exact_groups(docs: DataFrame, rows_per_salt: int = 1024) -> DataFrame:
+def exact_groups(docs: DataFrame, rows_per_salt: int = 1024, bytes_per_salt: int = 64 << 20) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z only.
 
     Returns (doc_id, keep_id, group_size, kept, text_sha256), one row per input row: of equal texts the
@@ -135,12 +135,13 @@ def exact_groups(docs: DataFrame, rows_per_salt: int = 1024) -> DataFrame:
     * a row without doc_id sorts below every doc_id; a group of only such rows has a null keep_id;
     * rows that repeat both doc_id and text all count in group_size and share one decision;
     * rows that repeat a doc_id with different texts are judged each by its own text;
+    * copies are compared in parts of ``rows_per_salt`` rows and ``bytes_per_salt`` bytes at most, or of one very long text;
     * an empty table gives an empty result; further columns are ignored.
     """
     texts = documents(docs).select("doc_id", ascii_lower(F.col("text")).alias("text")).withColumn("key", F.xxhash64("text"))
     prints, _ = materialize(fingerprints(texts), "prints")
     suspects = prints.groupBy("print_a", "print_b", "bytes").agg(F.count("*").alias("members")).where("members > 1")
-    suspects, _ = materialize(suspects.select("print_a", "print_b", "bytes", F.expr(f"cast(ceil(members / {rows_per_salt}) as int)").alias("salts")), "suspects")
+    suspects, _ = materialize(suspects.select("print_a", "print_b", "bytes", F.expr(f"cast(ceil(greatest(members / {rows_per_salt}, least(members, members * bytes / {bytes_per_salt}))) as int)").alias("salts")), "suspects")
     rows = prints.select("doc_id", "key", "print_a", "print_b", "bytes").join(suspects, ["print_a", "print_b", "bytes"]).withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, key), salts) as int)"))
     rows = rows.select(F.col("doc_id").alias("row_id"), F.col("key").alias("row_key"), *_RUN, "salts")
     texts_of = texts.join(rows, texts["doc_id"].eqNullSafe(rows["row_id"]) & (texts["key"] == rows["row_key"])).dropDuplicates(["doc_id", "key"])
@@ -166,7 +167,8 @@ def exact_groups(docs: DataFrame, rows_per_salt: int = 1024) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged.
 
-    The row with the largest doc_id stays; of rows that repeat doc_id and text, any one stays.
+    The row with the largest doc_id stays; of rows that repeat doc_id and text, any one stays. Null and empty texts are
+    equal, so one row of them stays, with the text it has; a null doc_id sorts below every other.
     """
     groups, _ = materialize(exact_groups(docs), "groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()

@@ -40,6 +40,7 @@ def site_line_dedup(docs: DataFrame, site: str = "source", min_sites: int = 10)
     n_removed, kept_sha256), one row per input row; kept lines, unchanged, are joined by newlines.
 
     * null and empty texts are one blank line; a text may lose all its lines and becomes empty;
+    * a very long text has one row for each line until its lines are gathered again, in one task;
     * a null site is no site, though lines of its documents are removed like others;
     * a null doc_id stays null, and repeated rows give repeated rows: rows are told apart by doc_id and text;
     * an empty table gives an empty result; further columns are ignored.
@@ -52,8 +53,11 @@ def site_line_dedup(docs: DataFrame, site: str = "source", min_sites: int = 10)
     gone = lines.join(common, ["hash_a", "hash_b"], "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone")
     rows = base.join(gone, base["doc_id"].eqNullSafe(F.col("g_id")) & (base["key"] == F.col("g_key")), "left")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    return rows.select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    rows = rows.select("doc_id", "text", "gone", _lines(F.col("text")).alias("parts"))
+    # A difference of sets of places, so that the work grows with the lines of a text, not with their square.
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get("parts", i)), "\n"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,10 +131,13 @@ class TokenFile:
         opened = [pa.memory_map(f"{stem}{x}") if isinstance(store, fs.LocalFileSystem) else store.open_input_file(f"{stem}{x}") for x in (".arrow", ".docs.arrow")]
         self.ids, self.docs = (pa.ipc.open_file(x) for x in opened)
         self.length = self.ids.schema.field("ids").type.list_size
+        self._kept, self._at = np.empty((0, self.length)), -1
 
     def batch(self, i: int) -> np.ndarray:
-        """ids of the i-th batch, one row per sequence."""
-        return self.ids.get_batch(i).column("ids").flatten().to_numpy().reshape(-1, self.length)
+        """ids of the i-th batch, one row per sequence; the last one asked for is kept, so a reader in order fetches each once."""
+        if i != self._at:
+            self._kept, self._at = self.ids.get_batch(i).column("ids").flatten().to_numpy().reshape(-1, self.length), i
+        return self._kept
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of the i-th sequence."""

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ferryline.llm import alignment, periodic_runs, piece_bpe
+from ferryline.llm import alignment, best_fit, exact_dedup, line_dedup, periodic_runs, piece_bpe
 from ferryline.llm.tokens import BYTE_BPE, tokenizer_path
 
 A_PATH, B_PATH = tokenizer_path(BYTE_BPE), tokenizer_path(alignment.PIECE_BPE)
@@ -229,3 +229,41 @@ def test_long_runs_take_linear_time():
         w = unit * (150_000 // len(unit))
         codes, edges = periodic_runs.word_codes(pa.array([" ".join(w)]))
         assert periodic_runs.find_runs(codes, edges).tolist() == [[0, 0, len(w), len(unit)]]
+
+
+def first_fit_decreasing(lengths, size):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        k = next((i for i, free in enumerate(room) if free >= n), None)
+        if k is None:
+            room.append(size - n)
+        else:
+            room[k] -= n
+    return len(room)
+
+
+@pytest.mark.parametrize("family", ["uniform", "middle", "normal", "third"])
+def test_packing_is_no_worse_than_first_fit_decreasing(family):
+    rnd = random.Random(17)
+    draw = {"uniform": lambda: rnd.randint(1, 2048), "middle": lambda: rnd.randint(300, 1100), "normal": lambda: min(2048, max(1, int(rnd.gauss(700, 100)))), "third": lambda: rnd.randint(640, 730)}[family]
+    for _ in range(25):
+        lengths = [draw() for _ in range(rnd.choice([30, 60, 120]))]
+        found = best_fit.plan(Counter(lengths), 2048)
+        assert best_fit.lengths_of(found) == Counter(lengths)
+        assert all(sum(n * k for n, k in one.items()) <= 2048 for one, _ in found)
+        assert -(-sum(lengths) // 2048) <= best_fit.sequences(found) <= first_fit_decreasing(lengths, 2048)
+
+
+def test_lines_of_one_text_take_linear_time(spark):
+    text = "\n".join(f"line {i}" if i % 2 else "everywhere" for i in range(60_000))
+    rows = [(0, text, "s0")] + [(k, "everywhere\nown", f"s{k}") for k in range(1, 4)]
+    found = line_dedup.site_line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=4).where("doc_id = 0").first()
+    assert (found["n_lines"], found["n_removed"]) == (60_000, 30_000)
+    assert found["kept_sha256"] == sha("\n".join(f"line {i}" for i in range(1, 60_000, 2)))
+
+
+def test_copies_in_parts_by_bytes(spark):
+    texts = ["x" * 5000] * 9 + ["y" * 10] * 5 + ["z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, parts = (sorted(map(tuple, exact_dedup.exact_groups(docs, bytes_per_salt=b).collect())) for b in (1 << 30, 12_000))
+    assert whole == parts and [r[1] for r in whole] == [8] * 9 + [13] * 5 + [14]
