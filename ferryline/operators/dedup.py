@@ -7,13 +7,17 @@ several files use struct(_src_file, _row).
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import remove_accents, strip
+from .name_index import Names, candidates, ratios
 
 #: Keys of exact matches in the order of priority, and the threshold for names.
 EXACT_KEYS = ("document", "customer_document", "external_id", "email")
@@ -44,25 +48,108 @@ def name_similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(current: pd.Series, previous: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(a, b) for a, b in zip(current, previous, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def _rounded(values: pd.Series) -> pd.Series:
     return values.map(lambda x: round(x, 3))
 
 
-def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", threshold: float = THRESHOLD, block_entries: int = 2_000) -> DataFrame:
+#: Fixed value: letters whose counts place a name of a large block, each group in a row of steps; with the length, they say which parts can meet.
+_PLACED_BY = ("a", "ei", "ou", "rlmn", "stdc")
+_STEPS = (3, 2, 2, 3, 4, 4)
+
+
+def _placed(name: Column) -> list[Column]:
+    """The length of a name and its numbers of the letters above."""
+    return [F.length(name), *(F.length(name) - F.length(F.translate(name, letters, "")) for letters in _PLACED_BY)]
+
+
+def _parts(entries: DataFrame, part_entries: int) -> DataFrame:
+    """``entries(key, value, name, ...)`` of blocks with two or more rows, with ``part``: one for a small block; a larger block is cut by length and
+    letters, and evenly within these, into parts of about ``part_entries``."""
+    blocks = entries.groupBy("key", "value").agg(F.count("*").alias("n"), F.max(F.col("first") < F.col("last")).alias("again"))
+    blocks = blocks.where((F.col("n") > 1) | F.col("again")).select("key", "value", "n")
+    inside = entries.join(blocks, ["key", "value"])
+    cell = F.xxhash64(*(F.floor(x / F.lit(step)) for x, step in zip(_placed(F.col("name")), _STEPS, strict=True)))
+    inside = inside.withColumn("cell", F.when(F.col("n") <= part_entries, F.lit(0).cast("long")).otherwise(cell)).drop("n")
+    sizes = inside.groupBy("key", "value", "cell").agg(F.ceil(F.count("*") / F.lit(part_entries)).cast("int").alias("cuts"))
+    return inside.join(sizes, ["key", "value", "cell"]).withColumn("part", F.struct("cell", F.pmod(F.xxhash64("name"), F.col("cuts")).alias("cut"))).drop("cell", "cuts")
+
+
+def _part_pairs(parts: DataFrame, threshold: float) -> DataFrame:
+    """(key, value, part_a, part_b) of parts of one block, each pair once, whose names' lengths and letters can come close enough.
+
+    A part is summed up in the least and greatest of each number; two names are at least as far apart as the gaps between these, and at most
+    (1 - threshold) * (their lengths) where they reach the threshold. The rows here are parts, about one for 500 names.
+    """
+    numbers = [f"p{i}" for i in range(len(_STEPS))]
+    placed = parts.select("key", "value", "part", *(c.alias(n) for c, n in zip(_placed(F.col("name")), numbers, strict=True)))
+    boxes = placed.groupBy("key", "value", "part").agg(*(f(n).alias(f"{n}_{x}") for n in numbers for f, x in ((F.min, "low"), (F.max, "high"))))
+    one, other = (boxes.select("key", "value", *(F.col(c).alias(f"{c}_{side}") for c in boxes.columns if c not in ("key", "value"))) for side in "ab")
+
+    def gap(n: str) -> Column:
+        return F.greatest(F.lit(0), F.col(f"{n}_low_a") - F.col(f"{n}_high_b"), F.col(f"{n}_low_b") - F.col(f"{n}_high_a"))
+
+    allowed = F.lit(1 - threshold) * (F.col("p0_high_a") + F.col("p0_high_b")) + F.lit(1e-6)
+    letters = sum((gap(n) for n in numbers[1:]), F.lit(0))
+    met = one.join(other, ["key", "value"]).where((F.col("part_a") <= F.col("part_b")) & (F.greatest(gap("p0"), letters) <= allowed))
+    return met.select("key", "value", "part_a", "part_b")
+
+
+def _scored(threshold: float):
+    """Ratios of the names that meet; rows come sorted by (key, value, pair, side), and a pair of parts is held at a time."""
+    names = ["key", "value", "name", "prev_name", "prev_first", "similarity"]
+
+    def ordinal(x):
+        return tuple(x.values()) if isinstance(x, dict) else x
+
+    def compared(batch: pa.RecordBatch, units: list[tuple], start: int, until: int) -> tuple[list[int], list[int], list[float]]:
+        rows, prev, similarity = [], [], []
+        name, first, last, side = (batch.column(c).slice(start, until - start).to_pylist() for c in ("name", "first", "last", "side"))
+        first, last = [ordinal(x) for x in first], [ordinal(x) for x in last]
+        at = 0
+        for _, unit in groupby(units[start:until]):
+            n = len(list(unit))
+            half = at + side[at : at + n].count(0)
+            a, b = Names(name[at:half]), Names(name[half : at + n]) if half < at + n else None
+            found = zip(*(x.tolist() for x in candidates(a, b or a, threshold, b is None)), strict=True)
+            # The earlier name is the second one of the ratio, which is not symmetric.
+            both = {x for i, j in found for p, q in [(at + i, (half if b else at) + j)] for x in ((p, q), (q, p))}
+            for x, y, ratio in ratios(name, name, [(x, y) for x, y in both if first[y] < last[x]], threshold):
+                rows.append(start + x)
+                prev.append(start + y)
+                similarity.append(ratio)
+            at += n
+        return rows, prev, similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+
+        def done(batch: pa.RecordBatch, whole: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            units = list(zip(*(batch.column(c).to_pylist() for c in ("key", "value", "pair")), strict=True))
+            until = len(units)
+            while not whole and until and units[until - 1] == units[-1]:
+                until -= 1
+            rows, prev, similarity = compared(batch, units, 0, until)
+            now, then = batch.take(pa.array(rows, pa.int64())), batch.take(pa.array(prev, pa.int64()))
+            return pa.RecordBatch.from_arrays([now.column("key"), now.column("value"), now.column("name"), then.column("name"), then.column("first"), pa.array(similarity, pa.float64())], names=names), batch.slice(until)
+
+        for batch in batches:
+            out, held = done(pa.concat_batches([held, batch]) if held is not None else batch, False)
+            yield out
+        if held is not None:
+            yield done(held, True)[0]
+
+    return run
+
+
+def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", threshold: float = THRESHOLD, part_entries: int = 500) -> DataFrame:
     """(ord, matched, key, value, similarity) for rows that are no exact match: the first earlier row
     with a similar name and the same phone, or else the same postal code.
 
     Blocks are the distinct (phone or postal code, name) pairs: a value shared by very many rows with one name is one entry.
-    A large block is dealt out: its entries get a number below the block's number of parts, and each meets the entries of every
-    part in a task of that part. Pairs whose lengths, or whose common characters, exclude the threshold (both are
-    upper bounds of the ratio) are dropped where they meet; the ratio is computed once for every other pair of distinct names.
-    An earlier row is the minimum over its entry.
+    A large block is cut into parts by the lengths and letters of its names, and only parts that can hold a pair of similar names meet,
+    dealt to the tasks by the pair of parts. Where names meet, their letters and letter pairs exclude nearly all pairs (see ``name_index``) before
+    the ratio is computed. An earlier row is the minimum over its entry.
     """
     name = next(n for n in ("full_name", "name") if n in valid.columns)
     keys = [k for k in ("phone", "postal_code") if k in valid.columns]
@@ -71,16 +158,17 @@ def find_possible(valid: DataFrame, exact: DataFrame, ord: str = "_row", thresho
     long = rows.select("ord", "name", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(k).alias("key"), F.col(k).alias("value")) for i, k in enumerate(keys)))).alias("k"))
     long = long.select("ord", "name", "k.rank", "k.key", "k.value").where("value is not null")
     entries = long.groupBy("key", "value", "name").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    # Each character of a name with its number among the equal ones before it: what two names can have in common.
-    numbered = F.transform("chars", lambda x, i: F.concat(x, F.size(F.filter(F.slice("chars", F.lit(1), i), lambda y: y == x)).cast("string")))
-    sizes = entries.groupBy("key", "value").agg(F.ceil(F.count("*") / F.lit(block_entries)).cast("int").alias("parts"))
-    entries = entries.join(sizes, ["key", "value"]).withColumn("chars", F.split("name", "")).withColumn("letters", numbered)
-    prev = entries.select("key", "value", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("prev_name"), F.col("first").alias("prev_first"), F.col("letters").alias("prev_letters"))
-    dealt = entries.select("key", "value", "name", "last", "letters", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    total = F.length("name") + F.length("prev_name")
-    shorter = F.least(F.length("name"), F.length("prev_name"))
-    pairs = dealt.join(prev, ["key", "value", "part"]).where((F.col("prev_first") < F.col("last")) & (2 * shorter / total >= threshold) & (2 * F.size(F.array_intersect("letters", "prev_letters")) / total >= threshold))
-    scored = pairs.select("key", "value", "name", "prev_name", "prev_first", _similarity("name", "prev_name").alias("similarity")).where(F.col("similarity") >= threshold)
+    parts = _parts(entries, part_entries)
+    met = _part_pairs(parts, threshold)
+    ends = met.select("key", "value", F.explode(F.array(F.struct(F.col("part_a").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part_b").alias("part"), F.lit(1).alias("side")))).alias("e"), F.xxhash64("part_a", "part_b").alias("pair"), (F.col("part_a") == F.col("part_b")).alias("alone"))
+    # A part that meets itself is sent once.
+    ends = ends.where(~(F.col("alone") & (F.col("e.side") == 1))).select("key", "value", "e.part", "e.side", "pair")
+    unit = ["key", "value", "pair"]
+    sent = parts.join(ends, ["key", "value", "part"]).select(*unit, "side", "name", "first", "last")
+    # A stated number of partitions is not merged at run time: the rows are few, the work on them is not.
+    sent = sent.repartition(int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit).sortWithinPartitions(*unit, "side")
+    kind = entries.schema["first"].dataType.simpleString()
+    scored = sent.mapInArrow(_scored(threshold), f"key string, value string, name string, prev_name string, prev_first {kind}, similarity double")
     left = long.join(exact.select(F.col("ord").alias("x")), F.col("ord") == F.col("x"), "left_anti")
     found = left.join(scored, ["key", "value", "name"]).where("prev_first < ord")
     best = found.groupBy("ord").agg(F.min_by(F.struct(F.col("prev_first").alias("matched"), "key", "value", "similarity"), F.struct("prev_first", "rank")).alias("m"))
