@@ -6,11 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .mapping import transform_counts
 from .validation import issues_for_display
 
 DETAIL_LIMIT = 500
+#: The columns of a run's totals.
+TOTALS = ("total_records", "valid_records", "rejected_records", "duplicate_records", "possible_duplicates", "loaded_records")
 
 
 def run_totals(validated: DataFrame, found: DataFrame, loaded: int = 0) -> DataFrame:
@@ -26,11 +29,19 @@ def issues_by_code(annotated: DataFrame) -> DataFrame:
     return annotated.select(F.explode("issues.code").alias("code")).groupBy("code").agg(F.count("*").alias("issues")).orderBy("code")
 
 
+def first_issues(annotated: DataFrame, ord: str = "_row", limit: int = DETAIL_LIMIT) -> DataFrame:
+    """A4: (severity, row, pos, code, field, message, ...): the first ``limit`` issues of every severity in row order, masked, in one scan.
+
+    The limit on the row number is taken in every task before the shuffle, so at most ``limit`` rows of a severity leave a task.
+    """
+    rows = annotated.select(F.col(ord).alias("row"), F.posexplode("issues").alias("pos", "i")).select("row", "pos", F.array("i").alias("one"), F.col("i.severity").alias("severity"))
+    picked = rows.withColumn("at", F.row_number().over(W.partitionBy("severity").orderBy("row", "pos"))).where(F.col("at") <= limit)
+    return picked.select("severity", "row", "pos", F.explode(issues_for_display(F.col("one"))).alias("i")).select("severity", "row", "pos", "i.code", "i.field", "i.message", "i.original_value", "i.normalized_value")
+
+
 def issue_details(annotated: DataFrame, severity: str, ord: str = "_row", limit: int = DETAIL_LIMIT) -> DataFrame:
-    """A4: the first ``limit`` issues of a severity in row order, masked: a top-k, not a sort of all."""
-    rows = annotated.select(F.col(ord).alias("row"), F.posexplode(issues_for_display(F.col("issues"))).alias("pos", "i"))
-    picked = rows.where(F.col("i.severity") == severity).orderBy("row", "pos").limit(limit)
-    return picked.select("row", "pos", "i.code", "i.field", "i.message", "i.original_value", "i.normalized_value")
+    """A4 for one severity."""
+    return first_issues(annotated, ord, limit).where(F.col("severity") == severity).drop("severity")
 
 
 def run_record(totals: DataFrame, run_id: str, entity: str, source: str, source_hash: str, started: datetime, finished: datetime, dry_run: bool = True) -> DataFrame:
@@ -60,11 +71,15 @@ def audit_report(annotated: DataFrame, found: DataFrame, record: DataFrame, ord:
     def listed(df: DataFrame, order: list[str], name: str) -> DataFrame:
         return df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias(name), F.lit(1).alias("_one"))
 
+    # One scan for both severities; at most twice DETAIL_LIMIT rows come out.
+    details = first_issues(annotated, ord)
+    order = ["row", "pos"]
+    entry = F.struct(*order, *(c for c in details.columns if c not in (*order, "severity")))
+    both = details.agg(*(F.array_sort(F.collect_list(F.when(F.col("severity") == one, entry))).alias(name) for one, name in (("error", "errors"), ("warning", "warnings"))), F.lit(1).alias("_one"))
     parts = [
         listed(transform_counts(annotated), ["transform"], "transforms_applied"),
         listed(issues_by_code(annotated), ["code"], "issues_by_code"),
-        listed(issue_details(annotated, "error", ord), ["row", "pos"], "errors"),
-        listed(issue_details(annotated, "warning", ord), ["row", "pos"], "warnings"),
+        both,
         # Rows and keys only: values of duplicates are not part of the report. The first ones, as for issues.
         listed(found.select("ord", "matched", "kind", "key", "similarity").orderBy("ord").limit(DETAIL_LIMIT), ["ord", "matched"], "duplicates"),
         listed(warnings, ["file", "problem", "columns"], "run_warnings"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +18,9 @@ from ..sources import pages as page_ops
 from ..sources.delimited import infer_read_options, normalize_headers, read_delimited
 from ..sources.tables import coerce_to_text, fingerprint, inspect_pages, records_from_cells, route_sources
 from . import legacy, oracles
-from .migration import run_migration
+from .migration import both_searches, run_migration
 from .oracles import with_
+from ..working import fresh_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REFERENCE = date.fromisoformat(oracles.REFERENCE)
@@ -148,8 +148,13 @@ def _validated(spark: SparkSession, d: str, entity: str) -> DataFrame:
     return validate(_mapped(spark, d, entity), entity, REFERENCE)
 
 
+def _rows(spark: SparkSession, d: str, entity: str) -> DataFrame:
+    """The validated rows, written once: what searches them and reports on them has a short plan."""
+    return written(_validated(spark, d, entity), "validated")[0]
+
+
 def _exact(spark: SparkSession, d: str, entity: str) -> tuple[DataFrame, DataFrame]:
-    rows = _validated(spark, d, entity).persist()
+    rows = _rows(spark, d, entity)
     return rows, dedup.find_exact(rows.where("is_valid"))
 
 
@@ -184,10 +189,8 @@ def _exact_only(spark: SparkSession, d: str, entity: str = "customers") -> tuple
 
 def _annotated(spark: SparkSession, d: str, entity: str = "customers") -> tuple[DataFrame, DataFrame]:
     """Annotated rows and duplicates of both searches, as in run_migration. SQL can't express the name ratio, so these queries have none."""
-    rows, exact = _exact(spark, d, entity)
-    named = {"full_name", "name"} & set(rows.columns)
-    possible = dedup.find_possible(rows.where("is_valid"), exact) if named else exact.selectExpr("*", "cast(null as double) AS similarity").where("false")
-    found = dedup.duplicates(exact, possible)
+    rows = _rows(spark, d, entity)
+    found, _, _ = both_searches(rows)
     return dedup.annotate_duplicates(rows, found), found
 
 
@@ -315,26 +318,18 @@ def cells_to_records(spark: SparkSession, d: str) -> DataFrame:
     return records_from_cells(cells, header_row=2)
 
 
-def _working_folder(spark: SparkSession, name: str) -> str:
-    """A folder below the warehouse, deleted when the application ends."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 @query("delimited_read", _CUST + ' SELECT "Código" AS codigo, nullif(trim("Nome Cliente", chr(9) || \' \'), \'\') AS nome, nullif("CEP", \'\') AS cep FROM legacy')
 def delimited_read(spark: SparkSession, d: str) -> DataFrame:
-    """Write the customers as delimited files below the warehouse and read them back."""
-    folder = _working_folder(spark, "delimited")
+    """Write the customers as delimited files and read them back."""
+    folder = fresh_folder(spark, "delimited")
     legacy.customers(spark, d).drop("_row").write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     rows, _ = read_delimited(spark, f"{folder}/*.csv")
     return rows.select(F.col("Código").alias("codigo"), F.col("Nome Cliente").alias("nome"), F.col("CEP").alias("cep"))
 
 
 def _written(spark: SparkSession, d: str) -> str:
-    """The customers as delimited files, and as many text files, below the warehouse."""
-    folder = _working_folder(spark, "files")
+    """The customers as delimited files, and as many text files,."""
+    folder = fresh_folder(spark, "files")
     rows = legacy.customers(spark, d).select("Código", "Nome Cliente", "CEP")
     rows.write.option("header", True).option("sep", ";").csv(f"{folder}/tables")
     rows.select(F.concat_ws(": ", "Código", "CEP")).write.text(f"{folder}/texts")
@@ -369,7 +364,7 @@ def text_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("ragged_rows", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 4 = 1) AS with_b FROM documents WHERE doc_id % 4 IN (0, 1)")
 def ragged_rows(spark: SparkSession, d: str) -> DataFrame:
     """One written line per document, short, long or blank by doc_id; blank ones go, short ones are padded."""
-    folder, key = _working_folder(spark, "ragged"), F.col("doc_id")
+    folder, key = fresh_folder(spark, "ragged"), F.col("doc_id")
     line = F.when(key % 4 == 0, "x").when(key % 4 == 1, F.concat(F.lit("x;"), key, F.lit(";more"))).when(key % 4 == 2, " ; ").otherwise("")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     # Every file starts with the header: the first line of each partition.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.mapping import SCHEMAS
 from ..operators.validation import issues_for_display
@@ -58,56 +62,102 @@ def issue_rows(annotated: DataFrame, run_id: str) -> DataFrame:
     return rows.select(F.lit(run_id).alias("run_id"), F.col("_row").alias("row_number"), "pos", "i.*")
 
 
-def load_lake(annotated: DataFrame, record: DataFrame, entity: str, folder: str, imported_at: datetime, dry_run: bool = True) -> None:
+def load_lake(annotated: DataFrame, run_id: str, record: Callable[[], DataFrame], entity: str, folder: str, imported_at: datetime, dry_run: bool = True) -> None:
     """K5: the lake form of the load. A dry run is refused first.
 
-    Data goes to its own ``run_id=`` folders; the row in ``migration_runs`` is written last and is the commit
-    mark: readers join on it, so a run that failed half-way, or was written again by a repeated task, does not show.
+    Data goes to its own ``run_id=`` folders; the row in ``migration_runs``, made by ``record`` when the data is written, comes last and is
+    the commit mark: readers join on it, so a run that failed half-way, or was written again by a repeated task, does not show.
     """
     if dry_run:
         raise ValueError("a dry run loads nothing")
-    run_id = record.first()["run_id"]
     target_rows(annotated, entity, run_id, imported_at).drop("run_id").write.mode("overwrite").parquet(f"{folder}/{entity}/run_id={run_id}")
     issue_rows(annotated, run_id).drop("run_id").write.mode("overwrite").parquet(f"{folder}/migration_issues/run_id={run_id}")
-    record.drop("run_id").write.mode("overwrite").parquet(f"{folder}/migration_runs/run_id={run_id}")
+    record().drop("run_id").write.mode("overwrite").parquet(f"{folder}/migration_runs/run_id={run_id}")
 
 
-def load_jdbc(annotated: DataFrame, record: DataFrame, entity: str, url: str, properties: dict[str, str], imported_at: datetime, dry_run: bool = True) -> None:
-    """K5 over JDBC: staging tables of this run, then one transaction on the driver's connection.
+def _with_attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its partition and the attempt that wrote it, which is the task's message to the commit."""
+    context = TaskContext.get()
+    for batch in batches:
+        n = batch.num_rows
+        marks = [pa.array([context.partitionId()] * n, pa.int32()), pa.array([context.taskAttemptId()] * n, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, PART, ATTEMPT])
 
-    ``df.write.jdbc`` commits per partition, so tasks write to staging tables only; one INSERT .. SELECT
-    per table and the commit make all rows visible at once, any failure rolls all of it back.
+
+#: Names of the two columns that staging tables have besides their own.
+PART, ATTEMPT = "stage_part", "stage_attempt"
+
+
+class StagedLoad:
+    """Two-phase load over JDBC.
+
+    ``stage``: tasks write a table's rows, each partition in a transaction of its own, to a staging table. A partition that was
+    written and then repeated, because its executor was lost before it could report, is there twice. ``commit``: one transaction
+    on the driver's connection takes the first attempt of every partition of every staging table, checks that the rows are as many as were
+    to be staged, and makes all tables visible at once. Whatever fails before its end, nothing is loaded. ``close`` drops the staging tables.
     """
-    if dry_run:
-        raise ValueError("a dry run loads nothing")
-    spark, run_id = annotated.sparkSession, record.first()["run_id"]
-    tables = {entity: target_rows(annotated, entity, run_id, imported_at), "migration_issues": issue_rows(annotated, run_id), "migration_runs": record}
-    suffix = uuid4().hex[:12]
-    staged = {name: f"stage_{name}_{suffix}" for name in tables}
-    connection = None
-    try:
-        for name, rows in tables.items():
-            rows.write.jdbc(url, staged[name], mode="overwrite", properties=properties)
-        gateway = spark._jvm
-        settings = gateway.java.util.Properties()
-        for k, v in properties.items():
+
+    def __init__(self, spark: SparkSession, url: str, properties: dict[str, str]):
+        self.spark, self.url, self.properties = spark, url, properties
+        self.suffix = uuid4().hex[:12]
+        self.staged: dict[str, tuple[str, list[str], int]] = {}
+
+    def stage(self, table: str, rows: DataFrame) -> None:
+        name = f"stage_{table}_{self.suffix}"
+        self.staged[table] = name, rows.columns, rows.count()
+        kinds = T.StructType([*rows.schema.fields, T.StructField(PART, T.IntegerType()), T.StructField(ATTEMPT, T.LongType())])
+        rows.mapInArrow(_with_attempt, kinds).write.jdbc(self.url, name, properties=self.properties)
+
+    def _connection(self):
+        jvm = self.spark._jvm
+        settings = jvm.java.util.Properties()
+        for k, v in self.properties.items():
             settings.setProperty(k, v)
-        connection = gateway.java.sql.DriverManager.getConnection(url, settings)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, settings)
         connection.setAutoCommit(False)
+        return connection
+
+    def commit(self) -> None:
+        connection = self._connection()
         try:
-            for name, rows in tables.items():
-                names = ", ".join(f'"{c}"' for c in rows.columns)
-                connection.createStatement().executeUpdate(f"INSERT INTO {name} ({names}) SELECT {names} FROM {staged[name]}")
+            for table, (name, columns, expected) in self.staged.items():
+                names = ", ".join(f'"{c}"' for c in columns)
+                first = f'SELECT MIN("{ATTEMPT}") FROM {name} GROUP BY "{PART}"'
+                loaded = connection.createStatement().executeUpdate(f'INSERT INTO {table} ({names}) SELECT {names} FROM {name} WHERE "{ATTEMPT}" IN ({first})')
+                if loaded != expected:
+                    raise RuntimeError(f"{table}: {loaded} rows are staged where {expected} were to be")
             connection.commit()
         except Exception:
             connection.rollback()
             raise
-    finally:
-        if connection is not None:
-            for table in staged.values():
+        finally:
+            connection.close()
+
+    def close(self) -> None:
+        connection = self._connection()
+        try:
+            for name, _, _ in self.staged.values():
                 try:
-                    connection.createStatement().executeUpdate(f"DROP TABLE {table}")
+                    connection.createStatement().executeUpdate(f"DROP TABLE {name}")
                     connection.commit()
                 except Exception:  # a staging table that was never made
                     connection.rollback()
+        finally:
             connection.close()
+
+
+def load_jdbc(annotated: DataFrame, run_id: str, record: Callable[[], DataFrame], entity: str, url: str, properties: dict[str, str], imported_at: datetime, dry_run: bool = True) -> None:
+    """K5 over JDBC: the entity's rows, the masked issues and the run's record, all or nothing (see ``StagedLoad``).
+
+    ``annotated`` must give the same rows whenever it is read, as a written table does. The target tables exist, with the columns' names as they are here.
+    """
+    if dry_run:
+        raise ValueError("a dry run loads nothing")
+    load = StagedLoad(annotated.sparkSession, url, properties)
+    try:
+        load.stage(entity, target_rows(annotated, entity, run_id, imported_at))
+        load.stage("migration_issues", issue_rows(annotated, run_id))
+        load.stage("migration_runs", record())
+        load.commit()
+    finally:
+        load.close()

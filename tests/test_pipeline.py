@@ -105,7 +105,7 @@ def test_load_is_marked_last(spark, rows, tmp_path):
     assert spark.read.parquet(str(tmp_path / "lake" / "customers")).count() == 3
     assert spark.read.parquet(str(tmp_path / "lake" / "migration_runs")).first()["loaded_records"] == 3
     with pytest.raises(ValueError, match="dry run"):
-        outputs.load_lake(run.annotated, run.record, "customers", str(tmp_path), datetime(2025, 1, 1))
+        outputs.load_lake(run.annotated, run.run_id, lambda: run.record, "customers", str(tmp_path), datetime(2025, 1, 1))
 
 
 def test_mapping_and_reconciliation(spark):
