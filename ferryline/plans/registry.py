@@ -327,56 +327,94 @@ def delimited_read(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("Código").alias("codigo"), F.col("Nome Cliente").alias("nome"), F.col("CEP").alias("cep"))
 
 
-def _written(spark: SparkSession, d: str) -> str:
-    """The customers as delimited files, and as many text files,."""
-    folder = fresh_folder(spark, "files")
-    rows = legacy.customers(spark, d).select("Código", "Nome Cliente", "CEP")
-    rows.write.option("header", True).option("sep", ";").csv(f"{folder}/tables")
-    rows.select(F.concat_ws(": ", "Código", "CEP")).write.text(f"{folder}/texts")
+#: One delimited file, and one text file, for each nation, so that the files grow with the table.
+_OF_NATION = "of_nation AS (SELECT c_nationkey AS nation, c_custkey AS k, c_custkey || ': ' || c_name || ' (' || c_mktsegment || ')' AS line, CASE WHEN c_nationkey % 3 = 0 THEN '|' WHEN c_nationkey % 3 = 1 THEN ';' ELSE ',' END AS cut, c_nationkey % 4 = 0 AS accents FROM customer)"
+
+
+def _of_nation(spark: SparkSession, d: str) -> DataFrame:
+    """(nation, k, line, cut, accents) of every customer."""
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    nation = F.col("c_nationkey")
+    line = F.concat(F.col("c_custkey"), F.lit(": "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))
+    return customers.select(nation.alias("nation"), F.col("c_custkey").alias("k"), line.alias("line"), F.when(nation % 3 == 0, "|").when(nation % 3 == 1, ";").otherwise(",").alias("cut"), (nation % 4 == 0).alias("accents"))
+
+
+def _written_lines(lines: DataFrame, folder: str, encoding: str = "utf-8") -> None:
+    """``lines(nation, k, at, line)`` as one text file for each nation, by k and at. A file's rows are in one task, as a single file's must be."""
+    ordered = lines.repartition("nation").sortWithinPartitions("nation", "k", "at").select("nation", F.encode("line", "ISO-8859-1").alias("value") if encoding == "cp1252" else F.col("line").cast("binary").alias("value"))
+    # The text writer takes strings; bytes that are no UTF-8 pass through it unchanged.
+    ordered.select("nation", F.col("value").cast("string").alias("value")).write.mode("append").partitionBy("nation").text(folder)
+
+
+def _nation_of(file: str) -> Column:
+    return F.regexp_extract(file, "nation=([0-9]+)", 1).cast("long")
+
+
+def _tables(spark: SparkSession, d: str) -> str:
+    """A folder of delimited files; every fourth one has letters that are no UTF-8."""
+    folder, rows = fresh_folder(spark, "tables"), _of_nation(spark, d)
+    header = rows.groupBy("nation").agg(F.first("cut").alias("cut"), F.first("accents").alias("accents")).select("nation", F.lit(0).cast("long").alias("k"), F.lit(1).alias("at"), F.concat(F.lit("code"), "cut", F.when(F.col("accents"), "endereço").otherwise("name"), "cut", F.lit("rest")).alias("line"), "accents")
+    body = rows.select("nation", "k", F.lit(2).alias("at"), F.concat("k", "cut", "line", "cut", F.lit("x")).alias("line"), "accents")
+    lines = header.unionByName(body)
+    _written_lines(lines.where("not accents"), folder)
+    _written_lines(lines.where("accents"), folder, "cp1252")
     return folder
 
 
-@query("read_options")
+@query("read_options", f"WITH {_OF_NATION} SELECT nation::BIGINT AS nation, CASE WHEN accents THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding, cut AS delimiter, 'code|' || CASE WHEN accents THEN 'endereço' ELSE 'name' END || '|rest' AS header, NULL::VARCHAR AS problem, CASE WHEN accents THEN 'read as cp1252' END AS warning FROM of_nation GROUP BY nation, accents, cut")
 def read_options(spark: SparkSession, d: str) -> DataFrame:
-    """S2 to S4 over written files, which are as many as the table has partitions: one row per kind of answer."""
-    return infer_read_options(spark, f"{_written(spark, d)}/tables/*.csv").groupBy("encoding", "delimiter", F.array_join("header", "|").alias("header"), "problem").agg((F.count("*") > 0).alias("found"))
+    """Encoding, delimiter, header, problem and warning of each written file."""
+    found = infer_read_options(spark, f"{_tables(spark, d)}/*/*.txt")
+    return found.select(_nation_of("file").alias("nation"), "encoding", "delimiter", F.array_join("header", "|").alias("header"), "problem", "warning")
 
 
-@query("route_sources")
-def routed(spark: SparkSession, d: str) -> DataFrame:
-    """S16 over written files."""
-    return route_sources(spark, _written(spark, d)).where("format is not null").groupBy("format", "tabular").agg((F.count("*") > 0).alias("found"))
+#: Extensions of the files of a nation, by its key: known ones in any case, and unknown ones.
+_KINDS = ("csv", "TXT", "xlsx", "Xlsm", "docx", "pdf", "png", "JPG", "jpeg", "tif", "TIFF", "parquet", "exe", "")
 
 
-@query("file_fingerprint")
+@query("route_sources", f"WITH {_OF_NATION}, n AS (SELECT nation, lower({oracles._list(_KINDS).replace('(', '[').replace(')', ']')}[nation % {len(_KINDS)} + 1]) AS extension, count(*) AS lines FROM of_nation GROUP BY nation) SELECT nation::BIGINT AS nation, CASE WHEN extension IN ('csv', 'txt', 'docx', 'pdf') THEN extension WHEN extension IN ('xlsx', 'xlsm') THEN 'xlsx' WHEN extension IN ('png', 'jpg', 'jpeg', 'tif', 'tiff') THEN 'image' END AS format, CASE WHEN extension IN ('csv', 'xlsx', 'xlsm') THEN true WHEN extension IN ('parquet', 'exe', '') THEN NULL ELSE false END AS tabular FROM n")
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """S16 over one written file for each nation, renamed to an extension by its key; some are known, others not."""
+    folder = fresh_folder(spark, "sources")
+    rows = _of_nation(spark, d).select("nation", "k", F.lit(1).alias("at"), "line")
+    _written_lines(rows, f"{folder}/written")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    system = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    # One rename for each file: 25 nations.
+    for found in system.globStatus(jvm.Path(f"{folder}/written/nation=*/part-*")):
+        nation = int(found.getPath().getParent().getName().rpartition("=")[2])
+        kind = _KINDS[nation % len(_KINDS)]
+        system.mkdirs(jvm.Path(f"{folder}/named"))
+        system.rename(found.getPath(), jvm.Path(f"{folder}/named/n{nation}" + (f".{kind}" if kind else "")))
+    return route_sources(spark, f"{folder}/named").select(F.regexp_extract("file", r"/n([0-9]+)[^/]*$", 1).cast("long").alias("nation"), "format", "tabular")
+
+
+@query("file_fingerprint", f"WITH {_OF_NATION} SELECT nation::BIGINT AS nation, sha256(string_agg(line, chr(10) ORDER BY k) || chr(10)) AS sha256 FROM of_nation GROUP BY nation")
 def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """S15 over written files: every digest has 64 hexadecimal digits."""
-    return fingerprint(spark, f"{_written(spark, d)}/tables/*.csv").groupBy(F.length("sha256").alias("digits")).agg((F.count("*") > 0).alias("found"))
+    """The digest of each written file."""
+    folder = fresh_folder(spark, "files")
+    _written_lines(_of_nation(spark, d).select("nation", "k", F.lit(1).alias("at"), "line"), folder)
+    return fingerprint(spark, f"{folder}/*/*.txt").select(_nation_of("file").alias("nation"), "sha256")
 
 
-@query("text_documents", _CUST + """ SELECT count(*) AS lines FROM legacy""")
+@query("text_documents", f"WITH {_OF_NATION} SELECT nation::BIGINT AS nation, 1 AS page, string_agg(line, chr(10) ORDER BY k) || chr(10) AS text, 'native' AS origin, NULL::VARCHAR AS warning FROM of_nation GROUP BY nation")
 def text_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of all written text files."""
-    pages = page_ops.read_text_documents(spark, f"{_written(spark, d)}/texts/*.txt")
-    return pages.select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line")).agg(F.count("*").alias("lines"))
+    """Text and origin of each written text file."""
+    folder = fresh_folder(spark, "texts")
+    _written_lines(_of_nation(spark, d).select("nation", "k", F.lit(1).alias("at"), "line"), folder)
+    return page_ops.read_text_documents(spark, f"{folder}/*/*.txt").select(_nation_of("_src_file").alias("nation"), "page", "text", "origin", "warning")
 
 
-@query("ragged_rows", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 4 = 1) AS with_b FROM documents WHERE doc_id % 4 IN (0, 1)")
+@query("ragged_rows", f"WITH {_OF_NATION}, n AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY k) AS line_no FROM of_nation) SELECT nation::BIGINT AS nation, line_no + 1 AS _row, 'x' AS a, CASE WHEN k % 4 = 1 THEN k::VARCHAR END AS b FROM n WHERE k % 4 IN (0, 1)")
 def ragged_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One written line per document, short, long or blank by doc_id; blank ones go, short ones are padded."""
-    folder, key = fresh_folder(spark, "ragged"), F.col("doc_id")
+    """One written line for each customer, short, long or blank by its key; blank ones go, short ones are padded, and the numbering goes on."""
+    folder, key = fresh_folder(spark, "ragged"), F.col("k")
     line = F.when(key % 4 == 0, "x").when(key % 4 == 1, F.concat(F.lit("x;"), key, F.lit(";more"))).when(key % 4 == 2, " ; ").otherwise("")
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    # Every file starts with the header: the first line of each partition.
-    lines = docs.select(line.alias("value")).mapInPandas(_headed, "value string")
-    lines.write.text(folder)
-    rows, _ = read_delimited(spark, f"{folder}/*.txt", delimiter=";")
-    return rows.agg(F.count("*").alias("n_rows"), F.count("b").alias("with_b"))
-
-
-def _headed(batches):
-    for k, batch in enumerate(batches):
-        yield pd.DataFrame({"value": (["a;b"] if k == 0 else []) + batch["value"].tolist()})
+    rows = _of_nation(spark, d)
+    header = rows.select("nation").distinct().select("nation", F.lit(0).cast("long").alias("k"), F.lit(1).alias("at"), F.lit("a;b").alias("line"))
+    _written_lines(header.unionByName(rows.select("nation", F.col("k").cast("long").alias("k"), F.lit(2).alias("at"), line.alias("line"))), folder)
+    found, _ = read_delimited(spark, f"{folder}/*/*.txt", delimiter=";")
+    return found.select(_nation_of("_src_file").alias("nation"), "_row", "a", "b")
 
 
 @query("documents_without_records", _FORMS_SQL + " SELECT _row::VARCHAR AS _src_file FROM forms WHERE _row % 5 = 0")

@@ -1,9 +1,10 @@
 """Delimited text files of any size: reading options per file, then exact rows with their line numbers.
 
-Files are read as lines, so a large one is split over many tasks. Whether a line starts inside quotes depends on all lines
-before it; so each block of a file first tells, for either state at its start, in which state it ends and how many
-records begin in it. Put together in the order of the blocks, this gives every block its first state, line and record, and
-the blocks are parsed on their own. A record that crosses blocks is put together from its parts.
+Files are read as lines of bytes, cut at newline bytes alone, so line ends inside cells stay as they are and a large file is
+split over many tasks. Whether a line starts inside quotes depends on all lines before it; so each block of a file first tells, for
+either state at its start, in which state it ends and how many records begin in it, for every delimiter that may turn out to be the file's.
+Put together in the order of the blocks, this gives every block its first state, line and record. The header is then the record with its
+number, in whatever block, and the blocks are parsed on their own. A record that crosses blocks is put together from its parts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import csv
 import re
 import sys
 from collections.abc import Iterator
-from itertools import islice
+from functools import cache
+from itertools import chain, groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..working import written
+
 #: Encodings in the order of trial, delimiters, characters looked at.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
@@ -32,11 +36,11 @@ BROADCAST_ROWS = 100_000
 csv.field_size_limit(sys.maxsize)
 
 
-def decode(data: bytes, encoding: str | None) -> tuple[str, str]:
+def decode(data: bytes, encoding: str | None, errors: str = "strict") -> tuple[str, str]:
     """(text with newlines as \\n, encoding used); LookupError and UnicodeDecodeError pass through."""
     for name in (encoding,) if encoding else ENCODINGS:
         try:
-            text = data.decode(codecs.lookup(name).name)
+            text = data.decode(codecs.lookup(name).name, errors)
         except UnicodeDecodeError:
             if encoding:
                 raise
@@ -53,26 +57,23 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
-def _decodes(line: bytes, encoding: str) -> bool:
-    try:
-        line.decode(encoding)
-    except UnicodeDecodeError:
-        return False
-    return True
+@cache
+def _closed(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
+    """A line whose quotes are closed at its end, for lines that begin outside and inside quotes, as the csv reader sees them."""
+    d = re.escape(delimiter)
+    rest = rf'[^{d}]*+(?:{d}(?:"(?:[^"]|"")*+"|(?!"))[^{d}]*+)*+'
+    return re.compile(rf'(?:"(?:[^"]|"")*+"|(?!")){rest}', re.S), re.compile(rf'(?:[^"]|"")*+"{rest}', re.S)
 
 
 def ends_open(line: str, opened: bool, delimiter: str) -> bool:
-    """Whether quotes are open behind ``line``, as the csv reader sees it; ``opened``: whether they are before it."""
+    """Whether quotes are open behind ``line``; ``opened``: whether they are before it."""
     if '"' not in line:
         return opened
-    lines = [*(['"\n'] if opened else []), line + "\n", ""]
-    reader = csv.reader(iter(lines), delimiter=delimiter)
-    next(reader)
-    return reader.line_num == len(lines)
+    return _closed(delimiter)[opened].fullmatch(line) is None
 
 
-def _cells(lines: list[str], delimiter: str) -> list[str | None]:
-    return [c.strip() or None for c in next(csv.reader((x + "\n" for x in lines), delimiter=delimiter), [])]
+def _cells(found: list[str]) -> list[str | None]:
+    return [c.strip() or None for c in found]
 
 
 def _wide(encoding: str | None) -> bool:
@@ -83,192 +84,254 @@ def _wide(encoding: str | None) -> bool:
         return False
 
 
+#: A line with its end: newline, carriage return, or both.
+_PHYSICAL = re.compile(rb"[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]++")
+
+
+def physical_lines(data: bytes) -> list[bytes]:
+    """The lines of ``data`` with their ends, as a file opened with newline="" gives them."""
+    return _PHYSICAL.findall(data)
+
+
+def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, block, size, line): the bytes between newline bytes, the lines of a block of a file in order; size is the file's.
+
+    A file without newline bytes, such as one that ends its lines with carriage returns only, is one line and read by one task.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file) for all files, as _metadata.file_path has them: scans leave empty files out, the listing that the reader has made does not."""
+    return spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(paths).inputFiles()], "file string")
+
+
 def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None) -> DataFrame:
-    """(file, block, i, line): the bytes of every line, numbered from 0 in its block of the file.
+    """(file, block, i, line): the bytes of every physical line with its end, numbered from 0 in its block of the file.
 
     Files in encodings with wide newlines come as one block each.
     """
+    names = ["file", "block", "i", "line"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    lines = [x.encode() for x in decode(content, encoding)[0].removesuffix("\n").split("\n")]
+                    lines = physical_lines(content.decode(codecs.lookup(encoding).name).removeprefix("\ufeff").encode())
                 except UnicodeDecodeError:
                     lines = [b"\xff"]
-                yield pa.RecordBatch.from_pydict({"file": pa.array([path] * len(lines)), "block": pa.array([0] * len(lines), pa.int64()), "i": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array([0] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.binary())], names=names)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, count = None, 0
         for batch in batches:
+            files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+            lines = [line + b"\n" for line in batch.column("line").to_pylist()]
+            # A carriage return that no newline follows ends a line too.
+            if any(b"\r" in line[:-2] for line in lines):
+                cut = [physical_lines(line) for line in lines]
+                files, blocks = ([x for x, many in zip(column, cut, strict=True) for _ in many] for column in (files, blocks))
+                lines = [line for many in cut for line in many]
             numbers = []
-            for key in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            for key in zip(files, blocks, strict=True):
                 now, count = (now, count + 1) if key == now else (key, 0)
                 numbers.append(count)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(numbers, pa.int64()), batch.column("line")], names=["file", "block", "i", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(lines, pa.binary())], names=names)
 
     schema = "file string, block long, i long, line binary"
     if _wide(encoding):
         return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(whole, schema)
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    return text.mapInArrow(numbered, schema)
+    return raw_lines(spark, paths).drop("size").mapInArrow(numbered, schema)
 
 
-def _in_order(lines: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """``lines`` with the columns of ``table``, the lines of a block still in order and in one task."""
+def _in_order(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """``lines`` with the columns of ``table(file, block, ...)``, the lines of a block still in order and in one task."""
     if table.count() <= BROADCAST_ROWS:
-        return lines.join(F.broadcast(table), keys)
-    return lines.join(table, keys).repartition("file", "block").sortWithinPartitions("file", "block", "i")
+        return lines.join(F.broadcast(table), ["file", "block"])
+    return lines.join(table, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "i")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each block, in pieces; a new block starts with i = 0."""
-    for batch in batches:
-        piece: list[dict] = []
-        for row in batch.to_pylist():
-            if piece and row["i"] == 0:
-                yield piece
-                piece = []
-            piece.append(row)
-        if piece:
-            yield piece
+def _decodes(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
-def _read_as(spark: SparkSession, paths: str | list[str], encoding: str | None, delimiter: str | None, lines: DataFrame) -> DataFrame:
-    """(file, encoding, delimiter, problem), one row per file: every byte is looked at."""
-    try:
-        explicit, unknown = encoding and codecs.lookup(encoding).name, None
-    except LookupError as error:
-        explicit, unknown = None, f"LookupError: {error}"
-    explicit = "utf-8" if _wide(encoding) else explicit
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, list[bytes]]]:
+    """(file, block, first line's number, lines) of each block in a batch; a new block starts with i = 0."""
+    files, blocks, numbers, lines = (batch.column(c).to_pylist() for c in ("file", "block", "i", "line"))
+    starts = [k for k, i in enumerate(numbers) if k == 0 or i == 0]
+    for lo, hi in zip(starts, [*starts[1:], len(lines)]):
+        yield files[lo], blocks[lo], numbers[lo], lines[lo:hi]
+
+
+def _through(lines: list[bytes], quoted: list[tuple[int, str]], delimiter: str) -> tuple[list[bool], list[int]]:
+    """For either state before ``lines``: the state behind them, and the records that begin in them. ``quoted`` are the lines with quotes."""
+    ends, begun = [], []
+    for state in (False, True):
+        n, at = 0, 0
+        for k, text in quoted:
+            n += 0 if state else k - at
+            n += not state
+            state, at = ends_open(text, state, delimiter), k + 1
+        ends.append(state)
+        begun.append(n + (0 if state else len(lines) - at))
+    return ends, begun
+
+
+def _looked_at(explicit: str | None, delimiter: str | None):
+    """One row for each piece of a block: which encodings fit, the head of the file, and the states by delimiter."""
+    cuts = [delimiter] if delimiter else list(DELIMITERS)
 
-    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _blocks(batches):
-            rows = [r["line"] for r in piece]
-            head = b"\n".join(rows)[: 4 * SNIFFED] if piece[0]["block"] == 0 and piece[0]["i"] < SNIFFED else None
-            fits = [all(_decodes(x, e) for x in rows) for e in ("utf-8", "cp1252", explicit or "latin-1")]
-            yield pa.RecordBatch.from_pydict({"file": pa.array([piece[0]["file"]]), "i": pa.array([piece[0]["i"]], pa.int64()), "head": pa.array([head], pa.binary()), **{k: pa.array([v]) for k, v in zip(("utf8", "cp1252", "named"), fits, strict=True)}})
-
-    found = lines.mapInArrow(looked_at, "file string, i long, head binary, utf8 boolean, cp1252 boolean, named boolean")
-    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("i", "head")))), lambda x: x["head"])
-    found = found.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252"), F.bool_and("named").alias("named"), heads.alias("heads"))
-    # The listing that the reader has made, in the form of _metadata.file_path: scans leave empty files out.
-    every = spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(paths).inputFiles()], "file string")
-    found = every.join(found, "file", "left")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                used = encoding or (ENCODINGS[0] if row.utf8 is None or row.utf8 else "cp1252" if row.cp1252 else "latin-1")
-                problem = unknown or (None if row.named is None or row.named else f"UnicodeDecodeError: not all bytes are {encoding}")
-                cut = None
-                if not problem:
-                    head = b"\n".join(row.heads if row.heads is not None else [])
-                    cut = delimiter or sniff_delimiter(head.decode(explicit or used, "ignore").removeprefix("\ufeff"))
-                rows.append((row.file, None if problem else used, cut, problem))
-            yield pd.DataFrame(rows, columns=["file", "encoding", "delimiter", "problem"])
-
-    return found.mapInPandas(decide, "file string, encoding string, delimiter string, problem string")
-
-
-def _texts(piece: list[dict]) -> list[str]:
-    """The decoded lines; a byte order mark that the reader left goes."""
-    encoding = "utf-8" if _wide(piece[0]["encoding"]) or piece[0]["encoding"] == ENCODINGS[0] else piece[0]["encoding"]
-    texts = [r["line"].decode(encoding) for r in piece]
-    if piece[0]["block"] == 0 and piece[0]["i"] == 0:
-        texts[0] = texts[0].removeprefix("\ufeff")
-    return texts
-
-
-def _states(lines: DataFrame, header_row: int) -> DataFrame:
-    """(file, block, opened, lines_before, records_before, header): each block's start, and the header in the first one."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _blocks(batches):
-            texts, cut = _texts(piece), piece[0]["delimiter"]
-            ends, begun = [False, True], [0, 0]
-            for text in texts:
-                begun = [n + (not state) for n, state in zip(begun, ends, strict=True)]
-                ends = [ends_open(text, state, cut) for state in ends]
-            head = texts if piece[0]["block"] == 0 and piece[0]["i"] <= header_row + 10_000 else None
-            yield pa.RecordBatch.from_pydict({"file": pa.array([piece[0]["file"]]), "block": pa.array([piece[0]["block"]], pa.int64()), "i": pa.array([piece[0]["i"]], pa.int64()), "lines": pa.array([len(texts)], pa.int64()), "ends": pa.array([ends]), "begun": pa.array([begun], pa.list_(pa.int64())), "head": pa.array([head], pa.list_(pa.string())), "delimiter": pa.array([cut])})
-
-    def folded(group: pd.DataFrame) -> pd.DataFrame:
-        opened, n_lines, n_records, out, head = False, 0, 0, [], []
-        for row in group.sort_values(["block", "i"]).itertuples():
+            for file, block, i, lines in _pieces(batch):
+                data = b"".join(lines)
+                fits = [_decodes(data, e) for e in ("utf-8", "cp1252", explicit or "latin-1")]
+                readable = explicit if explicit and fits[2] else "utf-8" if fits[0] else "cp1252" if fits[1] else "latin-1"
+                quoted = [(k, line.decode(readable).removeprefix("\ufeff")) for k, line in enumerate(lines) if b'"' in line]
+                states = [_through(lines, quoted, cut) for cut in cuts]
+                columns = [[file], [block], [i], [data[: 4 * SNIFFED] if block == 0 and i < SNIFFED else None], *([x] for x in fits), [len(lines)], [[x for ends, _ in states for x in ends]], [[x for _, begun in states for x in begun]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
+
+    return run
+
+
+_PIECE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("i", pa.int64()), ("head", pa.binary()), ("utf8", pa.bool_()), ("cp1252", pa.bool_()), ("named", pa.bool_()), ("lines", pa.int64()), ("ends", pa.list_(pa.bool_())), ("begun", pa.list_(pa.int64()))])
+_PIECE_DDL = "file string, block long, i long, head binary, utf8 boolean, cp1252 boolean, named boolean, lines long, ends array<boolean>, begun array<long>"
+_STATES = "file string, block long, encoding string, delimiter string, problem string, opened boolean, lines_before long, records_before long, begun long, ends_open boolean"
+
+
+def _folded(encoding: str | None, explicit: str | None, delimiter: str | None):
+    """S2, S3 and the state at the start of each block of a file, from its pieces."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["block", "i"])
+        used = encoding or (ENCODINGS[0] if group["utf8"].all() else "cp1252" if group["cp1252"].all() else "latin-1")
+        problem = None if group["named"].all() else f"UnicodeDecodeError: not all bytes are {encoding}"
+        head = b"".join(x for x in group["head"] if x is not None)[: 4 * SNIFFED]
+        cut = delimiter or sniff_delimiter(decode(head, "utf-8" if _wide(encoding) else explicit or used, "ignore")[0])
+        k = 0 if delimiter else DELIMITERS.index(cut)
+        opened, n_lines, n_records, out = False, 0, 0, []
+        for row in group.itertuples():
             if row.i == 0:
-                out.append((row.file, row.block, opened, n_lines, n_records, None))
-            opened, n_lines, n_records = bool(row.ends[int(opened)]), n_lines + row.lines, n_records + int(row.begun[int(opened)])
-            head += [x + "\n" for x in (row.head if row.head is not None else [])]
-        header = next(islice(csv.reader(head, delimiter=group["delimiter"].iloc[0]), header_row - 1, None), None) if header_row > 0 else None
-        out[0] = (*out[0][:-1], header)
-        return pd.DataFrame(out, columns=["file", "block", "opened", "lines_before", "records_before", "header"])
+                out.append([row.file, row.block, used, cut, problem, opened, n_lines, n_records, 0, opened])
+            begun = int(row.begun[2 * k + opened])
+            opened, n_lines, n_records = bool(row.ends[2 * k + opened]), n_lines + row.lines, n_records + begun
+            out[-1][-2:] = [out[-1][-2] + begun, opened]
+        return pd.DataFrame(out, columns=["file", "block", "encoding", "delimiter", "problem", "opened", "lines_before", "records_before", "begun", "ends_open"])
+
+    return run
+
+
+_RECORDS = pa.schema([("file", pa.string()), ("record", pa.int64()), ("line", pa.int64()), ("cells", pa.list_(pa.string())), ("block", pa.int64()), ("part", pa.string()), ("delimiter", pa.string())])
+
+
+def _block_records(rows: Iterator[tuple], first: dict) -> Iterator[tuple]:
+    """The records of one block, whose lines come one by one; a record that began before it or ends behind it comes as ``part``."""
+    file, block, cut = first["file"], first["block"], first["delimiter"]
+    encoding = "utf-8" if _wide(first["encoding"]) or first["encoding"] == ENCODINGS[0] else first["encoding"]
+    taken, held = 0, []
+
+    def texts() -> Iterator[str]:
+        nonlocal taken
+        for line in rows:
+            text = line.decode(encoding)
+            if block == 0 and not taken:
+                text = text.removeprefix("\ufeff")
+            taken += 1
+            held.append(text)
+            yield text
+
+    lines, record = texts(), first["records_before"]
+    if first["opened"]:
+        for text in lines:
+            if not ends_open(text, True, cut):
+                break
+        yield file, record, first["lines_before"] + taken, None, block, "".join(held), cut
+        held.clear()
+    waiting = None
+    for cells in csv.reader(lines, delimiter=cut):
+        if waiting:
+            yield (*waiting, None, cut)
+        record += 1
+        waiting, raw = (file, record, first["lines_before"] + taken, _cells(cells), block), held.copy()
+        held.clear()
+    if waiting and first["ends_open"]:
+        yield (*waiting[:3], None, block, "".join(raw), cut)
+    elif waiting:
+        yield (*waiting, None, cut)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ("encoding", "delimiter", "opened", "lines_before", "records_before", "ends_open")
+
+    def lines() -> Iterator[tuple[int, dict, bytes]]:
+        number = -1
+        for batch in batches:
+            at = 0
+            for file, block, i, piece in _pieces(batch):
+                if i == 0 or number < 0:
+                    number += 1
+                first = {"file": file, "block": block, **{k: batch.column(k)[at].as_py() for k in keys}}
+                at += len(piece)
+                for line in piece:
+                    yield number, first, line
+
+    def records() -> Iterator[tuple]:
+        for _, rows in groupby(lines(), key=lambda x: x[0]):
+            _, first, line = next(rows)
+            yield from _block_records(chain([line], (x[2] for x in rows)), first)
 
-    pieces = lines.mapInArrow(summed, "file string, block long, i long, lines long, ends array<boolean>, begun array<long>, head array<string>, delimiter string")
-    return pieces.groupBy("file").applyInPandas(folded, "file string, block long, opened boolean, lines_before long, records_before long, header array<string>")
+    found = records()
+    while some := list(islice(found, 8192)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
 
 def _records(lines: DataFrame) -> DataFrame:
     """(file, record, line, cells): every record with its number and last physical line, both from 1."""
-    names = ["file", "record", "line", "cells", "block", "part", "delimiter"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string()]
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        began, opened, record, last, file, block, cut = True, False, 0, 0, None, 0, ","
-
-        def done(complete: bool) -> tuple:
-            cells = _cells(held, cut) if complete else None
-            return file, record, last, cells, block, None if complete else "\n".join(held), cut
-
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            nonlocal held, began, opened, record, last, file, block, cut
-            for piece in _blocks([batch]):
-                first = piece[0]
-                if first["i"] == 0:
-                    if held:
-                        yield done(began and not opened)
-                    held, began, opened, record = [], not first["opened"], first["opened"], first["records_before"]
-                    file, block, cut = first["file"], first["block"], first["delimiter"]
-                for row, text in zip(piece, _texts(piece), strict=True):
-                    if not opened:
-                        if held:
-                            yield done(began)
-                        held, began, record = [], True, record + 1
-                    held.append(text)
-                    last = row["lines_before"] + row["i"] + 1
-                    opened = ends_open(text, opened, cut)
-
-        def made(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), types, strict=True)], names=names)
-
-        for batch in batches:
-            yield made(list(rows(batch)))
-        if held:
-            yield made([done(began and not opened)])
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "record": batch["record"], "line": batch["line"], "cells": [_cells("\n".join(x).split("\n"), cut) for x, cut in zip(batch["parts"], batch["delimiter"], strict=True)]})
+            cells = [_cells(next(csv.reader([x.decode() for x in physical_lines("".join(parts).encode())], delimiter=cut), [])) for parts, cut in zip(batch["parts"], batch["delimiter"], strict=True)]
+            yield pd.DataFrame({"file": batch["file"], "record": batch["record"], "line": batch["line"], "cells": cells})
 
-    found = lines.mapInArrow(parsed, "file string, record long, line long, cells array<string>, block long, part string, delimiter string")
+    found = lines.mapInArrow(_parsed, "file string, record long, line long, cells array<string>, block long, part string, delimiter string")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])
     across = found.where("cells is null").groupBy("file", "record").agg(F.max("line").alias("line"), parts.alias("parts"), F.first("delimiter").alias("delimiter"))
     return found.where("cells is not null").select("file", "record", "line", "cells").unionByName(across.mapInPandas(joined, "file string, record long, line long, cells array<string>"))
 
 
 def _known(spark: SparkSession, paths: str | list[str], header_row: int, encoding: str | None, delimiter: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(options, lines of readable files, start of each block)"""
+    """(options, lines, start of each block of readable files); the last is written once."""
+    try:
+        explicit, unknown = encoding and codecs.lookup(encoding).name, None
+    except LookupError as error:
+        explicit, unknown = None, f"LookupError: {error}"
+    explicit = "utf-8" if _wide(encoding) else explicit
     lines = _lines(spark, paths, encoding)
-    options = _read_as(spark, paths, encoding, delimiter, lines).persist()
-    readable = _in_order(lines, options.where("problem is null").select("file", "encoding", "delimiter"), ["file"])
-    states = _states(readable, header_row).persist()
-    header = states.where("block = 0").select("file", "header")
+    pieces = lines.mapInArrow(_looked_at(explicit, delimiter), _PIECE_DDL)
+    states, _ = written(pieces.groupBy("file").applyInPandas(_folded(None if unknown else encoding, explicit, delimiter), _STATES), "states")
+    every = listed_files(spark, paths)
+    read_as = states.where("block = 0").select("file", "encoding", "delimiter", "problem")
+    options = every.join(read_as, "file", "left")
+    if unknown:
+        options = options.select("file", F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("string").alias("delimiter"), F.lit(unknown).alias("problem"))
+        states = states.where("false")
+    else:
+        options = options.select("file", F.when(F.col("problem").isNull(), F.coalesce("encoding", F.lit(encoding or ENCODINGS[0]))).alias("encoding"), F.when(F.col("problem").isNull(), F.coalesce("delimiter", F.lit(delimiter or ","))).alias("delimiter"), "problem")
+    starts = states.where("problem is null").drop("problem")
+    # The record with the header's number, wherever it is: the block in which it begins and those it goes on in.
+    before, until = F.col("records_before"), F.col("records_before") + F.col("begun")
+    holding = starts.where(((before < header_row) & (until >= header_row)) | ((before == header_row) & F.col("opened")))
+    header, _ = written(_records(_in_order(lines, holding)).where(F.col("record") == header_row).select("file", F.col("cells").alias("header")), "headers")
     missing = F.lit("ValueError: the header row counts from 1") if header_row < 1 else F.when(F.coalesce(F.size("header"), F.lit(0)) < 1, F.lit(f"ValueError: no header in row {header_row}"))
     options = options.join(header, "file", "left").withColumn("problem", F.coalesce("problem", missing))
     warning = F.when(F.col("problem").isNull() & (F.col("encoding") != ENCODINGS[0]), F.concat(F.lit("read as "), "encoding")) if encoding is None else F.lit(None).cast("string")
-    return options.select("file", "encoding", "delimiter", F.when(F.col("problem").isNull(), F.col("header")).alias("header"), warning.alias("warning"), "problem"), readable, states
+    return options.select("file", "encoding", "delimiter", F.when(F.col("problem").isNull(), F.col("header")).alias("header"), warning.alias("warning"), "problem"), lines, starts
 
 
 def infer_read_options(spark: SparkSession, paths: str | list[str], header_row: int = 1, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
@@ -297,7 +360,7 @@ def normalize_headers(file_columns: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, paths: str | list[str], header_row: int = 1, encoding: str | None = None, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, file report). Rows have one column per distinct header name, _src_file, _sheet and _row.
 
-    Rows of only nulls are dropped and numbering goes on; short rows are padded, extra cells left out; blank cells are
+    Line ends inside cells stay as they are in the file. Rows of only nulls are dropped and numbering goes on; short rows are padded, extra cells left out; blank cells are
     null; of columns whose names are equal after renaming, the last one counts. Cells may be of any size. The report is (file, encoding,
     delimiter, warning, problem), one row per warning or problem and one per file; a file with a problem has no rows.
     """
@@ -307,8 +370,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str], header_row: int
     names = [r[0] for r in headers.groupBy("column_name").agg(F.min("idx").alias("i")).orderBy("i", "column_name").select("column_name").collect()]
     last = headers.groupBy("file", "column_name").agg(F.max("idx").alias("idx"))
     places = last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "idx"))).alias("places")).withColumnRenamed("file", "p_file")
-    starts = states.drop("header")
-    records = _records(_in_order(lines, starts, ["file", "block"])).where(F.col("record") > header_row)
+    records = _records(_in_order(lines, states.drop("begun"))).where(F.col("record") > header_row)
     joined = records.join(places, F.col("file") == F.col("p_file"))
     rows = joined.select(F.col("file").alias("_src_file"), F.lit(None).cast("string").alias("_sheet"), F.col("line").alias("_row"), *(F.get("cells", F.try_element_at("places", F.lit(n)) - 1).alias(n) for n in names))
     none = F.lit(None).cast("string")

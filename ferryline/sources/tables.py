@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.text import strip
-from .delimited import drop_blank_rows, normalize_headers
+from .delimited import drop_blank_rows, listed_files, normalize_headers, raw_lines
 
 #: Formats by extension, and those that hold tables.
 FORMATS = {".csv": "csv", ".txt": "txt", ".xlsx": "xlsx", ".xlsm": "xlsx", ".docx": "docx", ".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".tif": "image", ".tiff": "image"}
 TABULAR = ("csv", "xlsx")
+_MARK = b"\xef\xbb\xbf"
 
 
 def _text_of(c: Column, kind: T.DataType) -> Column:
@@ -76,8 +82,48 @@ def route_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, sha256) of the files' bytes."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(file, sha256) of the files' bytes, which no row holds whole.
+
+    A digest needs a file's bytes in order: its blocks are read by many tasks as lines, which meet in one task per file, sorted on
+    disk where they don't fit, and go through the digest one batch after the other. The reader leaves out a byte order mark, and whether
+    the last line ends in a newline can't be seen from the lines; the size of the file tells both.
+    """
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, n, mark = None, 0, 0, b""
+        #: The bytes so far, without and with a newline behind the last line.
+        digest = newline = None
+
+        def done() -> pa.RecordBatch:
+            ended = digest if n + len(mark) == size + 1 else newline
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([ended.hexdigest()])], names=["file", "sha256"])
+
+        for batch in batches:
+            for file, total, lost, line in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "lost", "line")), strict=True):
+                if file != now:
+                    if now is not None:
+                        yield done()
+                    now, size, digest, n, newline = file, total, hashlib.sha256(_MARK if lost else b""), 0, None
+                    mark = _MARK if lost else b""
+                if newline is not None:
+                    digest = newline
+                digest.update(line)
+                newline = digest.copy()
+                newline.update(b"\n")
+                n += len(line) + 1
+        if now is not None:
+            yield done()
+
+    lines = raw_lines(spark, paths)
+    numbered = lines.withColumn("i", F.monotonically_increasing_id())
+    # A mark of three bytes is missing where the lines and their newlines are fewer than the file has bytes.
+    lost = numbered.groupBy("file").agg(F.sum(F.octet_length("line") + 1).alias("n"), F.max("size").alias("total")).select(F.col("file").alias("of"), (F.col("n") < F.col("total")).alias("lost"))
+    ordered = numbered.join(lost, F.col("file") == F.col("of")).select("file", "size", "lost", "block", "i", "line").repartition("file").sortWithinPartitions("file", "block", "i")
+    found = ordered.select("file", "size", "lost", "line").mapInArrow(digested, "file string, sha256 string")
+    # Files without lines are empty, or hold a byte order mark alone; scans leave empty ones out. Contents are not read here.
+    some = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.lit(hashlib.sha256(_MARK).hexdigest()).alias("mark_alone"))
+    every = listed_files(spark, paths).join(found, "file", "left").join(some, "file", "left")
+    return every.select("file", F.coalesce("sha256", "mark_alone", F.lit(hashlib.sha256(b"").hexdigest())).alias("sha256"))
 
 
 def inspect_table(df: DataFrame, ord: str = "_row", limit: int = 10) -> tuple[list[str], DataFrame]:
@@ -86,8 +132,17 @@ def inspect_table(df: DataFrame, ord: str = "_row", limit: int = 10) -> tuple[li
 
 
 def inspect_pages(pages: DataFrame, limit: int = 2000) -> DataFrame:
-    """(_src_file, n_pages, preview): the first characters of each document."""
-    return document_text(pages).select("_src_file", "n_pages", F.substring("text", 1, limit).alias("preview"))
+    """(_src_file, n_pages, preview): the first characters of each document.
+
+    The pages of a document go by in order with the length of those before them; pages whose separator starts behind the limit are dropped, and others
+    cut, before any are put together.
+    """
+    counted = pages.groupBy("_src_file").agg(F.count("*").alias("n_pages"))
+    kept = pages.where(strip(F.col("text")).isNotNull())
+    before = F.coalesce(F.sum(F.length("text") + 2).over(W.partitionBy("_src_file").orderBy("page", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = kept.withColumn("before", before).where(F.col("before") - 2 < limit).select("_src_file", "before", F.substring("text", 1, limit).alias("text"))
+    joined = near.groupBy("_src_file").agg(F.array_sort(F.collect_list(F.struct("before", "text"))).alias("p")).select(F.col("_src_file").alias("of"), F.substring(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 1, limit).alias("preview"))
+    return counted.join(joined, F.col("_src_file") == F.col("of"), "left").select("_src_file", "n_pages", F.coalesce("preview", F.lit("")).alias("preview"))
 
 
 def document_text(pages: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def test_delimited_in_blocks(spark, tmp_path):
         texts.append("a;b;a;a (2)\n" + body + rnd.choice(["", "\n", '\n"never closed;1\n2']))
     texts += [";;\n1;2;3", "", "only;header"]
     for i, x in enumerate(texts):
-        (tmp_path / f"{i}.csv").write_bytes(x.replace("\n", ("\n", "\r\n", "\r")[i % 3]).encode("cp1252" if i == 2 else "utf-8"))
+        texts[i] = x.replace("\n", ("\n", "\r\n", "\r")[i % 3])
+        (tmp_path / f"{i}.csv").write_bytes(texts[i].encode("cp1252" if i == 2 else "utf-8"))
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
     spark.conf.set("spark.sql.files.openCostInBytes", "1b")
