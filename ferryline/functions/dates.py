@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import or_null, strip
+from .text import SPACE, or_null, strip
 
 #: Shapes and what they become: year-month-day, with the time as it stands. Two-digit years: 00 to 68 are
 #: 20xx, 69 to 99 are 19xx (D3). Eight digits are day, month, year.
@@ -25,8 +25,12 @@ _CANONICAL = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6
 
 
 def parse_datetime(c: Column) -> Column:
-    """timestamp_ntz; null for impossible dates and other shapes. Year 0 and seconds above 59 give null."""
-    text = reduce(lambda acc, shape: F.regexp_replace(acc, *shape), _SHAPES, strip(c))
+    """timestamp_ntz; null for impossible dates and other shapes. Year 0 and seconds above 59 give null.
+
+    Any white space may stand between the date and the time.
+    """
+    text = F.regexp_replace(strip(c), rf"(?U)(?<=\d){SPACE}+(?=\d{{1,2}}:)", " ")
+    text = reduce(lambda acc, shape: F.regexp_replace(acc, *shape), _SHAPES, text)
     return or_null(F.regexp_extract(text, _CANONICAL, 0)).try_cast("timestamp_ntz")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +14,20 @@ from .text import SPACE, let, or_null, strip
 _BRAZILIAN = r"^-?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\d+(,\d+)?$"
 
 
+#: Decimal digits of all scripts but ASCII's, and the digits they stand for.
+_OTHER_DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd")
+_THEIR_VALUES = "".join(str(unicodedata.decimal(x)) for x in _OTHER_DIGITS)
+
+
+def _ascii_digits(c: Column) -> Column:
+    """Digits of any script as ASCII ones; most texts have no others and are left alone."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, _OTHER_DIGITS, _THEIR_VALUES)).otherwise(c)
+
+
 def noted(c: Column) -> Column:
     """N1, first step: the bare notation, without currency signs and blanks; "-" behind it where the amount is negative by
     parentheses or a trailing minus, whatever sign it has."""
-    text = strip(c)
+    text = _ascii_digits(strip(c))
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1"), rf"(?iU)r\$|brl|{SPACE}", "")
     accounting = F.when(text.rlike(r"(?s)^\(.*\)$"), F.concat(F.regexp_replace(bare, "^-", ""), F.lit("-"))).otherwise(bare)
     return F.when(bare.rlike("^[0-9.,]+-$"), bare).when(bare.rlike("^-?[0-9.,]+$"), accounting)

@@ -91,11 +91,11 @@ FROM parts
 
 CONTACTS = f"""
 WITH ids AS ({tax_ids('s_suppkey', 'supplier')})
-SELECT k AS _row, 'ERP-' || cast(k as string) AS "Código Cliente", CASE WHEN k % 9 = 0 THEN '123' ELSE {_shape('cpf')} END AS "CPF_CNPJ Cliente",
+SELECT k + again AS _row, 'ERP-' || cast(k as string) AS "Código Cliente", CASE WHEN k % 9 = 0 THEN '123' ELSE {_shape('cpf')} END AS "CPF_CNPJ Cliente",
   CASE WHEN k % 10 = 0 THEN ' ' ELSE s_name || ' de almeida' END AS "Nome Contato", CASE WHEN k % 3 = 0 THEN 'GERENTE DE VENDAS' ELSE 'comprador' END AS "Cargo",
   CASE WHEN k % 4 = 0 THEN '' WHEN k % 11 = 0 THEN 'sem-arroba.com' ELSE 'C' || cast(k as string) || '@example.com' END AS "Correio Eletrônico",
   CASE WHEN k % 4 = 1 OR k % 8 = 0 THEN '' ELSE '(11) 3' || lpad(cast(k % 1000 as string), 3, '0') || '-4000' END AS "Fone"
-FROM supplier JOIN ids ON s_suppkey = k
+FROM supplier JOIN ids ON s_suppkey = k JOIN (SELECT 0 AS again UNION ALL SELECT 1000000) AS twice ON again = 0 OR k % 5 = 2
 """
 
 #: One page of labelled text per customer.

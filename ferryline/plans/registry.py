@@ -270,6 +270,22 @@ def column_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return reconcile_columns(normalize_headers(_headers(spark, d)).select("file", "column_name"), CUSTOMERS_CSV)
 
 
+@query("run_warnings", f"WITH {_HEADER_SQL}, {_NAMED_SQL}, {_RULES_SQL} SELECT f.file, 'missing' AS problem, source AS columns FROM (SELECT DISTINCT file FROM final) f, rules WHERE NOT blocking AND NOT EXISTS (SELECT 1 FROM final h WHERE h.file = f.file AND h.column_name = source) UNION ALL SELECT file, 'unmapped', string_agg(DISTINCT column_name, ', ' ORDER BY column_name) FROM final WHERE column_name NOT IN (SELECT source FROM rules) AND column_name <> 'Observação Interna Antiga' GROUP BY file UNION ALL SELECT file, 'header', 'blank header in column ' || idx FROM headers WHERE trim(name) = '' UNION ALL SELECT file, 'header', 'repeated header ' || base FROM (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY idx) AS k FROM named) WHERE k > 1")
+def all_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings of the mapping and of the reader's headers, one table."""
+    named = normalize_headers(_headers(spark, d))
+    mapping = reconcile_columns(named.select("file", "column_name"), CUSTOMERS_CSV).where("not blocking").select("file", "problem", "columns")
+    return audit.run_warnings(mapping, named.where("warning is not null").select("file", F.lit("header").alias("problem"), F.col("warning").alias("columns")))
+
+
+@query("wrong_formats", "SELECT 'f' || c_custkey AS file, 'format' AS problem, CASE WHEN c_custkey % 4 = 1 THEN 'xlsx' ELSE 'pdf' END AS columns, true AS blocking FROM customer WHERE c_custkey % 4 IN (1, 3)")
+def wrong_formats(spark: SparkSession, d: str) -> DataFrame:
+    """M6: the files whose format is not the one the template declares."""
+    key = F.col("c_custkey")
+    formats = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("f"), key).alias("file"), F.when(key % 4 == 1, "xlsx").when(key % 4 == 3, "pdf").otherwise("csv").alias("format"))
+    return reconcile_columns(_headers(spark, d).select("file", F.col("name").alias("column_name")), CUSTOMERS_CSV, formats).where("problem = 'format'")
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("_src_file"), F.col("turn").cast("int").alias("page"), "text")
 
@@ -304,18 +320,34 @@ def inspect_preview(spark: SparkSession, d: str) -> DataFrame:
     return inspect_pages(_turns(spark, d))
 
 
-@query("coerce_to_text", "SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR END AS l_quantity, nullif(trim(l_returnflag), '') AS l_returnflag, CASE WHEN l_shipdate = date_trunc('day', l_shipdate) THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS l_shipdate FROM lineitem")
+_NUMBER = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+_DAY = "CASE WHEN {0} = date_trunc('day', {0}) THEN strftime({0}, '%Y-%m-%d') ELSE strftime({0}, '%Y-%m-%d %H:%M:%S') END"
+
+
+@query("coerce_to_text", f"SELECT l_orderkey::VARCHAR AS l_orderkey, l_partkey::VARCHAR AS l_partkey, l_suppkey::VARCHAR AS l_suppkey, l_linenumber::VARCHAR AS l_linenumber, {', '.join(f'{_NUMBER.format(c)} AS {c}' for c in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'))}, nullif(trim(l_returnflag), '') AS l_returnflag, nullif(trim(l_linestatus), '') AS l_linestatus, {_DAY.format('l_shipdate')} AS l_shipdate, CASE WHEN l_quantity > 25 THEN 'true' WHEN l_quantity < 20 THEN 'false' END AS many, l_extendedprice::DECIMAL(12, 2)::VARCHAR AS exact, strftime(l_shipdate, '%Y-%m-%d') AS day, strftime(l_shipdate, '%Y-%m-%d') || ' 07:30:00' AS moment FROM lineitem")
 def coerce(spark: SparkSession, d: str) -> DataFrame:
-    return coerce_to_text(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"))
+    """S7 over all columns of the table, and a boolean with nulls, a decimal, a date and a time of day beside them."""
+    lines, day = spark.read.parquet(f"{d}/lineitem.parquet"), F.col("l_shipdate").cast("date")
+    many = F.when(F.col("l_quantity") > 25, True).when(F.col("l_quantity") < 20, False)
+    moment = day.cast("timestamp_ntz") + F.expr("interval '7:30' hour to minute")
+    return coerce_to_text(lines.select("*", many.alias("many"), F.col("l_extendedprice").cast("decimal(12,2)").alias("exact"), day.alias("day"), moment.alias("moment")))
 
 
-@query("cells_to_records", "SELECT 'book' AS _src_file, 'parts' AS _sheet, p_partkey + 3 AS _row, nullif(trim(p_name), '') AS nome, p_size::VARCHAR AS tamanho FROM part")
+@query("cells_to_records", "SELECT 'book' || p_partkey % 7 AS _src_file, CASE WHEN p_partkey % 7 = 3 THEN 'first' ELSE 'parts' END AS _sheet, p_partkey + 3 AS _row, nullif(trim(p_name), '') AS nome, CASE WHEN p_partkey % 7 <> 5 THEN p_size::VARCHAR END AS tamanho, CASE WHEN p_partkey % 7 = 5 THEN p_size::VARCHAR END AS \"tamanho (cm)\" FROM part")
 def cells_to_records(spark: SparkSession, d: str) -> DataFrame:
-    part = spark.read.parquet(f"{d}/part.parquet")
-    head = part.agg(F.max("p_partkey")).select(F.lit(2).cast("long").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.lit(" nome ").alias("value")), F.struct(F.lit(2).alias("col"), F.lit("tamanho").alias("value")))).alias("c"))
-    body = part.select((F.col("p_partkey") + 3).alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("p_name").alias("value")), F.struct(F.lit(2).alias("col"), F.col("p_size").cast("string").alias("value")))).alias("c"))
-    cells = head.unionByName(body).select(F.lit("book").alias("file"), F.lit("parts").alias("sheet"), F.lit(1).alias("sheet_pos"), F.col("row"), "c.col", "c.value")
-    return records_from_cells(cells, header_row=2)
+    """Seven workbooks, one with another first sheet and one with another header; all have a second sheet, which is not read."""
+    part, key = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
+
+    def cells(rows: DataFrame, row: Column, first: Column, second: Column) -> DataFrame:
+        both = F.array(F.struct(F.lit(1).alias("col"), first.alias("value")), F.struct(F.lit(2).alias("col"), second.alias("value")))
+        return rows.select("book", row.cast("long").alias("row"), F.explode(both).alias("c"))
+
+    rows = part.withColumn("book", key % 7)
+    head = cells(rows.select("book").distinct(), F.lit(2), F.lit(" nome "), F.when(F.col("book") == 5, "tamanho (cm)").otherwise("tamanho"))
+    body = cells(rows, key + 3, F.col("p_name"), F.col("p_size").cast("string"))
+    own = head.unionByName(body).select(F.concat(F.lit("book"), "book").alias("file"), F.when(F.col("book") == 3, "first").otherwise("parts").alias("sheet"), F.lit(1).alias("sheet_pos"), "row", "c.col", "c.value")
+    other = own.select("file", F.lit("notes").alias("sheet"), F.lit(2).alias("sheet_pos"), "row", "col", F.lit("not read").alias("value"))
+    return records_from_cells(own.unionByName(other), header_row=2)
 
 
 @query("delimited_read", _CUST + ' SELECT "Código" AS codigo, nullif(trim("Nome Cliente", chr(9) || \' \'), \'\') AS nome, nullif("CEP", \'\') AS cep FROM legacy')

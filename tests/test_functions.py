@@ -1,9 +1,11 @@
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from ferryline.functions import checks, dates, money, patterns, text
+from ferryline.plans import legacy
 
 
 def one(spark, f, *values):
@@ -24,7 +26,7 @@ def one(spark, f, *values):
         (text.brazilian_phone, {"+55 (11) 91234-5678": "11912345678", "5512": "5512"}),
         (text.postal_code, {"1234-567": "01234567", "12345-678": "12345678"}),
         (text.format_postal_code, {"12345678": "12345-678", "12": "12", "1234567": "1234567"}),
-        (money.decimal_text, {"R$ 1.234,56": "1234.56", "1.234": "1234", "1,234.56": "1234.56", "(5,0)": "-5.0", "7-": "-7", "1,2,3": None, "x": None, "(0,00)": "0.00", "~5": None, "5)": None, "-5-": None, "(-5)": "-5", "007,50": "7.50", "0000150": "150", "5.": "5", ",5": "0.5", "-,5": "-0.5", ",": None}),
+        (money.decimal_text, {"R$ 1.234,56": "1234.56", "1.234": "1234", "1,234.56": "1234.56", "(5,0)": "-5.0", "7-": "-7", "1,2,3": None, "x": None, "(0,00)": "0.00", "~5": None, "5)": None, "-5-": None, "(-5)": "-5", "007,50": "7.50", "0000150": "150", "5.": "5", ",5": "0.5", "-,5": "-0.5", ",": None, "R$ ١.٢٣٤,٥٠": "1234.50", "１２": "12", "²": None}),
         (checks.document_type, {"529.982.247-25": "cpf", "11.222.333/0001-81": "cnpj", "52998224725": "cpf", "11222333000181": "cnpj", "11111111111": None, "1": None}),
         (checks.mask_document, {"52998224725": "529.***.***-25", "11222333000181": "11.***.***/****-81", "12": "**", "12345": "12***"}),
         (checks.is_valid_email, {"a@b.c": True, "a@b": False, None: False}),
@@ -39,6 +41,7 @@ def test_dates(spark):
     cases = {
         "1/2/2024": datetime(2024, 2, 1), "31/02/2024": None, "01/01/69": datetime(1969, 1, 1), "01-01-68": datetime(2068, 1, 1), "2024-02-01T10:11:12": datetime(2024, 2, 1, 10, 11, 12),
         "01022024": datetime(2024, 2, 1), "2024/2/1": datetime(2024, 2, 1), "01.02.2024 10:00": None, "2024-02-01 1:2": datetime(2024, 2, 1, 1, 2), "24-1-1x": None,
+        "01/02/2024  10:00": datetime(2024, 2, 1, 10), "01/02/2024\t\u00a010:00:07": datetime(2024, 2, 1, 10, 0, 7), "2024-02-01 \n 1:2": datetime(2024, 2, 1, 1, 2), "01/02/2024 10 :00": None,
     }
     assert one(spark, dates.parse_datetime, *cases) == list(cases.values())
     assert one(spark, lambda c: dates.is_future(dates.parse_date(c), date(2024, 1, 1)), "02/01/2024", "01/01/2024") == [True, False]
@@ -50,3 +53,58 @@ def test_patterns(spark):
     assert found == [["52998224725"], ["a@b.com"], ["01/02/2024"], ["R$ 1.234,50"]]
     assert one(spark, lambda c: patterns.find_labeled_value(c, "CPF"), page, "x") == ["529.982.247-25 e 52998224725", None]
     assert one(spark, lambda c: patterns.assess_text(c)["is_sufficient"], page, "..", None) == [True, False, False]
+
+
+def distinct(values):
+    return list(dict.fromkeys(values))
+
+
+def digits_valid(digits, weights):
+    """Both check digits of a tax id, by the published rule."""
+    if len(set(digits)) == 1:
+        return False
+    for k, w in enumerate(weights):
+        total = sum(int(d) * x for d, x in zip(digits, w, strict=False)) % 11
+        if int(digits[len(w)]) != (0 if total < 2 else 11 - total):
+            return False
+    return True
+
+
+def found_in(page):
+    """Every kind of value by the patterns with Python's engine."""
+    cpf_weights = [range(10, 1, -1), range(11, 1, -1)]
+    cnpj_weights = [[5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]]
+
+    def ids(pattern, weights):
+        return distinct(d for d in (re.sub(r"\D", "", x) for x in re.findall(pattern, page)) if digits_valid(d, weights))
+
+    return {
+        "documents": distinct(ids(patterns.CNPJ, cnpj_weights) + ids(patterns.CPF, cpf_weights)),
+        "phones": distinct(x.strip() for x in re.findall(patterns.PHONE, page)),
+        "money": distinct(x.strip() for x in re.findall(patterns.MONEY, page)),
+        "emails": distinct(x.lower() for x in re.findall(patterns.EMAIL, page)),
+        "dates": distinct(re.findall(patterns.DATE, page)),
+        "codes": distinct(re.findall(patterns.POSTAL_CODE, page)),
+    }
+
+
+@pytest.mark.parametrize("source", ["documents", "forms"])
+def test_patterns_of_all_rows_by_brute_force(spark, source):
+    """X3, X5, X8 and X11 over every row of the given documents and of the forms made from the customers."""
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text") if source == "documents" else legacy.forms(spark, d).select(F.col("_row").alias("id"), "text")
+    kinds = {"documents": patterns.find_documents, "phones": patterns.find_phones, "money": patterns.find_money_values}
+    seen = dict.fromkeys(kinds, 0)
+    for r in rows.select("text", *(f(F.col("text")).alias(k) for k, f in kinds.items()), patterns.assess_text(F.col("text")).alias("q")).collect():
+        page = r["text"] or ""
+        expected = found_in(page)
+        for k in kinds:
+            assert (r[k] or []) == expected[k], (k, page)
+            seen[k] += bool(expected[k])
+        bare = page.strip()
+        solid = [c for c in bare if not c.isspace()]
+        ratio = sum(c.isalnum() for c in solid) / len(solid) if solid else 0.0
+        hits = any(v for k, v in found_in(bare).items() if k != "money")
+        assert (r["q"]["char_count"], r["q"]["has_patterns"], r["q"]["is_sufficient"]) == (len(bare), hits, hits or (len(bare) >= 40 and ratio >= 0.5)), page
+        assert abs(r["q"]["ratio"] - ratio) < 1e-9
+    assert seen["phones"] > 0 and (source == "documents" or min(seen.values()) > 0)
