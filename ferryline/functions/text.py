@@ -75,14 +75,23 @@ def _bare(values: pd.Series) -> pd.Series:
     return values.map(bare, na_action="ignore")
 
 
+#: No character below U+0300 changes by NFC, whatever stands beside it.
+_COMPOSED = r"^[\x00-\u02FF]*$"
+#: Letters below U+0250 that decompose, and what is left of them without their marks.
+_ACCENTED = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0x250) if len(unicodedata.normalize("NFD", chr(i))) > 1}
+_LATIN = r"^[\x00-\u024F]*$"
+
+
 def normalize_unicode(c: Column) -> Column:
-    """T4: NFC, which Spark lacks: an Arrow UDF."""
-    return _nfc(c)
+    """T4: NFC. Texts that can't change stay in the JVM; only others reach the Arrow UDF, which Spark lacks a function for."""
+    settled = c.rlike(_COMPOSED)
+    return F.when(settled, c).otherwise(_nfc(F.when(~settled, c)))
 
 
 def remove_accents(c: Column) -> Column:
-    """T5: decompose and drop combining marks; may give an empty text."""
-    return _bare(c)
+    """T5: decompose and drop combining marks; may give an empty text. Latin texts stay in the JVM; only others reach the Arrow UDF."""
+    latin = c.rlike(_LATIN)
+    return F.when(latin, F.translate(c, "".join(_ACCENTED), "".join(_ACCENTED.values()))).otherwise(_bare(F.when(~latin, c)))
 
 
 def lowercase(c: Column) -> Column:

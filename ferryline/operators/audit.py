@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +89,24 @@ def audit_report(annotated: DataFrame, found: DataFrame, record: DataFrame, ord:
     for part in parts:
         out = out.join(part, "_one")
     return out.select(F.to_json(F.struct("run", "transforms_applied", "issues_by_code", "errors", "warnings", "duplicates", F.lit("duplicates").alias("duplicates_table"), "run_warnings")).alias("report"))
+
+
+def report_lines(annotated: DataFrame, found: DataFrame, record: DataFrame, ord: str = "_row", warnings: DataFrame | None = None) -> DataFrame:
+    """K4 in parts: (part, entry), one JSON text for each entry of the report, and for every duplicate, however many there are.
+
+    ``audit_report`` is one row and lists the first duplicates only; these lines list all, and are written by many tasks.
+    """
+    def lines(part: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("entry"))
+
+    details = first_issues(annotated, ord)
+    parts = [
+        lines("run", record),
+        lines("transforms_applied", transform_counts(annotated)),
+        lines("issues_by_code", issues_by_code(annotated)),
+        *(lines(name, details.where(F.col("severity") == severity).drop("severity")) for severity, name in (("error", "errors"), ("warning", "warnings"))),
+        lines("duplicates", found.select("ord", "matched", "kind", "key", "similarity")),
+    ]
+    if warnings is not None:
+        parts.append(lines("run_warnings", warnings))
+    return reduce(DataFrame.unionByName, parts)

@@ -125,4 +125,5 @@ def run_migration(
         outputs.write_table(outputs.duplicate_rows(found), folder, "duplicates")
         outputs.write_table(warnings, folder, "run_warnings")
         result.report.write.mode("overwrite").text(f"{folder}/audit")
+        audit.report_lines(annotated, found, record, ord, warnings).write.mode("overwrite").partitionBy("part").text(f"{folder}/audit_lines")
     return result

@@ -491,6 +491,17 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return report.select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.json_array_length(F.get_json_object("report", f"$.{p}")).alias("entries")) for p in parts))).alias("x")).select("x.*")
 
 
+@query("audit_lines_exact", with_(f"{_CHECKED}, {_ALL}", "SELECT 'issues_by_code' AS part, code AS name, count(*) AS n FROM all_issues GROUP BY code UNION ALL SELECT 'duplicates', key, count(*) FROM exact GROUP BY key UNION ALL SELECT 'errors', code, count(*) FROM (SELECT code FROM all_issues WHERE severity = 'error' ORDER BY _row, pos LIMIT 500) GROUP BY code UNION ALL SELECT 'warnings', code, count(*) FROM (SELECT code FROM all_issues WHERE severity = 'warning' ORDER BY _row, pos LIMIT 500) GROUP BY code"))
+def audit_lines_exact(spark: SparkSession, d: str) -> DataFrame:
+    """K4 in parts, with the exact search alone: counts of the entries by name; every duplicate is listed."""
+    rows, found = _exact_only(spark, d)
+    record = spark.createDataFrame([("run",)], "run_id string")
+    lines = audit.report_lines(rows, found, record).where("part in ('issues_by_code', 'errors', 'warnings', 'duplicates')")
+    name = F.coalesce(F.get_json_object("entry", "$.code"), F.get_json_object("entry", "$.key"))
+    n = F.coalesce(F.get_json_object("entry", "$.issues").cast("long"), F.lit(1).cast("long"))
+    return lines.groupBy("part", name.alias("name")).agg(F.sum(n).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

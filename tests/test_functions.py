@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 from datetime import date, datetime
 
 import pytest
@@ -108,3 +110,14 @@ def test_patterns_of_all_rows_by_brute_force(spark, source):
         assert (r["q"]["char_count"], r["q"]["has_patterns"], r["q"]["is_sufficient"]) == (len(bare), hits, hits or (len(bare) >= 40 and ratio >= 0.5)), page
         assert abs(r["q"]["ratio"] - ratio) < 1e-9
     assert seen["phones"] > 0 and (source == "documents" or min(seen.values()) > 0)
+
+
+def test_normal_forms_of_any_text(spark):
+    """T4 and T5 on every letter below U+0250, decomposed, Hangul, marks alone and mixed texts, against unicodedata."""
+    rnd = random.Random(9)
+    letters = [chr(i) for i in range(1, 0x250)]
+    values = [*letters, *(unicodedata.normalize("NFD", x) for x in letters), "e\u0301", "\u0301", "\u1112\u1161\u11ab", "한글", "ﬁ", "Å", "q\u0307\u0323", "plain", "", None]
+    values += ["".join(rnd.choice([*letters, "\u0301", "\u0327", "한", "ᄒ", "ᅡ", "a"]) for _ in range(6)) for _ in range(500)]
+    assert one(spark, text.normalize_unicode, *values) == [v and unicodedata.normalize("NFC", v) if v is not None else None for v in values]
+    bare = [v if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)) for v in values]
+    assert one(spark, text.remove_accents, *values) == bare

@@ -1,6 +1,7 @@
 import csv
 import difflib
 import io
+import json
 import os
 import random
 import unicodedata
@@ -98,7 +99,10 @@ def test_migration(spark, rows, tmp_path):
     assert found == {(5, 2, "exact", "document"), (7, 2, "possible", "phone")}
     assert "52998224725" not in run.report.first()["report"]
     folder = tmp_path / "out" / f"run_id={run.run_id}"
-    assert sorted(os.listdir(folder)) == ["accepted", "audit", "duplicates", "rejected", "run_warnings"]
+    assert sorted(os.listdir(folder)) == ["accepted", "audit", "audit_lines", "duplicates", "rejected", "run_warnings"]
+    lines = [(r["part"], json.loads(r["value"])) for r in spark.read.text(str(folder / "audit_lines")).collect()]
+    assert sorted((e["ord"], e["matched"], e["kind"]) for part, e in lines if part == "duplicates") == [(5, 2, "exact"), (7, 2, "possible")]
+    assert [e["run_id"] for part, e in lines if part == "run"] == [run.run_id] and "52998224725" not in str(lines)
 
 
 def test_load_is_marked_last(spark, rows, tmp_path):
