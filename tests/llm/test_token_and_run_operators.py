@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ferryline.llm import alignment, best_fit, exact_dedup, line_dedup, periodic_runs, piece_bpe
+from ferryline.llm import alignment, best_fit, exact_dedup, license_scan, line_dedup, periodic_runs, piece_bpe
 from ferryline.llm.tokens import BYTE_BPE, tokenizer_path
 
 A_PATH, B_PATH = tokenizer_path(BYTE_BPE), tokenizer_path(alignment.PIECE_BPE)
@@ -267,3 +267,26 @@ def test_copies_in_parts_by_bytes(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole, parts = (sorted(map(tuple, exact_dedup.exact_groups(docs, bytes_per_salt=b).collect())) for b in (1 << 30, 12_000))
     assert whole == parts and [r[1] for r in whole] == [8] * 9 + [13] * 5 + [14]
+
+
+def test_statements_that_name_licences(spark):
+    cases = {
+        "This project is released under the MIT License.": "MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: GPL-3.0-or-later\nint main;": "GPL-3.0",
+        "# SPDX-License-Identifier: Apache-2.0 OR MIT": "MIT,Apache-2.0",
+        "Licensed under the MIT license (see LICENSE).": "MIT",
+        "Some prose.\nLicensed under the Apache License, Version 2.0 and the MIT license. More prose.": "MIT,Apache-2.0",
+        "License: GPL-3.0-only": "GPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "Available under the BSD 3-Clause License. See LICENSE.txt for details.": "BSD-3-Clause",
+        "The library is distributed under the terms of the GNU GPL v2.": "GPL-2.0",
+        "The committee was permitted under the terms of the treaty.": "",
+        "We had a license to sell fish under the MIT roof.": "",
+        "License plates were released under the old rules.": "",
+        "": "",
+    }
+    found = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert dict(zip(cases, (r["licenses"] for r in found), strict=True)) == cases
