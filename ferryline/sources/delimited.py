@@ -107,10 +107,10 @@ def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(paths).inputFiles()], "file string")
 
 
-def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None, only: DataFrame | None = None) -> DataFrame:
     """(file, block, i, line): the bytes of every physical line with its end, numbered from 0 in its block of the file.
 
-    Files in encodings with wide newlines come as one block each.
+    Files in encodings with wide newlines come as one block each. ``only(file, block)``, which must be small, names the blocks that are wanted.
     """
     names = ["file", "block", "i", "line"]
 
@@ -142,7 +142,9 @@ def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None) ->
     schema = "file string, block long, i long, line binary"
     if _wide(encoding):
         return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(whole, schema)
-    return raw_lines(spark, paths).drop("size").mapInArrow(numbered, schema)
+    lines = raw_lines(spark, paths).drop("size")
+    # A broadcast keeps the lines in order.
+    return (lines if only is None else lines.join(F.broadcast(only), ["file", "block"], "left_semi")).mapInArrow(numbered, schema)
 
 
 def _in_order(lines: DataFrame, table: DataFrame) -> DataFrame:
@@ -327,7 +329,8 @@ def _known(spark: SparkSession, paths: str | list[str], header_row: int, encodin
     # The record with the header's number, wherever it is: the block in which it begins and those it goes on in.
     before, until = F.col("records_before"), F.col("records_before") + F.col("begun")
     holding = starts.where(((before < header_row) & (until >= header_row)) | ((before == header_row) & F.col("opened")))
-    header, _ = written(_records(_in_order(lines, holding)).where(F.col("record") == header_row).select("file", F.col("cells").alias("header")), "headers")
+    few = holding.select("file", "block") if holding.count() <= BROADCAST_ROWS else None
+    header, _ = written(_records(_in_order(_lines(spark, paths, encoding, few), holding)).where(F.col("record") == header_row).select("file", F.col("cells").alias("header")), "headers")
     missing = F.lit("ValueError: the header row counts from 1") if header_row < 1 else F.when(F.coalesce(F.size("header"), F.lit(0)) < 1, F.lit(f"ValueError: no header in row {header_row}"))
     options = options.join(header, "file", "left").withColumn("problem", F.coalesce("problem", missing))
     warning = F.when(F.col("problem").isNull() & (F.col("encoding") != ENCODINGS[0]), F.concat(F.lit("read as "), "encoding")) if encoding is None else F.lit(None).cast("string")
