@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..working import written
+from .wide import splittable, wide_lines
 
 #: Encodings in the order of trial, delimiters, characters looked at.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -79,7 +80,7 @@ def _cells(found: list[str]) -> list[str | None]:
 def _wide(encoding: str | None) -> bool:
     """Whether a newline is more than one byte, so that bytes can't be cut at it. An unknown encoding is reported later."""
     try:
-        return encoding is not None and "\n".encode(encoding) != b"\n"
+        return encoding is not None and "\n".encode(encoding).removeprefix(codecs.BOM_UTF8) != b"\n"
     except LookupError:
         return False
 
@@ -110,7 +111,8 @@ def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None, only: DataFrame | None = None) -> DataFrame:
     """(file, block, i, line): the bytes of every physical line with its end, numbered from 0 in its block of the file.
 
-    Files in encodings with wide newlines come as one block each. ``only(file, block)``, which must be small, names the blocks that are wanted.
+    Files in encodings with wide newlines are cut by ``wide_lines``, or, where characters have no fixed places, come as one block each, always all of them.
+    ``only(file, block)``, which must be small, names the blocks that are wanted of other files.
     """
     names = ["file", "block", "i", "line"]
 
@@ -140,6 +142,8 @@ def _lines(spark: SparkSession, paths: str | list[str], encoding: str | None, on
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(lines, pa.binary())], names=names)
 
     schema = "file string, block long, i long, line binary"
+    if _wide(encoding) and splittable(encoding):
+        return wide_lines(raw_lines(spark, paths), encoding, _in_order, physical_lines)
     if _wide(encoding):
         return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(whole, schema)
     lines = raw_lines(spark, paths).drop("size")
@@ -330,7 +334,8 @@ def _known(spark: SparkSession, paths: str | list[str], header_row: int, encodin
     before, until = F.col("records_before"), F.col("records_before") + F.col("begun")
     holding = starts.where(((before < header_row) & (until >= header_row)) | ((before == header_row) & F.col("opened")))
     few = holding.select("file", "block") if holding.count() <= BROADCAST_ROWS else None
-    header, _ = written(_records(_in_order(_lines(spark, paths, encoding, few), holding)).where(F.col("record") == header_row).select("file", F.col("cells").alias("header")), "headers")
+    near = lines if few is None or _wide(encoding) else _lines(spark, paths, encoding, few)
+    header, _ = written(_records(_in_order(near, holding)).where(F.col("record") == header_row).select("file", F.col("cells").alias("header")), "headers")
     missing = F.lit("ValueError: the header row counts from 1") if header_row < 1 else F.when(F.coalesce(F.size("header"), F.lit(0)) < 1, F.lit(f"ValueError: no header in row {header_row}"))
     options = options.join(header, "file", "left").withColumn("problem", F.coalesce("problem", missing))
     warning = F.when(F.col("problem").isNull() & (F.col("encoding") != ENCODINGS[0]), F.concat(F.lit("read as "), "encoding")) if encoding is None else F.lit(None).cast("string")

@@ -8,9 +8,10 @@ from contextlib import contextmanager
 
 import pytest
 
-from ferryline.sources.delimited import ends_open, infer_read_options, read_delimited
+from ferryline.sources.delimited import _lines, ends_open, infer_read_options, physical_lines, read_delimited
 from ferryline.sources.pages import read_text_documents
 from ferryline.sources.tables import document_text, fingerprint, inspect_pages, route_sources
+from ferryline.sources.wide import cut_block, splittable
 
 
 @contextmanager
@@ -108,3 +109,79 @@ def test_text_documents(spark, tmp_path):
     found = {r["_src_file"].rpartition("/")[2]: (r["text"], r["warning"]) for r in read_text_documents(spark, str(tmp_path)).where("_src_file not like '%c.txt'").collect()}
     assert found == {"a.txt": ("um\ndois\n", None), "b.txt": (" \n", "no text")}
     assert read_text_documents(spark, str(tmp_path / "c.txt"), "utf-16").first()["text"] == "três"
+
+
+def test_blocks_cut_at_wide_newlines():
+    """Any cuts of any bytes: heads, lines and tails put together are the bytes, cut only where a newline ends."""
+    rnd = random.Random(8)
+    for _ in range(3000):
+        newline = rnd.choice([b"\n\0", b"\0\n", b"\n\0\0\0", b"\0\0\0\n", b"%"])
+        unit = len(newline)
+        data = b"".join(rnd.choice([newline, bytes(rnd.choice(b"\n\0%a") for _ in range(unit))]) for _ in range(rnd.randrange(1, 30)))
+        places = sorted({0, *(rnd.randrange(len(data)) for _ in range(rnd.randrange(4)))})
+        lines, open_part = [], b""
+        for lo, hi in zip(places, [*places[1:], len(data)]):
+            size = rnd.randrange(1, 9)
+            for part, some, closed in cut_block((data[k : min(k + size, hi)] for k in range(lo, hi, size)), lo, newline):
+                if part is None:
+                    assert not open_part
+                    lines.append(some)
+                    continue
+                open_part += some
+                if closed:
+                    lines.append(open_part)
+                    open_part = b""
+        lines.append(open_part)
+        assert b"".join(lines) == data
+        ends = {k + unit for k in range(0, len(data), unit) if data[k : k + unit] == newline}
+        at, cuts = 0, set()
+        for line in lines[:-1]:
+            at += len(line)
+            cuts.add(at)
+        assert cuts <= ends
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-be", "utf-32", "cp037"])
+def test_wide_encodings_are_split(spark, tmp_path, encoding):
+    """Characters whose bytes look like newlines, at many split sizes: the lines of the whole text, and the csv reader's records."""
+    rnd = random.Random(9)
+    plain = encoding == "cp037"
+    cell = lambda: "".join(rnd.choice("ab\x8e \r" if plain else "a\u0a41\u0100\u0a0a\u0a00\u0d0a\u000a\U0001f40a\u010a\r") for _ in range(rnd.randrange(7)))
+    texts = ["h;i\n" + "".join(f'{k};"{cell()}"' + rnd.choice(["\n", "\r\n"]) for k in range(40)), "h;i\nx;y", "h;i\n" + "long;" + "z" * 900 + "\nlast;1", "h;i\r\n1;\r\n2;3\r\n"]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.csv").write_bytes(text.encode(encoding))
+    (tmp_path / "4.csv").write_bytes(b"")
+    assert splittable(encoding)
+    for size in ("97b", "500b"):
+        with splits_of(spark, size):
+            rows = sorted((r["file"][-5], r["block"], r["i"], bytes(r["line"])) for r in _lines(spark, str(tmp_path), encoding).collect())
+        for k, text in enumerate(texts):
+            assert [r[3] for r in rows if r[0] == str(k)] == physical_lines(text.encode()), (size, k)
+            by_block = {}
+            for _, block, i, _ in (r for r in rows if r[0] == str(k)):
+                by_block.setdefault(block, []).append(i)
+            assert all(i == list(range(len(i))) for i in by_block.values()) and 0 in by_block
+    with splits_of(spark, "251b"):
+        found, report = read_delimited(spark, str(tmp_path), encoding=encoding, delimiter=";")
+        got = sorted((r["_src_file"][-5], r["_row"], r["h"], r["i"]) for r in found.collect())
+        assert {r["file"][-5]: bool(r["problem"]) for r in report.where("encoding is not null or problem is not null").collect()} == {**dict.fromkeys("0123", False), "4": True}
+    expected = []
+    for k, text in enumerate(texts):
+        reader = csv.reader(io.StringIO(text, newline=""), delimiter=";")
+        next(reader)
+        for cells in reader:
+            h, i = ([x.strip() or None for x in cells] + [None] * 2)[:2]
+            if h or i:
+                expected.append((str(k), reader.line_num, h, i))
+    assert got == sorted(expected, key=lambda r: r[:2])
+
+
+def test_bytes_outside_a_wide_encoding_concern_their_file(spark, tmp_path):
+    (tmp_path / "good.csv").write_bytes("a\n1\n".encode("utf-16"))
+    (tmp_path / "odd.csv").write_bytes("a\n1\n".encode("utf-16") + b"x")
+    (tmp_path / "lone.csv").write_bytes("a\n1\n".encode("utf-16") + b"\x00\xd8" + "b\n2\n".encode("utf-16-le"))
+    with splits_of(spark, "8b"):
+        rows, report = read_delimited(spark, str(tmp_path), encoding="utf-16", delimiter=";")
+        assert [(r["_src_file"].rpartition("/")[2], r["_row"], r["a"]) for r in rows.collect()] == [("good.csv", 2, "1")]
+        problems = {r["file"].rpartition("/")[2]: (r["problem"] or "").partition(":")[0] for r in report.collect()}
+    assert problems == {"good.csv": "", "odd.csv": "UnicodeDecodeError", "lone.csv": "UnicodeDecodeError"}
