@@ -177,21 +177,29 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    """SENTENCES and RULES alone, on one line each: what notices and statements add, and wrapped sentences, are not in it; tests hold these."""
-    table = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
+    """The whole scan: tables, notices, statements and all rules."""
+    known, named = (", ".join(f"('{s}', '{i}')" for s, i in ids.items()) for ids in (_IDS, _NAMED_IDS))
     steps, left = [], "s0"
-    for i, (_, run) in enumerate(RULES):
+    for i, (_, run) in enumerate(_ALL_RULES):
         pattern = f" {'  '.join(run)} "
-        steps.append(f"s{i + 1} AS (SELECT *, contains(l{i}, '{pattern}') AS hit{i}, replace(l{i}, '{pattern}', ' | ') AS l{i + 1} FROM {left})")
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (l), contains(l, '{pattern}') AS hit{i}, replace(l, '{pattern}', ' | ') AS l FROM {left})")
         left = f"s{i + 1}"
-    hits = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    hits = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _) in enumerate(_ALL_RULES))
+    # No lookahead in this dialect: what follows a sentence is consumed, as the next one starts on another line anyway; and a name can't be followed by
+    # " clause" or " 0" in a statement, where the longest name is taken.
+    sentence = _KNOWN.replace("(?md)", "(?m)").replace("(?= ?$)", " ?$")
     return f"""
-WITH known(sentence, id) AS (VALUES {table}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS parts FROM documents),
-flat AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut),
-ids AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY k) AS ids FROM flat JOIN known ON trim(part) = sentence GROUP BY r),
-s0 AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, '  ' || replace(coalesce(ids, ''), ' ', '  ') || '  ' AS l0 FROM cut LEFT JOIN ids USING (r)),
+WITH known(sentence, id) AS (VALUES {known}),
+named(name, id) AS (VALUES {named}),
+cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(translate(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10) || chr(10), 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g') AS plain FROM documents),
+parts AS (SELECT r, list_transform(regexp_extract_all(plain, '{sentence}', 1), lambda s: regexp_replace(s, ' ?\\n ?', ' ', 'g')) AS parts FROM cut),
+flat AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM parts),
+statements AS (SELECT r, k, regexp_extract_all(part, '\\b{_NAME}\\b') AS names FROM flat WHERE part NOT IN (SELECT sentence FROM known)),
+every AS (SELECT r, k, 0 AS j, id FROM flat JOIN known ON part = sentence
+    UNION ALL SELECT r, k, j, id FROM (SELECT r, k, unnest(names) AS name, generate_subscripts(names, 1) AS j FROM statements) JOIN named USING (name)),
+ids AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY k, j) AS ids FROM every GROUP BY r),
+s0 AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, '  ' || replace(coalesce(ids, ''), ' ', '  ') || '  ' AS l FROM cut LEFT JOIN ids USING (r)),
 {', '.join(steps)},
 found AS (SELECT doc_id, n_sentences, sentence_ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS names FROM {left}),
 firsts AS (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i) AS uniq FROM found)

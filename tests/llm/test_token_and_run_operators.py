@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -290,3 +291,22 @@ def test_statements_that_name_licences(spark):
     }
     found = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert dict(zip(cases, (r["licenses"] for r in found), strict=True)) == cases
+
+
+def test_license_sql_of_notices_statements_and_wrapped_sentences(spark):
+    """The query's SQL against the operator on every known sentence, whole and wrapped, and random texts of sentences, statements and prose."""
+    rnd = random.Random(11)
+    known = [*license_scan._IDS]
+    names = [*license_scan._NAMED_IDS]
+    wrap = lambda s: "".join(rnd.choice(["\n", " \n  ", "\n# "]) if c == " " and rnd.random() < 0.2 else c for c in s)
+    statement = lambda: rnd.choice(["This project is licensed under the ", "SPDX-License-Identifier: ", "dual licensed under either the ", "License: "]) + rnd.choice([" and ", " or the ", ", "]).join(rnd.sample(names, rnd.choice([1, 1, 2, 3]))) + rnd.choice(["", " (see LICENSE)", ". See the LICENSE file for details", " clause", " 0"])
+    texts = [*known, *map(wrap, known), *("licensed under the " + n for n in names), None, "", " \n"]
+    for _ in range(400):
+        some = [rnd.choice([rnd.choice(known), wrap(rnd.choice(known)), statement(), wrap(statement()), "Some prose, 12.", ""]) for _ in range(rnd.randrange(1, 9))]
+        texts.append("".join(x + rnd.choice([".\n", ". ", "\n\n", "\n", "; ", " "]) for x in some))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, license_scan.license_scan(docs).collect()), key=lambda r: r[0])
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    assert found == sorted(con.execute(license_scan.op1_sql()).fetchall(), key=lambda r: r[0])
+    assert sum(r[1] > 1 for r in found) > 200 and len({r[4] for r in found}) > 12
