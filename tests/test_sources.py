@@ -185,3 +185,14 @@ def test_bytes_outside_a_wide_encoding_concern_their_file(spark, tmp_path):
         assert [(r["_src_file"].rpartition("/")[2], r["_row"], r["a"]) for r in rows.collect()] == [("good.csv", 2, "1")]
         problems = {r["file"].rpartition("/")[2]: (r["problem"] or "").partition(":")[0] for r in report.collect()}
     assert problems == {"good.csv": "", "odd.csv": "UnicodeDecodeError", "lone.csv": "UnicodeDecodeError"}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "UTF_8_SIG"])
+def test_a_named_encoding_with_a_mark_is_split(spark, tmp_path, encoding):
+    text = "é;y\n" + "".join(f'{k};"a\r\nb"\n' for k in range(40))
+    (tmp_path / "m.csv").write_bytes(text.encode("utf-8-sig"))
+    with splits_of(spark, "100b"):
+        assert _lines(spark, str(tmp_path), encoding).select("block").distinct().count() > 3
+        rows, report = read_delimited(spark, str(tmp_path), encoding=encoding, delimiter=";")
+        assert sorted((int(r["é"]), r["y"], r["_row"]) for r in rows.collect()) == [(k, "a\r\nb", 3 + 2 * k) for k in range(40)]
+        assert [r["problem"] for r in report.collect()] == [None]
