@@ -7,7 +7,7 @@ import unicodedata
 
 import pytest
 
-from ferryline.operators import dedup
+from ferryline.operators import dedup, name_index
 from ferryline.operators.name_index import Names, candidates
 
 FIRST = ("maria", "joão", "ana", "josé", "antônio", "francisca", "carlos", "paulo", "luiz", "márcia", "zé")
@@ -66,6 +66,34 @@ def test_possible_against_brute_force(spark, part_entries):
     assert found == brute(rows, exact) and len(found) > 50
 
 
+@pytest.mark.parametrize("firsts", [1, 3, 64])
+def test_first_names_of_a_block_settle_only_what_they_can(spark, firsts):
+    """Few early names, so nearly every block has names that are looked for in its parts."""
+    rnd = random.Random(5)
+    rows = [(k, person(rnd), rnd.choice([None, "1", "2"]), rnd.choice([None, "9", str(k // 50)])) for k in range(300)]
+    # Early names that nothing resembles, and a name of over 200 characters, whose ratio with itself is 0.
+    rows = [(-9 + k, x * 9, "1", "9") for k, x in enumerate("qwkyzj")] + rows + [(400 + k, "b" * 300, "1", "9") for k in range(2)]
+    valid = spark.createDataFrame(rows, "_row long, full_name string, phone string, postal_code string")
+    none = spark.createDataFrame([], "ord long, matched long, key string, value string")
+    found = sorted(map(tuple, dedup.find_possible(valid, none, part_entries=12, firsts=firsts).collect()))
+    assert found == brute(rows, set()) and len(found) > 20
+
+
+def test_similar_names_are_not_all_compared(monkeypatch):
+    """Of names that all resemble the first one, each is compared once: the rest can't be earlier."""
+    names = [f"maria e customer#{k:09d} de souza" for k in range(400)]
+    compared = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(difflib, "SequenceMatcher", Counted)
+    found = name_index.earliest(names, names, list(range(400)), 0.8)
+    assert [j for _, j, _ in found] == [0] * 399 and len(compared) < 800
+
+
 def test_order_of_several_files(spark):
     """Rows named by (file, row)."""
     rows = [("b", 1, "maria silva", "1"), ("a", 9, "maria silvo", "1"), ("a", 2, "maria silv", "1"), ("b", 0, "outra pessoa", "1")]
