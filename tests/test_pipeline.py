@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferryline.operators import dedup
-from ferryline.operators.mapping import CUSTOMERS_CSV, FieldRule, Template, apply_mapping, reconcile_columns
+from ferryline.operators.mapping import CUSTOMERS_CSV, FieldRule, Template, apply_mapping, reconcile_columns, transform_counts
 from ferryline.operators.validation import validate
 from ferryline.plans import registry
 from ferryline.plans.migration import run_migration
@@ -113,6 +113,16 @@ def test_load_is_marked_last(spark, rows, tmp_path):
         outputs.load_lake(run.annotated, run.run_id, lambda: run.record, "customers", str(tmp_path), datetime(2025, 1, 1))
 
 
+def test_transforms_stay_above_the_joins(spark):
+    """Counting transforms puts no copies of them into filters or join conditions."""
+    fields = spark.createDataFrame([(1, " A\x00 ", "B")], "k long, `Código` string, `UF` string")
+    source = fields.join(spark.createDataFrame([(1, "N/A")], "k long, `Nome Cliente` string"), "k")
+    counts = transform_counts(apply_mapping(source, CUSTOMERS_CSV))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if ("Filter" in line or "Join" in line) and "regexp_replace" in line]
+    assert {r["transform"]: r["records"] for r in counts.collect()} == {"clean_text": 1, "title_case": 1}
+
+
 def test_mapping_and_reconciliation(spark):
     df = spark.createDataFrame([(1, " a "), (2, "b")], "_row long, x string")
     template = Template("customers", (FieldRule("full_name", "x", ("strip", "uppercase")), FieldRule("city", "none", default="?")))
