@@ -121,3 +121,27 @@ def test_normal_forms_of_any_text(spark):
     assert one(spark, text.normalize_unicode, *values) == [v and unicodedata.normalize("NFC", v) if v is not None else None for v in values]
     bare = [v if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)) for v in values]
     assert one(spark, text.remove_accents, *values) == bare
+
+
+def test_long_formulas_stay_out_of_the_generated_code(spark):
+    """The JVM compiles no method of over 8,000 bytes, and a step that is read several times is computed once."""
+    rows = spark.range(1).select(F.col("id").cast("string").alias("v"))
+    execution = rows.select(money.noted(F.col("v")), dates.parse_datetime(F.col("v")))._jdf.queryExecution()
+    parts = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(execution.executedPlan())
+    assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+    assert execution.optimizedPlan().toString().count("regexp_replace") < 30
+
+
+def test_text_is_measured_once(spark):
+    """The quality of a text strips it once, and what is found agrees with the searches."""
+    texts = ["", None, " \n ", "x" * 50, "a@b.co", "..-- " * 20, "tel (11) 91234-5678", "01310-100", "em 01/02/2024", "529.982.247-25", "529.982.247-26 @", "11222333000181", "٠١٢٣٤-٥٦٧"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, v string")
+    judged = rows.select("i", "v", patterns.assess_text(F.col("v")).alias("q"))
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("]+$") == 1
+    hits = F.greatest(*(F.size(f(F.coalesce("v", F.lit("")))) for f in (patterns.find_documents, patterns.find_emails, patterns.find_dates, patterns.find_postal_codes, patterns.find_phones))) > 0
+    for r in judged.select("v", "q.*", hits.alias("expected")).collect():
+        bare = (r["v"] or "").strip()
+        solid = sum(not c.isspace() for c in bare)
+        ratio = sum(c.isalnum() for c in bare) / solid if solid else 0.0
+        assert (r["char_count"], r["ratio"], r["has_patterns"]) == (len(bare), ratio, r["expected"])
+        assert r["is_sufficient"] == (r["expected"] or (len(bare) >= 40 and ratio >= 0.5))
