@@ -200,3 +200,9 @@ def test_searched_queries(spark):
     print("searched", totals)
     assert run["masked_duplicates"](spark, d).count() == len(exact + possible)
     assert Counter(r["code"] for r in run["dedup_annotated"](spark, d).collect()) == codes
+
+
+def test_rows_are_dealt_to_all_cores(spark):
+    """Rows with long work are not left to the few tasks that a join's bytes would fill."""
+    rows = registry._mapped(spark, "/root/testdata/sf0.001", "invoices")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
