@@ -206,3 +206,14 @@ def test_rows_are_dealt_to_all_cores(spark):
     """Rows with long work are not left to the few tasks that a join's bytes would fill."""
     rows = registry._mapped(spark, "/root/testdata/sf0.001", "invoices")
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_reconciliation_reads_the_headers_once(spark):
+    """Files that lack nothing, all, or have a column of two fields; without a join."""
+    template = Template("customers", (FieldRule("full_name", "x"), FieldRule("city", "x"), FieldRule("state", "y")), ignored=("z",))
+    headers = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("b", "q"), ("b", "p"), ("b", "q"), ("c", "y"), ("d", None)], "file string, column_name string")
+    found = reconcile_columns(headers, template)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    gone = [("missing", "x", True), ("missing", "x", False), ("missing", "y", False)]
+    assert sorted(map(tuple, found.collect())) == sorted([("b", *g) for g in gone] + [("b", "unmapped", "p, q", False)] + [("c", *g) for g in gone[:2]] + [("d", *g) for g in gone])
