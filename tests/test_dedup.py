@@ -125,3 +125,74 @@ def test_hot_postal_code(spark):
     n = parts.select("part").distinct().count()
     assert pairs < 0.6 * n * (n + 1) / 2
     valid.unpersist()
+
+
+def test_ratio_is_that_of_difflib():
+    """Matches of equal length, popular characters from 200 on, and characters outside the BMP included."""
+    rnd = random.Random(11)
+    for _ in range(4000):
+        letters = rnd.choice(["ab", "abcdefgh", "maria souza12", "é一a\U0001f600b"])
+        a = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 3, 12, 40])))
+        b = "".join(rnd.choice([x, x, x, "", rnd.choice(letters)]) for x in a) if rnd.random() < 0.5 else "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
+        assert name_index.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    for la, lb in ((199, 199), (230, 199), (199, 200), (260, 240)):
+        a, b = ("".join(rnd.choice("abcdefghij") for _ in range(n)) for n in (la, lb))
+        assert name_index.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_names_meet_the_earliest_ones_together(monkeypatch):
+    """Names that resemble the first one are settled in one look at all of them, with one ratio each."""
+    names = [f"maria e customer#{k:09d} de souza" for k in range(400)]
+    calls, near, ratio = {"near": 0, "ratio": 0}, name_index.near, name_index.ratio
+
+    def counted(name, f):
+        def run(*args):
+            calls[name] += 1
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(name_index, "near", counted("near", near))
+    monkeypatch.setattr(name_index, "ratio", counted("ratio", ratio))
+    assert [j for _, j, _ in name_index.earliest(names, names, list(range(400)), 0.8)] == [0] * 399
+    assert calls["near"] < 10 and calls["ratio"] < 800
+
+
+def test_earliest_against_brute_force():
+    """The earliest similar name is found in whatever group it lies, and none from the limit on."""
+    rnd = random.Random(12)
+    previous = [plain(person(rnd)) for _ in range(300)]
+    current = [plain(person(rnd)) for _ in range(80)] + [x + "a" for x in previous[::7]]
+    until = [rnd.randint(0, 300) for _ in current]
+    for threshold in (0.7, 0.8, 0.9):
+        right = []
+        for i, x in enumerate(current):
+            hits = ((i, j, difflib.SequenceMatcher(None, x, previous[j]).ratio()) for j in range(until[i]))
+            right += [hit for hit in hits if hit[2] >= threshold][:1]
+        assert name_index.earliest(current, previous, until, threshold) == right and any(j > 60 for _, j, _ in right)
+
+
+def test_plain_names_are_written_once(spark, monkeypatch):
+    """The entries and the rows that look for a match read the names without accents from one table."""
+    names, known = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name, *more: (names.append(name), known(df, name, *more))[1])
+    valid = spark.createDataFrame([(1, "Ana Lima", "1"), (2, "ana limà", "1")], "_row long, full_name string, phone string")
+    none = spark.createDataFrame([], "ord long, matched long, key string, value string")
+    found = dedup.find_possible(valid, none)
+    assert names[0] == "plain_names" and "_bare(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["ord"], r["matched"]) for r in found.collect()] == [(2, 1)]
+
+
+def test_tables_are_written_with_methods_that_the_jvm_compiles(spark, monkeypatch):
+    """The limit holds while a table is written, and not after it, also where the writing fails."""
+    from pyspark.sql import DataFrameWriter
+
+    from ferryline import working
+
+    limit, seen, parquet = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **more: (seen.append(int(spark.conf.get(limit))), parquet(self, *args, **more))[1])
+    assert working.written(spark.range(5), "numbers")[0].count() == 5
+    with pytest.raises(Exception, match="no number"):
+        working.written(spark.range(5).selectExpr("raise_error('no number') as x"), "failing")
+    assert seen == [8000, 8000] and spark.conf.get(limit) == before
