@@ -145,3 +145,8 @@ def test_text_is_measured_once(spark):
         ratio = sum(c.isalnum() for c in bare) / solid if solid else 0.0
         assert (r["char_count"], r["ratio"], r["has_patterns"]) == (len(bare), ratio, r["expected"])
         assert r["is_sufficient"] == (r["expected"] or (len(bare) >= 40 and ratio >= 0.5))
+
+
+def test_postal_codes_with_one_character_between_them(spark):
+    """Both are found, as by the original's pattern; a search that takes the neighbours finds the first only."""
+    assert one(spark, patterns.find_postal_codes, "cee14701200d07683836c96e0", "01310-100 01310-200", "013101000") == [["14701200", "07683836"], ["01310-100", "01310-200"], []]
