@@ -196,3 +196,17 @@ def test_tables_are_written_with_methods_that_the_jvm_compiles(spark, monkeypatc
     with pytest.raises(Exception, match="no number"):
         working.written(spark.range(5).selectExpr("raise_error('no number') as x"), "failing")
     assert seen == [8000, 8000] and spark.conf.get(limit) == before
+
+
+def test_late_names_are_searched_only_where_some_are_left(spark, monkeypatch):
+    """One pass over the early names gives the matches and the names without one; without such names, no parts are made."""
+    written, parts, known, made = [], [], dedup.written, dedup._parts
+    monkeypatch.setattr(dedup, "written", lambda df, name, *more: (written.append(name), known(df, name, *more))[1])
+    monkeypatch.setattr(dedup, "_parts", lambda *args: (parts.append(1), made(*args))[1])
+    none = spark.createDataFrame([], "ord long, matched long, key string, value string")
+    alike = [(k, f"maria souza {k:03d}", "1") for k in range(100)]
+    valid = spark.createDataFrame(alike, "_row long, full_name string, phone string")
+    assert dedup.find_possible(valid, none, firsts=4).count() == 99 and not parts and written == ["plain_names", "entries", "first_names"]
+    other = spark.createDataFrame(alike + [(200, "xyz wvu", "1"), (201, "xyz wvt", "1")], valid.schema)
+    found = {r["ord"]: (r["matched"], r["similarity"]) for r in dedup.find_possible(other, none, firsts=4).collect()}
+    assert parts and found[201] == (200, 0.857) and 200 not in found and len(found) == 100

@@ -150,3 +150,49 @@ def test_text_is_measured_once(spark):
 def test_postal_codes_with_one_character_between_them(spark):
     """Both are found, as by the original's pattern; a search that takes the neighbours finds the first only."""
     assert one(spark, patterns.find_postal_codes, "cee14701200d07683836c96e0", "01310-100 01310-200", "013101000") == [["14701200", "07683836"], ["01310-100", "01310-200"], []]
+
+
+def test_clean_texts_are_told_by_one_look(spark):
+    """What is_clean accepts, clean_text leaves as it is: markers, blanks, line ends, characters that fold to ASCII or compose are refused."""
+    rnd = random.Random(5)
+    words = ["abc", "é", "N/A", "ſ", "\u212a", "\u00e9", "e\u0301", "-", "nao", "informado", "x\x7f", "#N/D", "\u00a0", "\u0345", "ª", "?"]
+    gaps = ["", " ", " ", "  ", "\t", "\n", "\u2028", "\u0085"]
+    mixed = ["".join(rnd.choice(gaps) + rnd.choice(words) for _ in range(rnd.randint(0, 4))) + rnd.choice(gaps) for _ in range(2000)]
+    values = mixed + [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))) for _ in range(1000)] + ["Maria", "maria e silva", "nulo", "vazio.", "a " * 200_000 + "a", None]
+    seen, cleaned = one(spark, text.is_clean, *values), one(spark, text.clean_text, *values)
+    assert all(c == v for s, v, c in zip(seen, values, cleaned, strict=True) if s)
+    assert seen[-6:] == [True, True, False, True, True, None] and sum(s is True for s in seen) > 100
+
+
+def test_date_shapes_against_the_chain(spark):
+    """Random texts become what the seven shapes make of them one after the other."""
+    chain = (
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{1,2}(?::\d{1,2})?)?$", "$3-$2-$1$4"),
+        (r"^(\d{1,2})([-.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+        (r"^(\d{1,2})([/-])(\d{1,2})\2([0-5]\d|6[0-8])$", "20$4-$3-$1"),
+        (r"^(\d{1,2})([/-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$3-$1"),
+        (r"^(\d{2})(\d{2})(\d{4})$", "$3-$2-$1"),
+        (r"^(\d{4}-\d{1,2}-\d{1,2})T(\d{1,2}:\d{1,2}:\d{1,2})$", "$1 $2"),
+    )
+
+    def by_chain(c):
+        t = F.regexp_replace(text.strip(c), r"(?U)(?<=\d)[\s\x1c-\x1f]+(?=\d{1,2}:)", " ")
+        for shape in chain:
+            t = F.regexp_replace(t, *shape)
+        return F.regexp_extract(t, dates._CANONICAL, 0).try_cast("timestamp_ntz")
+
+    rnd = random.Random(6)
+    parts = ["1", "02", "28", "31", "68", "69", "99", "2020", "1999", "0000", "20201231"]
+
+    def made():
+        sep = rnd.choice(["/", "-", ".", ""])
+        day = sep.join(rnd.choice(parts) for _ in range(3)) if rnd.random() < 0.9 else rnd.choice(parts)
+        return rnd.choice(["", " "]) + day + rnd.choice(["", "", "T", " ", "  ", "\n"]) + rnd.choice(["", "", "1:2", "10:11:12", "10:11:12.5"]) + rnd.choice(["", "\t"])
+
+    values = [made() for _ in range(5000)] + [None, ""]
+    found = one(spark, dates.parse_datetime, *values)
+    assert found == one(spark, by_chain, *values) and sum(x is not None for x in found) > 40
+    # Fewer searches than shapes for a text.
+    plan = spark.createDataFrame([("x",)], "v string").select(dates.parse_datetime(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 9

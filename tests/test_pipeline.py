@@ -217,3 +217,13 @@ def test_reconciliation_reads_the_headers_once(spark):
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
     gone = [("missing", "x", True), ("missing", "x", False), ("missing", "y", False)]
     assert sorted(map(tuple, found.collect())) == sorted([("b", *g) for g in gone] + [("b", "unmapped", "p, q", False)] + [("c", *g) for g in gone[:2]] + [("d", *g) for g in gone])
+
+
+def test_rules_are_columns_and_reports_write_what_they_read(spark, monkeypatch):
+    """No rule stands below a lambda, where it would not be compiled; the working table of the reports has no typed entity."""
+    plan = registry._validated(spark, "/root/testdata/sf0.001", "customers")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_issue_0" in plan
+    tables, known = {}, registry.written
+    monkeypatch.setattr(registry, "written", lambda df, name, *more: (tables.update({name: df.columns}), known(df, name, *more))[1])
+    registry._annotated(spark, "/root/testdata/sf0.001")
+    assert set(tables["validated"]) == {"_row", "document", "external_id", "email", "full_name", "phone", "postal_code", "issues", "is_valid"}
